@@ -6,7 +6,7 @@ import importlib
 
 from trackloom.plans.registry import REGISTRY, runner
 
-MODULES = ["clock"]
+MODULES = ["clock", "signals", "structure"]
 
 
 def all_queries():
