@@ -14,10 +14,13 @@ track may hold a third of a catalog. Every ordered operator therefore works on
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 DEFAULT_SALTS = 16
@@ -44,7 +47,8 @@ def salted_join(
     """
     if how not in ("inner", "left"):
         raise ValueError(f"salted_join supports inner and left, not {how}")
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(salts)).cast("int")
+    plain = [f.name for f in big.schema if isinstance(f.dataType, T.AtomicType)]
+    spread = F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int")
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return big.withColumn("_salt", spread).join(copies, [*on, "_salt"], how).drop("_salt")
 
@@ -209,22 +213,68 @@ def owner_interval(
 
 
 def blocked_fold(
-    df: DataFrame,
+    packed: DataFrame,
     keys: Sequence[str],
-    summarize: Callable,
-    summary_schema: str,
+    effect: Callable,
+    effect_fields: str,
     fold: Callable,
-    entry_schema: str,
+    entry_type: str,
     run: Callable,
-    run_schema: str,
+    run_fields: str,
 ) -> DataFrame:
-    """Run a sequential automaton over ``_block`` groups.
+    """Run a sequential automaton over blocks that are packed as one row each.
 
-    ``summarize(pdf)`` reduces one block to its effect on the carried state,
-    ``fold(pdf)`` walks only those summaries and yields the state at the start of
-    each block, and ``run(pdf)`` replays each block from its ``_entry`` state.
+    ``packed`` has one row per (keys, _block) with the block's items in arrays.
+    ``effect(row)`` gives the tuple of ``effect_fields`` that says what the block
+    does to the carried state, ``fold(chain)`` walks only those tuples (block
+    number first) and gives the state at the start of each, and
+    ``run(row)`` replays the block from ``row["_entry"]`` and gives one list per
+    run field. Both uses of ``packed`` share its exchange.
     """
-    groups = [*keys, "_block"]
-    summary = df.groupBy(*groups).applyInPandas(summarize, summary_schema)
-    entry = summary.groupBy(*keys).applyInPandas(fold, entry_schema)
-    return df.join(entry, groups).groupBy(*groups).applyInPandas(run, run_schema)
+    keys = list(keys)
+    types = {f.name: f.dataType.simpleString() for f in packed.schema}
+    key_ddl = ", ".join(f"{k} {types[k]}" for k in keys)
+    effect_names = [part.split()[0] for part in effect_fields.split(", ")]
+    run_names = [part.split()[0] for part in run_fields.split(", ")]
+
+    def rows(batch: pd.DataFrame) -> Iterator[dict]:
+        names = list(batch.columns)
+        for values in batch.itertuples(index=False, name=None):
+            yield dict(zip(names, values))
+
+    def effects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [effect(row) for row in rows(batch)]
+            columns = dict(zip(effect_names, zip(*found))) if found else {}
+            yield batch[[*keys, "_block"]].assign(**{k: list(c) for k, c in columns.items()})
+
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in rows(batch):
+                chain = [tuple(link[n] for n in ["_block", *effect_names]) for link in row["_chain"]]
+                yield pd.DataFrame(
+                    {
+                        **{k: row[k] for k in keys},
+                        "_block": [link[0] for link in chain],
+                        "_entry": fold(chain),
+                    }
+                )
+
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            parts = []
+            for row in rows(batch):
+                columns = dict(zip(run_names, run(row)))
+                size = len(columns[run_names[0]])
+                parts.append({**{k: np.repeat(np.array([row[k]]), size) for k in keys}, **columns})
+            if parts:
+                yield pd.DataFrame(
+                    {n: np.concatenate([p[n] for p in parts]) for n in [*keys, *run_names]}
+                )
+
+    summary = packed.mapInPandas(effects, f"{key_ddl}, _block bigint, {effect_fields}")
+    chain = summary.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("_block", *effect_names))).alias("_chain")
+    )
+    entry = chain.mapInPandas(entries, f"{key_ddl}, _block bigint, _entry {entry_type}")
+    return packed.join(entry, [*keys, "_block"]).mapInPandas(replay, f"{key_ddl}, {run_fields}")

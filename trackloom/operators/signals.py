@@ -188,10 +188,6 @@ def minimum_wait(peaks: DataFrame, keys: Sequence[str], wait: int, block: int) -
     """
     if block <= wait:
         raise ValueError("block must be longer than wait")
-    types = {f.name: f.dataType.simpleString() for f in peaks.schema}
-    key_ddl = ", ".join(f"{k} {types[k]}" for k in keys)
-    size = block
-
     def walk(index, allowed):
         kept = []
         for i in index:
@@ -200,37 +196,28 @@ def minimum_wait(peaks: DataFrame, keys: Sequence[str], wait: int, block: int) -
                 allowed = i + wait + 1
         return kept, allowed
 
-    def summarize(pdf):
-        index = np.sort(pdf["idx"].to_numpy())
-        b = int(pdf["_block"].iloc[0])
-        table = []
-        for blocked in range(wait + 1):
-            _, allowed = walk(index, b * size + blocked)
-            table.append(max(0, int(allowed) - (b + 1) * size))
-        return pd.DataFrame(
-            {**{k: [pdf[k].iloc[0]] for k in keys}, "_block": [b], "_effect": [table]}
-        )
+    def effect(row):
+        start = row["_block"] * block
+        ends = [walk(row["_index"], start + blocked)[1] for blocked in range(wait + 1)]
+        return ([max(0, int(end) - start - block) for end in ends],)
 
-    def fold(pdf):
-        pdf = pdf.sort_values("_block")
+    def fold(chain):
         state, previous, entries = 0, None, []
-        for b, effect in zip(pdf["_block"], pdf["_effect"]):
-            state = state if previous is not None and b == previous + 1 else 0
+        for number, after in chain:
+            state = state if previous is not None and number == previous + 1 else 0
             entries.append(state)
-            state, previous = int(effect[state]), b
-        return pdf[[*keys, "_block"]].assign(_entry=entries)
+            state, previous = int(after[state]), number
+        return entries
 
-    def run(pdf):
-        b, blocked = int(pdf["_block"].iloc[0]), int(pdf["_entry"].iloc[0])
-        kept, _ = walk(np.sort(pdf["idx"].to_numpy()), b * size + blocked)
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "idx": kept})
+    def run(row):
+        kept, _ = walk(row["_index"], row["_block"] * block + row["_entry"])
+        return (np.array(kept, dtype=np.int64),)
 
-    rows = peaks.select(*keys, "idx").withColumn("_block", int_div("idx", size))
+    packed = peaks.groupBy(*keys, int_div("idx", block).alias("_block")).agg(
+        F.sort_array(F.collect_list("idx")).alias("_index")
+    )
     kept = blocked_fold(
-        rows, keys,
-        summarize, f"{key_ddl}, _block bigint, _effect array<int>",
-        fold, f"{key_ddl}, _block bigint, _entry int",
-        run, f"{key_ddl}, idx bigint",
+        packed, keys, effect, "_after array<int>", fold, "int", run, "idx bigint"
     )
     return peaks.join(kept, [*keys, "idx"], "left_semi")
 

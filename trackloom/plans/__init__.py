@@ -6,7 +6,7 @@ import importlib
 
 from trackloom.plans.registry import REGISTRY, runner
 
-MODULES = ["clock", "signals", "structure"]
+MODULES = ["clock", "signals", "structure", "resolve"]
 
 
 def all_queries():

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trackloom.sources.tables import materialize
+
 REGISTRY: dict[str, tuple[Callable, str | None]] = {}
 
 
@@ -15,12 +17,19 @@ class Tables:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self._shared: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.root}/{name}.parquet")
 
+    def shared(self, name: str, make) -> DataFrame:
+        """An intermediate that one query reads several times, checkpointed once."""
+        if name not in self._shared:
+            self._shared[name] = materialize(make(self))
+        return self._shared[name]
+
 
 def query(name: str, sql: str | None = None):
     """Register ``fn(tables) -> DataFrame`` under ``name``."""

@@ -133,18 +133,22 @@ bnd AS (
   FROM ev9 GROUP BY 1, 2)"""
 
 
+def cells(t):
+    return t.shared("cells", v.cells)
+
+
 def features(t):
-    return st.cell_features(v.cells(t))
+    return st.cell_features(cells(t))
 
 
 def cell_tracks(t):
-    return v.cells(t).groupBy("track_id").agg(
+    return cells(t).groupBy("track_id").agg(
         F.count("*").alias("cells"), (F.count("*") * CELL).alias("duration_samples")
     )
 
 
 def cell_marks(t):
-    here = v.cells(t).select(
+    here = cells(t).select(
         "track_id", F.col("cell").alias("anchor"), (F.col("cell") * CELL).alias("sample")
     )
     return here.unionByName(
@@ -154,9 +158,13 @@ def cell_marks(t):
     )
 
 
-def repeats(t):
+def candidates(t):
     similar = st.self_similarity(features(t), KEY, tile=BLOCK)
-    return st.select_repeats(st.repeat_candidates(similar, cell_tracks(t), KEY, BLOCK), KEY)
+    return st.repeat_candidates(similar, cell_tracks(t), KEY, BLOCK)
+
+
+def repeats(t):
+    return st.select_repeats(t.shared("candidates", candidates), KEY)
 
 
 def peaks(t):
@@ -164,7 +172,7 @@ def peaks(t):
 
 
 def boundaries(t):
-    spans = st.repeat_spans(repeats(t), cell_marks(t), KEY)
+    spans = st.repeat_spans(t.shared("repeats", repeats), cell_marks(t), KEY)
     return st.merge_boundaries(peaks(t), spans, cell_marks(t), cell_tracks(t), KEY, MARK_BLOCK)
 
 
@@ -217,8 +225,7 @@ def novelty_peaks(t):
         SELECT track_id, left_cell, right_cell, length, round(score, 6) AS score FROM cand""",
 )
 def repeat_candidates(t):
-    similar = st.self_similarity(features(t), KEY, tile=BLOCK)
-    return st.repeat_candidates(similar, cell_tracks(t), KEY, BLOCK).select(
+    return candidates(t).select(
         "track_id", F.col("left").alias("left_cell"), F.col("right").alias("right_cell"),
         "length", F.round("score", 6).alias("score"),
     )
@@ -323,7 +330,7 @@ def choices(t, bounds):
 
 
 def applied(t):
-    bounds = boundaries(t)
+    bounds = t.shared("boundaries", boundaries)
     return st.apply_selection(choices(t, bounds), bounds, cell_tracks(t), KEY)
 
 
@@ -342,10 +349,10 @@ def apply_selection(t):
     "selection_policy",
     f"""WITH {v.EV}
         SELECT DISTINCT track_id FROM ev WHERE name = 'purchase'
-          AND track_id IN (SELECT track_id FROM ev WHERE name = 'signup' AND value > 60)""",
+          AND track_id IN (SELECT track_id FROM ev WHERE name = 'signup' AND value > 6000)""",
 )
 def selection_policy(t):
-    existing = v.events(t).where("name = 'signup' and value > 60")
+    existing = v.events(t).where("name = 'signup' and value > 6000")
     return st.selection_policy(v.beats(t), existing, KEY, "require-empty")
 
 
@@ -384,4 +391,7 @@ def auto_sections(t):
         FROM ct""",
 )
 def structure_summary(t):
-    return st.structure_summary(cell_marks(t), boundaries(t), repeats(t), applied(t), KEY)
+    return st.structure_summary(
+        cell_marks(t), t.shared("boundaries", boundaries), t.shared("repeats", repeats),
+        applied(t), KEY,
+    )

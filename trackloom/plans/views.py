@@ -39,20 +39,22 @@ def tracks(t: Tables) -> DataFrame:
 
 
 def events(t: Tables) -> DataFrame:
+    """Values in whole hundredths: their sums are exact in any order."""
     return t.events.select(
         "event_id",
         F.col("user_id").alias("track_id"),
         F.col("event_type").alias("name"),
         F.lit("app").alias("source"),
         (F.unix_micros(F.col("ts").cast("timestamp")) - EPOCH).alias("sample"),
-        "value",
+        F.round(F.col("value") * 100, 0).alias("value"),
         (F.col("value") / (1 + F.col("value"))).alias("confidence"),
     )
 
 
 EV = f"""ev AS (
   SELECT event_id, user_id AS track_id, event_type AS name, 'app' AS source,
-         epoch_us(ts) - {EPOCH} AS sample, value, value / (1 + value) AS confidence
+         epoch_us(ts) - {EPOCH} AS sample, round(value * 100, 0) AS value,
+         value / (1 + value) AS confidence
   FROM events)"""
 
 TR = f"""tr AS (
