@@ -133,7 +133,7 @@ def _spec_sql():
           SELECT p_partkey, kind, 'price', CAST(price AS VARCHAR) FROM base WHERE kind = 'ribbon'
           UNION ALL
           SELECT p_partkey, kind, 'count', CASE WHEN p_size % 3 = 0 THEN CAST(p_size AS VARCHAR) || '.5'
-                 ELSE CAST(price AS VARCHAR) END FROM base WHERE kind = 'particles' UNION ALL
+                 ELSE price || '.0' END FROM base WHERE kind = 'particles' UNION ALL
           SELECT p_partkey, kind, 'fit', p_type FROM base WHERE kind = 'image' UNION ALL
           SELECT p_partkey, kind, 'z', CAST(p_size - 25 AS VARCHAR) FROM base WHERE kind = 'image'),
         want AS (
