@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from trackloom.functions import clock
 from trackloom.functions import text as tx
@@ -53,15 +54,16 @@ def known_lines(corpus: DataFrame, keys: Sequence[str]) -> DataFrame:
     rows = corpus.select(*keys, texts.alias("_texts")).withColumn(
         "_keys", tx.norm_keys("_texts")
     )
-    zipped = F.transform(
-        "_texts",
-        lambda x, i: F.struct(
-            (i + 1).cast("long").alias("line"), x.alias("text"),
-            F.get("_keys", i).alias("key"),
-        ),
+    zipped = F.zip_with(
+        "_texts", "_keys", lambda x, k: F.struct(x.alias("text"), k.alias("key"))
+    )
+    numbered = F.transform(
+        zipped,
+        lambda x, i: F.struct((i + 1).cast("long").alias("line"), x["text"].alias("text"),
+                              x["key"].alias("key")),
     )
     kept = F.filter(
-        zipped, lambda x: (x["text"] != "") & ~tx.is_heading(x["text"]) & (x["key"] != "")
+        numbered, lambda x: (x["text"] != "") & ~tx.is_heading(x["text"]) & (x["key"] != "")
     )
     total = F.aggregate("_lines", F.lit(0), lambda a, x: a + F.length(x["key"]))
     docs = rows.select(*keys, kept.alias("_lines")).withColumn("_total", total)
@@ -78,17 +80,20 @@ def known_lines(corpus: DataFrame, keys: Sequence[str]) -> DataFrame:
     return found.unionByName(empty)
 
 
-def _cue_table(docs: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _cue_table(
+    cues: DataFrame, docs: DataFrame, reasons: DataFrame, keys: Sequence[str]
+) -> DataFrame:
     """Cue rows of the documents without a reason, one reason row for each other document."""
-    good = docs.where("reason is null").select(*keys, F.posexplode("_cues").alias("_i", "_c"))
-    nothing = lambda kind: F.lit(None).cast(kind)
-    return good.select(
-        *keys, F.col("_i").cast("long").alias("cue_idx"), "_c.start_sample", "_c.end_sample",
-        "_c.text", nothing("string").alias("reason"),
+    nothing = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    refused = docs.select(*keys).join(reasons, list(keys), "left").withColumn(
+        "reason", F.coalesce("reason", F.when(F.coalesce("_lyrics", F.lit(0)) == 0, "no_lyric_cues"))
+    ).where("reason is not null")
+    return cues.join(refused.select(*keys), list(keys), "left_anti").select(
+        *keys, "cue_idx", "start_sample", "end_sample", "text", nothing("string", "reason")
     ).unionByName(
-        docs.where("reason is not null").select(
-            *keys, nothing("long").alias("cue_idx"), nothing("long").alias("start_sample"),
-            nothing("long").alias("end_sample"), nothing("string").alias("text"), "reason",
+        refused.select(
+            *keys, nothing("long", "cue_idx"), nothing("long", "start_sample"),
+            nothing("long", "end_sample"), nothing("string", "text"), "reason",
         )
     )
 
@@ -96,97 +101,70 @@ def _cue_table(docs: DataFrame, keys: Sequence[str]) -> DataFrame:
 def lrc_cues(corpus: DataFrame, keys: Sequence[str]) -> DataFrame:
     """LRC documents (``text``, ``duration_samples``) to cues that end at the next start.
 
-    An offset line moves only the lines after it.
+    An offset line moves only the lines after it. Windows run over the lines of
+    one document, which all come from one input row.
     """
     keys = list(keys)
-    numbered = F.transform(
-        tx.lines(F.col("text")),
-        lambda x, i: F.struct(
-            i.alias("i"), F.regexp_replace(x, "^﻿+|﻿+$", "").alias("raw")
-        ),
-    )
-    offsets = F.transform(
-        F.filter("_lines", lambda x: x["raw"].rlike(LRC_OFFSET)),
-        lambda x: F.struct(
-            x["i"].alias("i"),
-            (F.regexp_extract(x["raw"], LRC_OFFSET, 1).cast("long") * 48).alias("shift"),
-        ),
-    )
-
-    def shift(i: Column) -> Column:
-        before = F.filter("_offsets", lambda o: o["i"] < i)
-        return F.coalesce(F.try_element_at(before, F.lit(-1))["shift"], F.lit(0).cast("long"))
-
-    def group(x: Column, n: int) -> Column:
-        return F.regexp_extract_all(x, F.lit(LRC_STAMP), F.lit(n))
-
-    parsed = F.transform(
-        F.filter("_lines", lambda x: ~x["raw"].rlike(LRC_OFFSET)),
-        lambda x: F.struct(
-            x["raw"].alias("raw"),
-            tx.trim(F.regexp_replace(x["raw"], LRC_STAMP, "")).alias("text"),
-            F.zip_with(
-                F.zip_with(
-                    group(x["raw"], 1), group(x["raw"], 2),
-                    lambda m, s: F.struct(m.alias("m"), s.alias("s")),
-                ),
-                group(x["raw"], 3),
-                lambda ms, f: clock.lrc_samples(ms["m"], ms["s"], f) + shift(x["i"]),
-            ).alias("starts"),
-        ),
-    )
-    lyric = F.filter(
-        "_parsed",
-        lambda x: (F.size(x["starts"]) > 0) & (x["text"] != "") & ~tx.is_bracket_heading(x["text"]),
-    )
-    starts = F.flatten(
-        F.transform(
-            "_lyric",
-            lambda x: F.transform(
-                x["starts"], lambda s: F.struct(s.alias("start"), x["text"].alias("text"))
-            ),
-        )
-    )
-    following = lambda i: F.get("_starts", i + 1)["start"]
-    cues = F.transform(
-        "_starts",
-        lambda c, i: F.struct(
-            c["start"].alias("start_sample"),
-            F.coalesce(following(i), "duration_samples").alias("end_sample"),
-            c["text"].alias("text"),
-        ),
-    )
-    unsupported = F.exists(
-        "_parsed",
-        lambda x: (F.size(x["starts"]) == 0) & (tx.trim(x["raw"]) != "")
-        & ~x["raw"].rlike(LRC_METADATA),
-    )
-    reason = (
-        F.when(unsupported, "unsupported_lyric_line")
-        .when(F.exists("_lyric", lambda x: F.length(x["text"]) > tx.MAX_LINE), "lyric_text_too_long")
-        .when(F.exists("_starts", lambda c: c["start"].isNull()), "invalid_lyric_timestamp")
-        .when(F.size("_starts") == 0, "no_lyric_cues")
-        .when(
-            F.exists(
-                "_starts", lambda c: (c["start"] < 0) | (c["start"] >= F.col("duration_samples"))
-            ),
-            "lyrics_out_of_bounds",
-        )
-        .when(
-            F.exists("_cues", lambda c: c["end_sample"] <= c["start_sample"]),
-            "non_monotonic_lyrics",
+    rows = corpus.select(
+        *keys, "duration_samples", F.posexplode(tx.lines(F.col("text"))).alias("_i", "_raw")
+    ).withColumn("_raw", F.regexp_replace("_raw", "^﻿+|﻿+$", ""))
+    is_offset = F.col("_raw").rlike(LRC_OFFSET)
+    shift = F.when(is_offset, F.regexp_extract("_raw", LRC_OFFSET, 1).cast("long") * 48)
+    so_far = (
+        Window.partitionBy(*keys).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    )
+    group = lambda n: F.regexp_extract_all("_raw", F.lit(LRC_STAMP), F.lit(n))
+    parsed = (
+        rows.withColumn("_shift", F.last(shift, ignorenulls=True).over(so_far))
+        .where(~is_offset)
+        .withColumn("_stamps", F.arrays_zip(group(1).alias("m"), group(2).alias("s"), group(3).alias("f")))
+        .withColumn("text", tx.trim(F.regexp_replace("_raw", LRC_STAMP, "")))
+    )
+    has_text = (F.size("_stamps") > 0) & (F.col("text") != "")
+    lyric = has_text & ~tx.is_bracket_heading(F.col("text"))
+    timed = parsed.where(lyric).select(
+        *keys, "duration_samples", "_i", "_shift", "text",
+        F.posexplode("_stamps").alias("_k", "_t"),
+    )
+    start = clock.lrc_samples(F.col("_t.m"), F.col("_t.s"), F.col("_t.f")) + F.coalesce(
+        "_shift", F.lit(0).cast("long")
+    )
+    order = Window.partitionBy(*keys).orderBy("_i", "_k")
+    cues = timed.withColumn("start_sample", start).select(
+        *keys, "duration_samples", "text", "start_sample",
+        (F.row_number().over(order) - 1).cast("long").alias("cue_idx"),
+        F.coalesce(F.lead("start_sample").over(order), "duration_samples").alias("end_sample"),
+    )
+    unsupported = parsed.where(
+        (F.size("_stamps") == 0) & (tx.trim(F.col("_raw")) != "") & ~F.col("_raw").rlike(LRC_METADATA)
+    )
+    flags = (
+        cues.select(
+            *keys,
+            F.when(F.length("text") > tx.MAX_LINE, 2)
+            .when(F.col("start_sample").isNull(), 3)
+            .when(
+                (F.col("start_sample") < 0)
+                | (F.col("start_sample") >= F.col("duration_samples")), 4)
+            .when(F.col("end_sample") <= F.col("start_sample"), 5)
+            .alias("_flag"),
+            F.lit(1).alias("_lyric"),
         )
+        .unionByName(unsupported.select(*keys, F.lit(1).alias("_flag"), F.lit(0).alias("_lyric")))
+        .groupBy(*keys)
+        .agg(F.min("_flag").alias("_flag"), F.sum("_lyric").alias("_lyrics"))
+    )
+    names = F.array(
+        *[
+            F.lit(n)
+            for n in (
+                "unsupported_lyric_line", "lyric_text_too_long", "invalid_lyric_timestamp",
+                "lyrics_out_of_bounds", "non_monotonic_lyrics",
+            )
+        ]
     )
-    docs = (
-        corpus.withColumn("_lines", numbered)
-        .withColumn("_offsets", offsets)
-        .withColumn("_parsed", parsed)
-        .withColumn("_lyric", lyric)
-        .withColumn("_starts", starts)
-        .withColumn("_cues", cues)
-        .select(*keys, "_cues", reason.alias("reason"))
-    )
-    return _cue_table(docs, keys)
+    reasons = flags.select(*keys, "_lyrics", F.get(names, F.col("_flag") - 1).alias("reason"))
+    return _cue_table(cues, corpus, reasons, keys)
 
 
 def srt_cues(corpus: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -195,65 +173,52 @@ def srt_cues(corpus: DataFrame, keys: Sequence[str]) -> DataFrame:
     Headings are skipped but still count for the overlap test.
     """
     keys = list(keys)
-    text = F.regexp_replace(F.regexp_replace("text", "\r\n", "\n"), "^[﻿\n ]+|[﻿\n ]+$", "")
-    blocks = F.split(text, r"\n\s*\n")
-
-    def body(block: Column) -> Column:
-        rows = F.split(block, "\n")
-        return F.when(
-            tx.trim(F.get(rows, F.lit(0))).rlike(r"^\d+$"), F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0)))
-        ).otherwise(rows)
-
-    def part(rows: Column) -> Column:
-        timing = tx.trim(F.get(rows, F.lit(0)))
-        piece = lambda n: F.regexp_extract(timing, SRT_TIMING, n)
-        matched = timing.rlike(SRT_TIMING)
-        lyric = tx.trim(
-            F.array_join(F.transform(F.slice(rows, F.lit(2), F.size(rows)), lambda r: tx.trim(r)), "\n")
-        )
-        return F.struct(
-            (F.size(rows) < 2).alias("short"),
-            F.when(matched, clock.srt_samples(piece(1), piece(2), piece(3), piece(4))).alias("start"),
-            F.when(matched, clock.srt_samples(piece(5), piece(6), piece(7), piece(8))).alias("end"),
-            lyric.alias("text"),
-        )
-
-    end_before = lambda i: F.get("_parts", i - 1)["end"]
-
-    def why(x: Column, i: Column) -> Column:
-        return (
-            F.when(x["short"], "invalid_srt_block")
-            .when(x["start"].isNull() | x["end"].isNull(), "invalid_lyric_timestamp")
-            .when(x["text"] == "", "empty_lyric_cue")
-            .when(x["end"] <= x["start"], "invalid_lyric_range")
-            .when(x["end"] > F.col("duration_samples"), "lyrics_out_of_bounds")
-            .when((i > 0) & (end_before(i) > x["start"]), "overlapping_lyrics")
-            .when(
-                ~tx.is_bracket_heading(x["text"]) & (F.length(x["text"]) > tx.MAX_LINE),
-                "lyric_text_too_long",
-            )
-        )
-
-    reasons = F.filter(F.transform("_parts", why), lambda r: r.isNotNull())
-    cues = F.transform(
-        F.filter("_parts", lambda x: ~tx.is_bracket_heading(x["text"])),
-        lambda x: F.struct(
-            x["start"].alias("start_sample"), x["end"].alias("end_sample"), x["text"].alias("text")
-        ),
+    text = F.regexp_replace(
+        F.regexp_replace("text", "\r\n", "\n"), "^[﻿\n ]+|[﻿\n ]+$", ""
     )
-    docs = (
-        corpus.withColumn("_blocks", blocks)
-        .withColumn("_rows", F.transform("_blocks", body))
-        .withColumn("_parts", F.transform("_rows", part))
-        .withColumn("_cues", cues)
-        .select(
-            *keys, "_cues",
-            F.coalesce(
-                F.get(reasons, F.lit(0)), F.when(F.size("_cues") == 0, "no_lyric_cues")
-            ).alias("reason"),
+    blocks = corpus.select(
+        *keys, "duration_samples",
+        F.posexplode(F.split(text, r"\n\s*\n")).alias("_i", "_block"),
+    )
+    body = F.regexp_replace("_block", r"^\s*\d+\s*(?:\n|$)", "")
+    rows = (
+        blocks.withColumn("_body", body)
+        .withColumn("_timing", tx.trim(F.substring_index("_body", "\n", 1)))
+        .withColumn(
+            "text",
+            tx.trim(F.regexp_replace(F.regexp_replace("_body", r"^[^\n]*\n?", ""), r"[ \t]*\n[ \t]*", "\n")),
         )
     )
-    return _cue_table(docs, keys)
+    piece = lambda n: F.regexp_extract("_timing", SRT_TIMING, n)
+    matched = F.col("_timing").rlike(SRT_TIMING)
+    sample = lambda n: F.when(matched, clock.srt_samples(*[piece(n + k) for k in range(4)]))
+    order = Window.partitionBy(*keys).orderBy("_i")
+    parts = (
+        rows.withColumn("start_sample", sample(1))
+        .withColumn("end_sample", sample(5))
+        .withColumn("_before", F.lag("end_sample").over(order))
+        .withColumn("_heading", tx.is_bracket_heading(F.col("text")))
+    )
+    start, end = F.col("start_sample"), F.col("end_sample")
+    why = (
+        F.when(~F.col("_body").contains("\n"), "invalid_srt_block")
+        .when(start.isNull() | end.isNull(), "invalid_lyric_timestamp")
+        .when(F.col("text") == "", "empty_lyric_cue")
+        .when(end <= start, "invalid_lyric_range")
+        .when(end > F.col("duration_samples"), "lyrics_out_of_bounds")
+        .when(F.col("_before") > start, "overlapping_lyrics")
+        .when(~F.col("_heading") & (F.length("text") > tx.MAX_LINE), "lyric_text_too_long")
+    )
+    judged = parts.withColumn("_why", why)
+    reasons = judged.groupBy(*keys).agg(
+        F.min_by("_why", F.when(F.col("_why").isNotNull(), F.col("_i"))).alias("reason"),
+        F.count_if(~F.col("_heading")).alias("_lyrics"),
+    )
+    cues = judged.where(~F.col("_heading")).select(
+        *keys, "start_sample", "end_sample", "text",
+        (F.row_number().over(order) - 1).cast("long").alias("cue_idx"),
+    )
+    return _cue_table(cues, corpus, reasons, keys)
 
 
 def timed_chars(tokens: DataFrame, keys: Sequence[str], block: int) -> DataFrame:

@@ -23,7 +23,7 @@ BRACKET = r"^\s*\[[^\]\r\n]+\]\s*$"
           SELECT doc_id, CAST(generate_subscripts(s, 1) AS BIGINT) AS line,
                  regexp_replace(unnest(s), '^\\s+|\\s+$', '', 'g') AS text
           FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
-        k AS (SELECT *, lower(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS key FROM l
+        k AS (SELECT *, replace(lower(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]', '', 'g')), 'ß', 'ss') AS key FROM l
               WHERE text <> '' AND NOT regexp_matches(text, '{HEAD}')),
         t AS (SELECT *, sum(length(key)) OVER (PARTITION BY doc_id) AS total FROM k WHERE key <> '')
         SELECT doc_id, line, md5(text) AS text, md5(key) AS key,
@@ -42,7 +42,7 @@ def known_lines(t):
 @query(
     "norm_key",
     """SELECT conv_id, turn, md5(key) AS key, length(key) AS size
-       FROM (SELECT conv_id, turn, lower(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) AS key
+       FROM (SELECT conv_id, turn, replace(lower(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')), 'ß', 'ss') AS key
              FROM conversations)""",
 )
 def norm_key(t):
@@ -169,7 +169,7 @@ def tokens(t):
 
 
 TOKENS = """tok AS (
-  SELECT track_id, i, lower(regexp_replace(w, '[^\\p{L}\\p{N}]', '', 'g')) AS key
+  SELECT track_id, i, replace(lower(regexp_replace(w, '[^\\p{L}\\p{N}]', '', 'g')), 'ß', 'ss') AS key
   FROM (SELECT item_id AS track_id, CAST(generate_subscripts(s, 1) AS BIGINT) - 1 AS i, unnest(s) AS w
         FROM (SELECT item_id, regexp_split_to_array(
                 regexp_replace(text, '(.{6}).', '\\1', 'g'), '[ \\n]+') AS s FROM benchmark))),
@@ -204,7 +204,7 @@ def lines(t):
 
 LINES = f"""lines AS (
   SELECT *, length(key) AS n, sum(length(key)) OVER (PARTITION BY track_id ORDER BY line) AS stop
-  FROM (SELECT track_id, line, text, lower(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS key
+  FROM (SELECT track_id, line, text, replace(lower(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]', '', 'g')), 'ß', 'ss') AS key
         FROM (SELECT item_id AS track_id, CAST(generate_subscripts(s, 1) AS BIGINT) AS line,
                      regexp_replace(unnest(s), '^\\s+|\\s+$', '', 'g') AS text
               FROM (SELECT item_id, string_split(text, chr(10)) AS s FROM benchmark))
