@@ -6,7 +6,7 @@ import importlib
 
 from trackloom.plans.registry import REGISTRY, runner
 
-MODULES = ["clock", "signals", "structure", "resolve", "text"]
+MODULES = ["clock", "signals", "structure", "resolve", "text", "rules", "lineage", "compare"]
 
 
 def all_queries():
