@@ -6,7 +6,8 @@ import importlib
 
 from trackloom.plans.registry import REGISTRY, runner
 
-MODULES = ["clock", "signals", "structure", "resolve", "text", "rules", "lineage", "compare"]
+MODULES = ["clock", "signals", "structure", "resolve", "text", "rules", "lineage", "compare",
+           "files", "streams"]
 
 
 def all_queries():
