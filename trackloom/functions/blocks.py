@@ -53,6 +53,16 @@ def salted_join(
     return big.withColumn("_salt", spread).join(copies, [*on, "_salt"], how).drop("_salt")
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash-partition into ``spark.sql.shuffle.partitions`` tasks that stay apart.
+
+    Adaptive execution merges small partitions by their bytes; before a step that
+    multiplies rows or runs Python, the work counts and not the bytes.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, *columns)
+
+
 def with_halo(
     df: DataFrame, index: str, size: int, before: int = 0, after: int = 0
 ) -> DataFrame:
@@ -221,6 +231,7 @@ def blocked_fold(
     entry_type: str,
     run: Callable,
     run_fields: str,
+    limits: DataFrame | None = None,
 ) -> DataFrame:
     """Run a sequential automaton over blocks that are packed as one row each.
 
@@ -229,7 +240,8 @@ def blocked_fold(
     does to the carried state, ``fold(chain)`` walks only those tuples (block
     number first) and gives the state at the start of each, and
     ``run(row)`` replays the block from ``row["_entry"]`` and gives one list per
-    run field. Both uses of ``packed`` share its exchange.
+    run field. Both uses of ``packed`` share its exchange. ``limits`` adds columns
+    per key that only ``effect`` reads.
     """
     keys = list(keys)
     types = {f.name: f.dataType.simpleString() for f in packed.schema}
@@ -272,9 +284,12 @@ def blocked_fold(
                     {n: np.concatenate([p[n] for p in parts]) for n in [*keys, *run_names]}
                 )
 
-    summary = packed.mapInPandas(effects, f"{key_ddl}, _block bigint, {effect_fields}")
+    source = packed if limits is None else salted_join(packed, limits, keys, "left")
+    summary = source.mapInPandas(effects, f"{key_ddl}, _block bigint, {effect_fields}")
     chain = summary.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("_block", *effect_names))).alias("_chain")
     )
     entry = chain.mapInPandas(entries, f"{key_ddl}, _block bigint, _entry {entry_type}")
-    return packed.join(entry, [*keys, "_block"]).mapInPandas(replay, f"{key_ddl}, {run_fields}")
+    # A left join leaves the plan of ``packed`` as it is, so its exchange is reused.
+    joined = packed.join(entry, [*keys, "_block"], "left")
+    return joined.mapInPandas(replay, f"{key_ddl}, {run_fields}")

@@ -6,10 +6,12 @@ half-even. Products widen to DECIMAL(38,0); a result over 2^53-1 becomes null.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.functions.blocks import int_div, salted_join
+from trackloom.functions.blocks import int_div, salted_join, spread
 
 SAMPLE_RATE = 48_000
 MAX_SAFE_INTEGER = 2**53 - 1
@@ -43,11 +45,25 @@ def is_safe(value) -> Column:
     return (value >= 0) & (value <= F.lit(MAX_SAFE_INTEGER))
 
 
+def _narrow_limit(*factors) -> int | None:
+    """Largest operand whose product with constant factors fits a long, if all are constants."""
+    if not all(isinstance(f, int) and f > 0 for f in factors):
+        return None
+    return (2**62) // math.prod(factors)
+
+
 def sample_at_frame(frame, rate, fps_num, fps_den) -> Column:
     """Sample at which a frame starts: floor(frame * rate * den / num)."""
     result = _floor_div(_product(frame, rate, fps_den), _wide(fps_num))
     ok = is_safe(frame) & is_safe(result)
-    return F.when(ok, result.cast("long"))
+    exact = F.when(ok, result.cast("long"))
+    limit = _narrow_limit(rate, fps_den)
+    if limit is None or not isinstance(fps_num, int):
+        return exact
+    # Small operands, which are nearly all, stay in long arithmetic.
+    short = int_div(_col(frame).cast("long") * (rate * fps_den), fps_num)
+    fits = _col(frame).between(0, limit)
+    return F.when(fits, F.when(short <= MAX_SAFE_INTEGER, short)).otherwise(exact)
 
 
 def first_frame_at_sample(sample, rate, fps_num, fps_den) -> Column:
@@ -55,7 +71,16 @@ def first_frame_at_sample(sample, rate, fps_num, fps_den) -> Column:
     divisor = _product(rate, fps_den)
     result = _floor_div(_product(sample, fps_num) + divisor - F.lit(1), divisor)
     ok = is_safe(sample) & is_safe(result)
-    return F.when(ok, result.cast("long"))
+    exact = F.when(ok, result.cast("long"))
+    limit = _narrow_limit(fps_num)
+    if limit is None or not isinstance(rate, int) or not isinstance(fps_den, int):
+        return exact
+    step = rate * fps_den
+    if step > 2**62:
+        return exact
+    short = int_div(_col(sample).cast("long") * fps_num + (step - 1), step)
+    fits = _col(sample).between(0, limit)
+    return F.when(fits, F.when(short <= MAX_SAFE_INTEGER, short)).otherwise(exact)
 
 
 def frame_count(duration, rate, fps_num, fps_den) -> Column:
@@ -89,7 +114,7 @@ def frame_grid(
     first = first_frame_at_sample(start, rate, fps_num, fps_den)
     stop = first_frame_at_sample(end, rate, fps_num, fps_den)
     run = 4096
-    runs = (
+    runs = spread(
         ranges.withColumn("_first", first)
         .withColumn("_stop", stop)
         .where("_stop > _first")

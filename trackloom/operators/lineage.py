@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.functions.blocks import salted_join
 from trackloom.sources.tables import materialize
 
 
@@ -99,9 +100,8 @@ def stale(edges: DataFrame, changed: DataFrame, max_depth: int = 64) -> DataFram
     level = materialize(changed.select("id").distinct().withColumn("depth", F.lit(0)))
     seen = level
     for depth in range(1, max_depth + 1):
-        reached = edges.join(level.select(F.col("id").alias("to_id")), "to_id").select(
-            F.col("from_id").alias("id")
-        )
+        front = level.select(F.col("id").alias("to_id"))
+        reached = salted_join(edges, front, ["to_id"]).select(F.col("from_id").alias("id"))
         level = materialize(
             reached.distinct().join(seen.select("id"), "id", "left_anti").withColumn(
                 "depth", F.lit(depth)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Sequence
 
 import numpy as np
@@ -15,6 +16,7 @@ from trackloom.functions.blocks import (
     neighbour,
     owner_interval,
     salted_join,
+    spread,
 )
 
 # Layer parameters as (kind, name, default, minimum, maximum, domain).
@@ -242,7 +244,7 @@ def resolve_routes(
 def check_refs(layers: DataFrame, assets: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Reason per layer whose asset is absent or of another type."""
     known = assets.select("asset_id", F.col("type").alias("_type"))
-    rows = layers.join(known, "asset_id", "left")
+    rows = salted_join(layers, known, ["asset_id"], "left")
     reason = F.when(F.col("_type").isNull(), "unknown_asset").when(
         F.col("_type") != F.col("kind"), "asset_type_mismatch"
     )
@@ -358,8 +360,9 @@ def smooth(
 
     The first output is the first target. A step maps the state p to
     x + (p - x) * r with r chosen by the side of x, so it is increasing and
-    piecewise linear in p, and so is a whole block. A block hands on only the
-    corners of that map and its two outer slopes, one task per track walks these,
+    piecewise linear in p, and so is a whole block. The state never leaves the
+    range of the targets. A block hands on only the corners of its map over that
+    range (few, because each step shrinks it), one task per track walks these,
     and then all blocks replay in parallel.
 
     ``frames``: keys, frame, target, attack_seconds, release_seconds.
@@ -370,61 +373,47 @@ def smooth(
         return _decay(row["_attack"], delta_seconds), _decay(row["_release"], delta_seconds)
 
     def walk(targets, state, up, down):
-        out = np.empty(len(targets))
-        for k, x in enumerate(targets):
+        out = []
+        for x in targets:
             state = x + (state - x) * (up if x > state else down)
-            out[k] = state
+            out.append(state)
         return out
 
     def effect(row):
         up, down = rates(row)
-        targets = np.asarray(row["_targets"], dtype=np.float64)
-        corner, value = targets[:1].copy(), targets[:1].copy()
-        low, high = up, down
-        for x in targets[1:]:
-            k = int(np.searchsorted(value, x))
-            at = None
-            if k == 0 and value[0] != x:
-                at = corner[0] + (x - value[0]) / low if low > 0 else None
-            elif k == len(value):
-                at = corner[-1] + (x - value[-1]) / high if high > 0 else None
-            elif value[k] != x:
+        targets = np.asarray(row["_targets"], dtype=np.float64).tolist()
+        corner = sorted({row["_lo"], row["_hi"]})
+        value = list(corner)
+        for n, x in enumerate(targets):
+            if value[0] == value[-1]:
+                value = [walk(targets[n:], value[0], up, down)[-1]] * len(corner)
+                break
+            k = bisect_left(value, x)
+            if 0 < k < len(value) and value[k] != x:
                 share = (x - value[k - 1]) / (value[k] - value[k - 1])
-                at = corner[k - 1] + share * (corner[k] - corner[k - 1])
-            if at is not None and np.isfinite(at):
-                corner, value = np.insert(corner, k, at), np.insert(value, k, x)
-            value = x + (value - x) * np.where(value < x, up, down)
-            low, high = low * up, high * down
-            if len(value) > 2:
-                flat = (value[1:-1] == value[:-2]) & (value[1:-1] == value[2:])
-                if flat.any():
-                    keep = np.concatenate([[True], ~flat, [True]])
-                    corner, value = corner[keep], value[keep]
-        return walk(targets, targets[0], up, down)[-1], corner, value, low, high
+                corner.insert(k, corner[k - 1] + share * (corner[k] - corner[k - 1]))
+                value.insert(k, x)
+            value = [x + (v - x) * (up if v < x else down) for v in value]
+        return walk(targets, targets[0], up, down)[-1], corner, value
 
     def fold(chain):
         state, entries = float("nan"), []
-        for _, seeded, corner, value, low, high in chain:
+        for _, seeded, corner, value in chain:
             entries.append(state)
-            if math.isnan(state):
-                state = seeded
-            elif state < corner[0]:
-                state = value[0] + (state - corner[0]) * low
-            elif state > corner[-1]:
-                state = value[-1] + (state - corner[-1]) * high
-            else:
-                state = float(np.interp(state, corner, value))
+            state = seeded if math.isnan(state) else float(np.interp(state, corner, value))
         return entries
 
     def run(row):
         up, down = rates(row)
-        targets, entry = row["_targets"], row["_entry"]
+        targets = np.asarray(row["_targets"], dtype=np.float64).tolist()
+        entry = row["_entry"]
         state = targets[0] if entry is None or math.isnan(entry) else entry
-        return row["_frames"], walk(targets, state, up, down)
+        return row["_frames"], np.array(walk(targets, state, up, down))
 
     items = F.sort_array(F.collect_list(F.struct("frame", "target")))
+    cut = spread(frames.withColumn("_block", int_div("frame", block)), *keys, "_block")
     packed = (
-        frames.groupBy(*keys, int_div("frame", block).alias("_block"))
+        cut.groupBy(*keys, "_block")
         .agg(
             items.alias("_items"),
             F.max("attack_seconds").alias("_attack"),
@@ -435,11 +424,14 @@ def smooth(
             F.col("_items.frame").alias("_frames"), F.col("_items.target").alias("_targets"),
         )
     )
+    limits = packed.groupBy(*keys).agg(
+        F.min(F.array_min("_targets")).alias("_lo"), F.max(F.array_max("_targets")).alias("_hi")
+    )
     return blocked_fold(
         packed, keys,
-        effect,
-        "_seeded double, _corner array<double>, _value array<double>, _low double, _high double",
+        effect, "_seeded double, _corner array<double>, _value array<double>",
         fold, "double", run, "frame bigint, value double",
+        limits=limits,
     )
 
 

@@ -161,8 +161,8 @@ def anchored_edges(spans: DataFrame, anchors: DataFrame, keys: Sequence[str]) ->
 
 def content_hash(refs: DataFrame, inventory: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Recorded hash against the inventory; a path that is not there is missing."""
-    rows = refs.join(
-        inventory.select("path", F.col("sha256").alias("_actual")), "path", "left"
+    rows = salted_join(
+        refs, inventory.select("path", F.col("sha256").alias("_actual")), ["path"], "left"
     )
     detail = F.when(F.col("_actual").isNull(), "missing_file").otherwise("hash_mismatch")
     return violations(

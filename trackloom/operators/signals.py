@@ -15,6 +15,7 @@ from trackloom.functions.blocks import (
     home_rows,
     int_div,
     salted_join,
+    spread,
     with_halo,
 )
 
@@ -213,7 +214,10 @@ def minimum_wait(peaks: DataFrame, keys: Sequence[str], wait: int, block: int) -
         kept, _ = walk(row["_index"], row["_block"] * block + row["_entry"])
         return (np.array(kept, dtype=np.int64),)
 
-    packed = peaks.groupBy(*keys, int_div("idx", block).alias("_block")).agg(
+    cut = spread(
+        peaks.select(*keys, "idx").withColumn("_block", int_div("idx", block)), *keys, "_block"
+    )
+    packed = cut.groupBy(*keys, "_block").agg(
         F.sort_array(F.collect_list("idx")).alias("_index")
     )
     kept = blocked_fold(

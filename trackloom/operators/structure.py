@@ -19,6 +19,7 @@ from trackloom.functions.blocks import (
     ordinal,
     owner_interval,
     salted_join,
+    spread,
     with_halo,
 )
 from trackloom.operators.signals import SILENCE, diff_novelty
@@ -168,9 +169,7 @@ def self_similarity(
     )
     left = tiles.select(*keys, F.col("_tile").alias("_a"), F.col("_cells").alias("_left"))
     right = tiles.select(*keys, F.col("_tile").alias("_b"), F.col("_cells").alias("_right"))
-    work = near.join(left, [*keys, "_a"]).join(right, [*keys, "_b"]).select(
-        *keys, "_left", "_right"
-    )
+    work = near.join(left, [*keys, "_a"]).join(right, [*keys, "_b"])
     key_list = list(keys)
 
     def unpack(group):
@@ -196,7 +195,7 @@ def self_similarity(
                     }
                 )
 
-    return work.mapInPandas(
+    return spread(work, *keys, "_a", "_b").select(*keys, "_left", "_right").mapInPandas(
         multiply, f"{key_ddl}, i bigint, j bigint, similarity double, loud boolean"
     )
 
@@ -471,7 +470,7 @@ def selection_policy(
     refused = choices.select(*keys).distinct().join(
         existing.select(*keys).distinct(), list(keys), "left_semi"
     )
-    return refused if policy == "require-empty" else refused.limit(0)
+    return refused if policy == "require-empty" else refused.where(F.lit(False))
 
 
 def auto_sections(
