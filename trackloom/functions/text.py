@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 
 import pandas as pd
@@ -40,9 +41,12 @@ def is_bracket_heading(text: Column) -> Column:
     return text.rlike(BRACKET_HEADING)
 
 
+# Everything that is not a letter or digit in any script (a word character but "_").
+_NOT_ALNUM = re.compile(r"[\W_]+")
+
+
 def _key(value: str) -> str:
-    folded = unicodedata.normalize("NFKC", value)
-    return "".join(c.casefold() for c in folded if c.isalnum())
+    return _NOT_ALNUM.sub("", unicodedata.normalize("NFKC", value)).casefold()
 
 
 @F.pandas_udf(T.StringType())

@@ -19,7 +19,7 @@ FADE = 3 * 3600 * 1_000_000
 
 
 def spans(t):
-    return rs.fill_gaps(v.sections(t), v.tracks(t), KEY, EB)
+    return rs.fill_gaps(t.shared("sections", v.sections), v.tracks(t), KEY, EB)
 
 
 SPANS = f"""lagged AS (
@@ -402,7 +402,7 @@ owned AS (
 def owned_events(t):
     points = v.events(t).select("event_id", "track_id", "sample")
     return rs.owner_span(
-        points, numbered_spans(t), KEY, EB, ["section_id", "asset_id", "opacity", "enabled"]
+        points, t.shared("numbered", numbered_spans), KEY, EB, ["section_id", "asset_id", "opacity", "enabled"]
     )
 
 
@@ -603,7 +603,7 @@ def layered_spans(t):
                round((0.5 + b * 0.125) + ((part - b) * 0.125) * q, 6), 1.0, part <> 3 FROM f""",
 )
 def frame_params(t):
-    out = rs.frame_params(frames(t), layered_spans(t), routed(t), KEY, EB)
+    out = rs.frame_params(frames(t), t.shared("layered", layered_spans), routed(t), KEY, EB)
     return out.withColumns({"value": F.round("value", 6), "opacity": F.round("opacity", 6)})
 
 

@@ -56,7 +56,7 @@ def hop_rms(t):
         FROM bands b JOIN m ON b.track_id = m.track_id AND b.name = m.name""",
 )
 def normalize_signals(t):
-    return _round(sg.normalize(v.band_signals(t), ["track_id", "name"]), "value").select(
+    return _round(sg.normalize(t.shared("bands", v.band_signals), ["track_id", "name"]), "value").select(
         "track_id", "name", "idx", "value"
     )
 
@@ -126,21 +126,29 @@ kept AS (
     ) AS idx FROM lists)"""
 
 
-def envelope(t):
+def make_envelope(t):
     return sg.onset_envelope(v.band_signals(t), KEY, "name", B)
 
 
+def envelope(t):
+    return t.shared("envelope", make_envelope)
+
+
+def loudness(t):
+    return sg.normalize(envelope(t), KEY)
+
+
 @query(
     "onset_envelope",
     f"WITH {v.EV}, {v.BANDS}, {ENVELOPE} SELECT track_id, idx, round(value, 6) AS value FROM env",
 )
 def onset_envelope(t):
-    return _round(envelope(t), "value")
+    return _round(make_envelope(t), "value")
 
 
 def onsets(t):
     return sg.detect_onsets(
-        sg.normalize(envelope(t), KEY), KEY, B, WAIT, pre_max=PRE_MAX, post_max=POST_MAX,
+        t.shared("loudness", loudness), KEY, B, WAIT, pre_max=PRE_MAX, post_max=POST_MAX,
         pre_avg=PRE_AVG, post_avg=POST_AVG, delta=DELTA,
     )
 
@@ -196,7 +204,7 @@ def events_from_frames(t):
         FROM ev e JOIN nx s ON e.track_id = s.track_id AND s.idx = e.sample // {v.HOP}""",
 )
 def sample_signal(t):
-    out = sg.sample_signal(v.signals(t), v.events(t), KEY, v.HOP, B)
+    out = sg.sample_signal(t.shared("signals", v.signals), v.events(t), KEY, v.HOP, B)
     return _round(out, "level").select("event_id", "level")
 
 

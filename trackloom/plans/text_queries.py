@@ -111,7 +111,7 @@ def lrc_corpus(t):
         UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, reason FROM r WHERE reason IS NOT NULL""",
 )
 def lrc_cues(t):
-    return ly.lrc_cues(lrc_corpus(t), DOC).withColumn("text", F.md5(F.col("text").cast("binary")))
+    return ly.lrc_cues(t.shared("lrc", lrc_corpus), DOC).withColumn("text", F.md5(F.col("text").cast("binary")))
 
 
 def srt_corpus(t):
@@ -152,7 +152,7 @@ def srt_corpus(t):
         UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, reason FROM r WHERE reason IS NOT NULL""",
 )
 def srt_cues(t):
-    return ly.srt_cues(srt_corpus(t), DOC).withColumn("text", F.md5(F.col("text").cast("binary")))
+    return ly.srt_cues(t.shared("srt", srt_corpus), DOC).withColumn("text", F.md5(F.col("text").cast("binary")))
 
 
 def tokens(t):
