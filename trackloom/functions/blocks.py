@@ -63,6 +63,25 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     return df.repartition(tasks, *columns)
 
 
+def explode_range(
+    df: DataFrame, first: Column, stop: Column, name: str, run: int = 4096
+) -> DataFrame:
+    """One row per integer of ``[first, stop)``; a long range is cut into runs that spread out."""
+    runs = (
+        df.withColumn("_first", first.cast("long"))
+        .withColumn("_stop", stop.cast("long"))
+        .where("_stop > _first")
+        .withColumn(
+            "_run", F.explode(F.sequence(int_div("_first", run), int_div(F.col("_stop") - 1, run)))
+        )
+    )
+    low = F.greatest("_first", F.col("_run") * run)
+    high = F.least(F.col("_stop"), (F.col("_run") + 1) * run) - 1
+    return (
+        spread(runs).withColumn(name, F.explode(F.sequence(low, high))).drop("_first", "_stop", "_run")
+    )
+
+
 def with_halo(
     df: DataFrame, index: str, size: int, before: int = 0, after: int = 0
 ) -> DataFrame:

@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.functions.blocks import int_div, salted_join, spread
+from trackloom.functions.blocks import explode_range, int_div, salted_join
 
 SAMPLE_RATE = 48_000
 MAX_SAFE_INTEGER = 2**53 - 1
@@ -108,26 +108,12 @@ def frame_grid(
 ) -> DataFrame:
     """One row per frame of each half-open range, with global frame numbers.
 
-    The frames are cut into runs of at most 4096 before they are exploded, so a
-    long range does not have to be produced by one task.
+    A long range is cut into runs before it is exploded, so no task makes all of it.
     """
     first = first_frame_at_sample(start, rate, fps_num, fps_den)
     stop = first_frame_at_sample(end, rate, fps_num, fps_den)
-    run = 4096
-    runs = spread(
-        ranges.withColumn("_first", first)
-        .withColumn("_stop", stop)
-        .where("_stop > _first")
-        .withColumn(
-            "_run", F.explode(F.sequence(int_div("_first", run), int_div(F.col("_stop") - 1, run)))
-        )
-    )
-    lo = F.greatest("_first", F.col("_run") * run)
-    hi = F.least(F.col("_stop"), (F.col("_run") + 1) * run) - 1
-    return (
-        runs.withColumn("frame", F.explode(F.sequence(lo, hi)))
-        .drop("_first", "_stop", "_run")
-        .withColumn("sample", sample_at_frame("frame", rate, fps_num, fps_den))
+    return explode_range(ranges, first, stop, "frame").withColumn(
+        "sample", sample_at_frame("frame", rate, fps_num, fps_den)
     )
 
 

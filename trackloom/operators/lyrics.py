@@ -67,17 +67,15 @@ def known_lines(corpus: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
     total = F.aggregate("_lines", F.lit(0), lambda a, x: a + F.length(x["key"]))
     docs = rows.select(*keys, kept.alias("_lines")).withColumn("_total", total)
-    reason = F.when(F.col("_total") > MAX_KNOWN, "alignment_text_too_large").when(
-        F.length("line.text") > tx.MAX_LINE, "lyric_text_too_long"
+    reason = (
+        F.when(F.col("line").isNull(), "no_lyric_lines")
+        .when(F.col("_total") > MAX_KNOWN, "alignment_text_too_large")
+        .when(F.length("line.text") > tx.MAX_LINE, "lyric_text_too_long")
     )
-    found = docs.select(*keys, "_total", F.explode("_lines").alias("line")).select(
+    # One pass: a document without usable lines comes out as one row without a line.
+    return docs.select(*keys, "_total", F.explode_outer("_lines").alias("line")).select(
         *keys, "line.line", "line.text", "line.key", reason.alias("reason")
     )
-    empty = docs.where(F.size("_lines") == 0).select(
-        *keys, F.lit(None).cast("long").alias("line"), F.lit(None).cast("string").alias("text"),
-        F.lit(None).cast("string").alias("key"), F.lit("no_lyric_lines").alias("reason"),
-    )
-    return found.unionByName(empty)
 
 
 def _cue_table(

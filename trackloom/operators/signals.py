@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions.blocks import (
     blocked_fold,
+    explode_range,
     halo_window,
     home_rows,
     int_div,
@@ -38,12 +39,10 @@ def frame_hops(
         F.sum(F.col("value") * F.col("value")).alias("energy"),
         F.count("*").alias("samples"),
     )
-    grid = lengths.where("duration_samples > 0").select(
-        *keys,
-        F.explode(
-            F.sequence(F.lit(0).cast("long"), int_div(F.col("duration_samples") - 1, hop))
-        ).alias("idx"),
-    )
+    hops = int_div(F.col("duration_samples") + (hop - 1), hop)
+    grid = explode_range(
+        lengths.select(*keys, "duration_samples"), F.lit(0), hops, "idx"
+    ).drop("duration_samples")
     return grid.join(sums, [*keys, "idx"], "left").fillna(
         {"total": 0.0, "energy": 0.0, "samples": 0}
     )
@@ -271,17 +270,18 @@ def estimate_beats(
     phases = (
         salted_join(envelope, period, keys)
         .groupBy(*keys, "lag", (F.col("idx") % F.col("lag")).alias("_phase"))
-        .agg(F.sum("value").alias("_sum"), F.max("idx").alias("_last"))
+        .agg(F.sum("value").alias("_sum"))
         .groupBy(*keys, "lag")
         .agg(
             F.max_by(
                 "_phase", F.struct(F.round("_sum", 6).alias("s"), (-F.col("_phase")).alias("p"))
             ).alias("phase"),
-            F.max("_last").alias("_last"),
         )
     )
-    return phases.select(
-        *keys, "lag", "phase", F.explode(F.sequence("phase", "_last", "lag")).alias("idx")
+    return (
+        salted_join(envelope.select(*keys, "idx"), phases, keys)
+        .where("idx % lag = phase")
+        .select(*keys, "lag", "phase", "idx")
     )
 
 
@@ -364,30 +364,11 @@ def length_plan(lengths: DataFrame) -> DataFrame:
 
 def align_length(samples: DataFrame, plan: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Apply a length plan: drop samples past the target, add zero samples up to it."""
-    run = 65_536
     target = plan.select(*keys, "target_samples")
     kept = salted_join(samples, target, keys).where("sample < target_samples")
-    zeros = (
-        plan.where("action = 'pad'")
-        .withColumn(
-            "_run",
-            F.explode(
-                F.sequence(
-                    int_div("natural_samples", run), int_div(F.col("target_samples") - 1, run)
-                )
-            ),
-        )
-        .select(
-            *keys,
-            F.explode(
-                F.sequence(
-                    F.greatest("natural_samples", F.col("_run") * run),
-                    F.least(F.col("target_samples"), (F.col("_run") + 1) * run) - 1,
-                )
-            ).alias("sample"),
-            F.lit(0.0).alias("value"),
-        )
-    )
+    zeros = explode_range(
+        plan.where("action = 'pad'"), F.col("natural_samples"), F.col("target_samples"), "sample"
+    ).select(*keys, "sample", F.lit(0.0).alias("value"))
     return kept.select(*keys, "sample", "value").unionByName(zeros)
 
 
