@@ -34,3 +34,14 @@ def test_smoothing_does_not_depend_on_blocks_and_excerpts(spark):
     b = sorted(map(tuple, two.select(*names).where(cut).collect()))
     assert a and a == b
     assert v.HOPS == 120
+
+
+def test_plans_have_no_cross_join_and_no_single_task(spark):
+    queries = entry.queries()
+    for name in (
+        "hop_rms", "sync_mean", "sample_signal", "fill_gaps", "owner_span", "active_cue",
+        "rule_ordered_ranges", "cache_key", "compare_variants", "union_length", "evaluate",
+    ):
+        plan = queries[name](spark, ROOT)._jdf.queryExecution().executedPlan().toString()
+        for shape in ("CartesianProduct", "BroadcastNestedLoopJoin", "SinglePartition"):
+            assert shape not in plan, (name, shape)

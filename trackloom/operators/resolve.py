@@ -485,9 +485,16 @@ def frame_params(
     """
     keys = list(keys)
     owned = owner_span(frames, spans, keys, block, ["layers"])
-    driven = dedupe_routes(routed, keys).groupBy(*keys, "frame").agg(
-        F.map_from_entries(
-            F.collect_list(F.struct(F.concat_ws(".", "target_layer", "target_parameter"), "value"))
+    # All routes of a frame in one row, in route order: the last of a name wins.
+    driven = routed.groupBy(*keys, "frame").agg(
+        F.sort_array(
+            F.collect_list(
+                F.struct(
+                    "route_idx",
+                    F.concat_ws(".", "target_layer", "target_parameter").alias("name"),
+                    "value",
+                )
+            )
         ).alias("_driven")
     )
     layer = F.col("_layer")
@@ -510,12 +517,13 @@ def frame_params(
         return F.when(fading, start + (end - start) * F.col("progress")).otherwise(end)
 
     name = F.concat_ws(".", "_layer.layer_id", "parameter")
+    wins = F.try_element_at(F.filter("_driven", lambda x: x["name"] == name), F.lit(-1))
     start = F.col("_prior.parameters")[F.col("parameter")]
     return rows.select(
         *keys, "frame", "sample",
         F.col("_layer.layer_id").alias("layer_id"),
         "parameter",
-        F.coalesce(F.col("_driven")[name], fade(start, F.col("_end"))).alias("value"),
+        F.coalesce(wins["value"], fade(start, F.col("_end"))).alias("value"),
         fade(F.col("_prior.opacity"), F.col("_layer.opacity")).alias("opacity"),
         F.col("_layer.enabled").alias("enabled"),
     )
