@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import exact_dedup, mixing, near_dedup, sharding
+from trackloom.llm import exact_dedup, language, mixing, near_dedup, packing, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,10 +15,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.train_and_identify(_table(spark, sf_dir, "documents"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.similar_components(_table(spark, sf_dir, "documents"), shingle=2)
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.edit_fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -90,7 +102,10 @@ FROM p
 """
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op2_language": (op2_language, None),
     "op5_near_dedup": (op5_near_dedup, None),
+    "op6_fingerprints": (op6_fingerprints, None),
+    "op7_packing": (op7_packing, None),
     "op8_exact_dedup": (op8_exact_dedup, OP8_SQL),
     "op9_sharding": (op9_sharding, None),
     "op10_mixing": (op10_mixing, OP10_SQL),

@@ -124,10 +124,10 @@ def shingle_hashes(words: np.ndarray, places: np.ndarray, size: int) -> tuple[np
     inside &= np.arange(len(words)) + size <= places[1:][row_of]
     short = np.flatnonzero((counts > 0) & (counts < size))
     for r in short:
-        value = _U(counts[r])
-        for w in words[places[r] : places[r + 1]]:
-            value = mix(np.array([value * _BASE + w], dtype=np.uint64))[0]
-        run[places[r]] = value
+        value = np.array([counts[r]], dtype=np.uint64)
+        for at in range(places[r], places[r + 1]):
+            value = mix(value * _BASE + words[at : at + 1])
+        run[places[r]] = value[0]
         inside[places[r]] = True
     kept = np.concatenate([[0], np.cumsum(inside)])
     return run[inside], kept[places]
