@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -34,52 +36,63 @@ from trackloom.sources.tables import materialize
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 LENGTH = 2048
 END_ID = 0
-GROUP_PIECES = 16_384
-CACHE_WORDS = 400_000
+GROUP_PIECES = 8_192
+CACHE_WORDS = 300_000
 
 # The tokenizer's own splitting, fixed by its vocabulary, as far as Python's classes agree
 # with it. Texts with other characters, or with the text of a special token, go through the
 # tokenizer whole.
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-ODD = re.compile("[^\x00-ɏ‐-‧€]|[\x1c-\x1f²³¹¼-¾]|<\\|endoftext\\|>")
+PLAIN = frozenset(map(chr, [*range(0x1C), *range(0x20, 0xB2), *range(0xB4, 0xB9), 0xBA, 0xBB, *range(0xBF, 0x250)]))
+PLAIN |= frozenset(map(chr, range(0x2010, 0x2028)))
+SPECIAL = "<|endoftext|>"
 
 
-class Ids:
-    """Token ids as little-endian unsigned 32-bit bytes, word by word from a bounded cache."""
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others follow 255."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+class Ids(dict):
+    """Word to its ids as little-endian unsigned 32-bit bytes, filled as words come; bounded by ``of``."""
 
     def __init__(self, path: str = TOKENIZER):
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        words = [None if ODD.search(t) else WORDS.findall(t) for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache = {}
-        new = list({w for own in words if own for w in own if w not in self.cache})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(e.ids, dtype="<u4").tobytes()
-        look = self.cache.__getitem__
-        return [
-            np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
-            if own is None
-            else b"".join(map(look, own))
-            for t, own in zip(texts, words, strict=True)
-        ]
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        shown = word.encode().decode("latin-1").translate(self.letters)
+        found = self[word] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return found
+
+    def of(self, text: str) -> bytes:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        if not PLAIN.issuperset(set(text)) or SPECIAL in text:
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.__getitem__, WORDS.findall(text)))
+
+
+@lru_cache(maxsize=1)
+def _ids(path: str) -> Ids:
+    """One tokenizer and cache for each Python worker."""
+    return Ids(path)
 
 
 def _cutter(length: int, end_id: int, path: str):
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(path)
+        ids = _ids(path)
         for batch in batches:
             rows, out = batch.num_rows, []
-            for at in range(0, rows, 256):
-                texts = [t or "" for t in batch.column("text").slice(at, 256).to_pylist()]
-                for i, data in enumerate(ids.of(texts)):
-                    data += end
+            for at in range(0, rows, 64):
+                for i, text in enumerate(batch.column("text").slice(at, 64).to_pylist()):
+                    data = ids.of(text or "") + end
                     n = len(data) // 4
                     start, piece = 0, 0
                     while start < n:
