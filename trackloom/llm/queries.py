@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import exact_dedup, language, mixing, near_dedup, packing, sharding, simhash
+from trackloom.llm import (
+    exact_dedup,
+    html_extract,
+    language,
+    licenses,
+    mixing,
+    near_dedup,
+    packing,
+    secret_scan,
+    sharding,
+    simhash,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,10 +26,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(_table(spark, sf_dir, "documents"))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.train_and_identify(_table(spark, sf_dir, "documents"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.similar_components(_table(spark, sf_dir, "documents"), shingle=2)
 
@@ -102,7 +125,10 @@ FROM p
 """
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_secret_scan": (op1_secret_scan, None),
     "op2_language": (op2_language, None),
+    "op3_licenses": (op3_licenses, None),
+    "op4_main_text": (op4_main_text, None),
     "op5_near_dedup": (op5_near_dedup, None),
     "op6_fingerprints": (op6_fingerprints, None),
     "op7_packing": (op7_packing, None),
