@@ -5,17 +5,20 @@
 2. Each class is posted under every (coordinate, value) pair of its signature. The
    posting lists are only counted and reduced to their length and their smallest and
    largest member, so a list of any length costs each task one row.
-3. Skip merging: for each class the smallest and the largest member that meet it most
-   often are its hubs. Linked to a hub (confirmed on full sets), classes form first
-   components; a large group of copies is then one component without any pair list.
+3. Skip merging: the smallest and the largest member that a class meets most often are
+   its hubs. Linked to a hub (confirmed on full sets), classes form first components; a
+   large group of copies is then one component without any pair list. Classes of one
+   smallest hub that are not linked to it are counted against the hub's group in blocks
+   of bounded size, by inverted lists of full sets; only links that join two components
+   leave the block.
 4. Prefix merging: with ``match`` collisions of ``coordinates`` asked for, two classes
    must share one of the ``coordinates - match + 1`` rarest pairs of either. Only these
    pairs are joined, only lists that meet several components, and only classes of
-   different components; pairs with too few collisions go. What is left is confirmed
-   on full sets, and the components are closed.
+   different components and hubs; pairs with too few collisions go. What is left is
+   confirmed on full sets, and the components are closed.
 
-A pair at the similarity limit (0.8) misses ``match`` = 12 of 32 collisions with a
-probability below 1e-6; no other case is lost, and nothing is capped.
+A pair at the similarity limit (0.8) misses ``match`` = 26 of 48 collisions with a
+probability of about 1e-5; no other case is lost, and nothing is capped.
 
 Cases: a null text, or one without words, has an empty set and is linked with
 nothing. Rows with a null id are linked with nothing, have a null component and are
@@ -28,6 +31,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +40,10 @@ from trackloom.llm.components import components
 from trackloom.llm.shingles import mix, shingle_hashes, word_hashes
 from trackloom.sources.tables import materialize
 
-COORDINATES = 32
-MATCH = 12
+COORDINATES = 48
+MATCH = 26
+BLOCK = 2048
+OUTER_BLOCK = 512
 SEED = 5
 
 
@@ -107,13 +113,18 @@ def _set_maker(size: int) -> Callable:
     return sets
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
+def _sets(wanted: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """doc_id and full shingle set of the wanted classes (column doc_id)."""
     kind = texts.schema["doc_id"].dataType.simpleString()
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = materialize(
-        texts.join(wanted, "doc_id", "left_semi").mapInArrow(_set_maker(size), f"doc_id {kind}, shingles array<long>")
+    return materialize(
+        texts.join(wanted.distinct(), "doc_id", "left_semi").mapInArrow(
+            _set_maker(size), f"doc_id {kind}, shingles array<long>"
+        )
     )
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough."""
     both = F.size(F.array_intersect("sa", "sb"))
     return (
         pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
@@ -123,22 +134,86 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     )
 
 
-def _hub_pairs(posted: DataFrame, match: int) -> DataFrame:
-    """(a, b): each class with the smallest and the largest class that meet it most often."""
+def _hubs(posted: DataFrame, column: str, match: int) -> DataFrame:
+    """(doc_id, hub): each class with the head of its lists (``least`` or ``most``) that it meets most often.
 
-    def best(column: str) -> DataFrame:
-        met = (
-            posted.where(F.col(column) != F.col("doc_id"))
-            .groupBy("doc_id", column)
-            .agg(F.count(F.lit(1)).alias("n"))
-            .groupBy("doc_id")
-            .agg(F.max(F.struct("n", F.col(column).alias("hub"))).alias("m"))
-        )
-        # A hub meets by the list it heads only; half of the asked collisions make it worth a look.
-        return met.where(F.col("m.n") * 2 >= match).select(F.col("doc_id").alias("a"), F.col("m.hub").alias("b"))
-
-    pairs = best("least").union(best("most"))
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    A head counts only in the lists it heads; half of the asked collisions make it a hub.
+    """
+    met = (
+        posted.where(F.col(column) != F.col("doc_id"))
+        .groupBy("doc_id", column)
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("doc_id")
+        .agg(F.max(F.struct("n", F.col(column).alias("hub"))).alias("m"))
+    )
+    return met.where(F.col("m.n") * 2 >= match).select("doc_id", F.col("m.hub").alias("hub"))
+
+
+def _pairs(hubs: DataFrame) -> DataFrame:
+    return hubs.select(F.greatest("doc_id", "hub").alias("a"), F.least("doc_id", "hub").alias("b")).distinct()
+
+
+def _block_links(part: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links between the outer rows and all rows of a block that join different components."""
+    own, outer = part[~part["outer"]], part[part["outer"]]
+    ids, roots = own["doc_id"].to_numpy(), own["root"].to_numpy()
+    lengths = own["shingles"].map(len).to_numpy()
+    values = np.concatenate(list(own["shingles"])) if len(own) else np.zeros(0, np.int64)
+    order = np.argsort(values, kind="stable")
+    holder = np.repeat(np.arange(len(own)), lengths)[order]
+    values = values[order]
+    joined: dict = {}
+
+    def top(x):
+        while joined.get(x, x) != x:
+            x = joined[x]
+        return x
+
+    out = []
+    for doc_id, root, shingles in zip(outer["doc_id"], outer["root"], outer["shingles"], strict=True):
+        if not len(own):
+            break
+        lo, hi = np.searchsorted(values, shingles, "left"), np.searchsorted(values, shingles, "right")
+        lists = [holder[i:j] for i, j in zip(lo, hi, strict=True) if i < j]
+        if not lists:
+            continue
+        both = np.bincount(np.concatenate(lists), minlength=len(own))
+        near = 100 * both >= percent * (lengths + len(shingles) - both)
+        for k in np.flatnonzero(near & (roots != root)):
+            x, y = top(root), top(roots[k])
+            if x != y:
+                joined[max(x, y)] = min(x, y)
+                out.append((max(doc_id, ids[k]), min(doc_id, ids[k])))
+    return pd.DataFrame(out, columns=["a", "b"])
+
+
+def _group_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) inside the groups (hub, doc_id, root, apart): rows apart from their hub against all rows."""
+    kind = groups.schema["doc_id"].dataType.simpleString()
+    sizes = (
+        groups.groupBy("hub")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("apart").cast("long")).alias("n_apart"))
+        .where("n_apart > 0 and n > 2")
+    )
+    draw = F.xxhash64("doc_id")
+    rows = (
+        groups.join(sizes, "hub")
+        .withColumn("own_blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+        .withColumn("outer_blocks", F.ceil(F.col("n_apart") / OUTER_BLOCK).cast("int"))
+        .join(sets, "doc_id")
+    )
+    whole = F.expr("sequence(0, outer_blocks - 1)")
+    own = rows.select(
+        "hub", F.pmod(draw, "own_blocks").cast("int").alias("i"), F.explode(whole).alias("j"), F.lit(False).alias("outer"),
+        "doc_id", "root", "shingles",
+    )
+    outer = rows.where("apart").select(
+        "hub", F.explode(F.expr("sequence(0, own_blocks - 1)")).alias("i"), F.pmod(draw, "outer_blocks").cast("int").alias("j"),
+        F.lit(True).alias("outer"), "doc_id", "root", "shingles",
+    )
+    return own.union(outer).groupBy("hub", "i", "j").applyInPandas(
+        lambda part: _block_links(part, percent), f"a {kind}, b {kind}"
+    )
 
 
 def similar_components(
@@ -178,9 +253,22 @@ def similar_components(
         .where("length > 1")
     )
     posted = materialize(posts.join(lists, ["place", "value"]))
-    hubs = materialize(_hub_pairs(posted, match))
-    linked = materialize(_confirmed(hubs, docs, shingle, percent))
+    hubs = materialize(_hubs(posted, "least", match))
+    pairs = materialize(_pairs(hubs.union(_hubs(posted, "most", match))))
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), docs, shingle)
+    linked = materialize(_confirmed(pairs, sets, percent))
     first = materialize(components(linked))
+    roots = first.withColumnRenamed("node", "doc_id")
+    heads = first.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
+    groups = (
+        hubs.union(hubs.select("hub", "hub")).distinct()
+        .join(roots, "doc_id", "left")
+        .withColumn("root", F.coalesce("root", "doc_id"))
+        .join(heads, "hub", "left")
+        .withColumn("apart", F.col("root") != F.coalesce("hub_root", "hub"))
+        .drop("hub_root")
+    )
+    grouped = materialize(_group_links(groups, sets, percent))
 
     # A pair alone in its list stands before all shared ones in the order of rarity.
     skip = coordinates - match + 1
@@ -191,22 +279,26 @@ def similar_components(
         .where("room > 0")
         .select("doc_id", "n_shingles", F.explode(F.expr("slice(own, 1, room)")).alias("p"))
         .select("doc_id", "n_shingles", "p.place", "p.value")
-        .join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        .withColumn("root", F.coalesce("root", "doc_id"))
+        .join(roots, "doc_id", "left")
+        .join(hubs, "doc_id", "left")
+        .withColumns({"root": F.coalesce("root", "doc_id"), "hub": F.coalesce("hub", "doc_id")})
     )
     rarest = materialize(rarest)
     mixed = (
-        rarest.groupBy("place", "value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+        rarest.groupBy("place", "value")
+        .agg(*[f(c).alias(n + c) for c in ("root", "hub") for n, f in (("lo_", F.min), ("hi_", F.max))])
+        .where("lo_root < hi_root and lo_hub < hi_hub")
         .select("place", "value")
     )
     open_posts = materialize(rarest.join(mixed, ["place", "value"], "left_semi"))
-    one = open_posts.select("place", "value", *[F.col(c).alias(f"{c}_a") for c in ("doc_id", "n_shingles", "root")])
-    two = open_posts.select("place", "value", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "n_shingles", "root")])
+    one = open_posts.select("place", "value", *[F.col(c).alias(f"{c}_a") for c in ("doc_id", "n_shingles", "root", "hub")])
+    two = open_posts.select("place", "value", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "n_shingles", "root", "hub")])
     near = (
         one.join(two, ["place", "value"])
         .where(
             (F.col("doc_id_a") > F.col("doc_id_b"))
             & (F.col("root_a") != F.col("root_b"))
+            & (F.col("hub_a") != F.col("hub_b"))
             & (100 * F.col("n_shingles_a") >= percent * F.col("n_shingles_b"))
             & (100 * F.col("n_shingles_b") >= percent * F.col("n_shingles_a"))
         )
@@ -223,9 +315,9 @@ def similar_components(
         .select("a", "b")
         .distinct()
     )
-    more = _confirmed(materialize(counted), docs, shingle, percent)
-    all_links = linked.union(more)
-    closed = components(all_links)
+    counted = materialize(counted)
+    more = _confirmed(counted, _sets(counted.select(F.explode(F.array("a", "b")).alias("doc_id")), docs, shingle), percent)
+    closed = components(linked.union(grouped).union(more))
     by_class = (
         classes.select(*key, "rep")
         .join(closed.withColumnRenamed("node", "rep"), "rep", "left")
