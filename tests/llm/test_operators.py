@@ -1,0 +1,276 @@
+"""Edge cases and brute force for the document operators."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+from fractions import Fraction
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from trackloom.llm import (
+    components, exact_dedup, html_extract, language, licenses, mixing, near_dedup, packing, secret_scan, sharding, simhash,
+)
+from trackloom.llm.packing import Ids
+from tokenizers import Tokenizer
+
+ROOT = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, n_bytes long"
+LONG = " ".join(f"word{i} of the" for i in range(30_000))
+ROWS = [
+    (1, "the cat sat on the mat and looked at the dog all day", "en", "a", 1, 1, 1),
+    (2, "the cat sat on the mat and looked at the dog all day", None, "b", 1, 1, 1),
+    (2, "the cat sat on the mat and looked at the dog all day", None, "b", 1, 1, 1),
+    (3, None, None, None, None, None, None),
+    (4, "", "en", "a", 0, 0, 0),
+    (5, "123 !!", "en", "c", 1, 1, 1),
+    (6, LONG, "en", "b", 1, 1, 1),
+    (None, "a row without an id", "de", "a", 1, 1, 1),
+    (7, "under the MIT License, or the Apache License, Version 2.0. gnu  general public\nlicense", "fr", "a", 1, 1, 1),
+    (8, 'set token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" now', "fr", "t/test.py", 1, 1, 1),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ROWS, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def table(spark):
+    return spark.read.parquet(f"{ROOT}/documents.parquet")
+
+
+def test_exact(docs, none):
+    rows = exact_dedup.exact_groups(docs).collect()
+    by = {(r.doc_id, r.text_sha256): r for r in rows}
+    assert len(rows) == len(ROWS) and exact_dedup.exact_groups(none).count() == 0
+    cat = hashlib.sha256(ROWS[0][1].encode()).hexdigest()
+    assert (by[1, cat].keep_id, by[1, cat].group_size, by[1, cat].kept) == (2, 3, False) and by[2, cat].kept
+    empty = hashlib.sha256(b"").hexdigest()
+    assert by[3, empty].keep_id == 4 and by[4, empty].kept
+    kept = exact_dedup.exact_dedup(docs)
+    assert kept.columns == docs.columns
+    assert Counter(r.doc_id for r in kept.collect()) == Counter([2, 4, 5, 6, None, 7, 8])
+    assert exact_dedup.exact_dedup(none).count() == 0
+
+
+def brute_components(rows, n):
+    sets = {}
+    for i, text in rows:
+        w = (text or "").encode().lower().split()
+        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
+    root = {i: i for i in sets}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for p, i in enumerate(ids):
+        for j in ids[:p]:
+            both = len(sets[i] & sets[j])
+            if sets[i] and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = top(i), top(j)
+                root[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), top(i)) for i in ids}
+
+
+@pytest.mark.parametrize("size", [2, 5])
+def test_near_against_brute_force(spark, table, size):
+    base = [f"w{i}" for i in range(60)]
+    # A chain in which only neighbours are similar, and a group around a hub.
+    chain = [(1000 + k, " ".join(base[2 * k :] + [f"x{k}{i}" for i in range(2 * k)])) for k in range(12)]
+    group = [(2000 + k, " ".join([*base[: 5 * k % 60], f"y{k}", *base[5 * k % 60 + 1 :]])) for k in range(30)]
+    rows = [(r.doc_id, r.text) for r in table.select("doc_id", "text").collect()] + chain + group
+    got = near_dedup.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), shingle=size).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, size)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_near_edges(docs, none):
+    rows = near_dedup.similar_components(docs, shingle=2).collect()
+    assert len(rows) == len(ROWS) and near_dedup.similar_components(none).count() == 0
+    by = {r.doc_id: r for r in rows}
+    assert by[2].component_id == 1 and by[3].component_id == 3 and by[4].component_id == 4
+    assert by[None].component_id is None and by[None].kept
+    assert Counter(r.doc_id for r in near_dedup.near_dedup(docs).collect())[2] == 0
+
+
+def test_components(spark):
+    edges = [(i + 1, i) for i in range(40) if i % 10] + [(100, 100), (7, 3)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: (i - 1) // 10 * 10 + 1 for i in range(2, 41) if (i - 1) % 10}
+
+
+def test_sharding(docs, none, table):
+    for frame, n in ((docs, len(ROWS)), (table, table.count())):
+        rows = sharding.shard_by_bytes(frame).collect()
+        assert len(rows) == n
+        for s in {r.shard for r in rows}:
+            assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+    loads = Counter()
+    for r in rows:
+        loads[r.shard] += r.size
+    assert len(loads) == 8 and max(loads.values()) - min(loads.values()) <= max(r.size for r in rows)
+    text = {r.doc_id: r.text or "" for r in table.collect()}
+    assert all(r.size == len(text[r.doc_id].encode()) + 1 and r.text_crc32 == zlib.crc32(text[r.doc_id].encode()) for r in rows)
+    assert sharding.shard_by_bytes(none).count() == 0
+
+
+def test_mixing(docs, none, spark):
+    rows = mixing.mix(docs).collect()
+    assert len(rows) == len(ROWS) and mixing.mix(none).count() == 0
+    assert all(0 <= r.taken <= 2 * r.size for r in rows)
+    again = mixing.mix(docs.repartition(5)).collect()
+    assert Counter(map(tuple, rows)) == Counter(map(tuple, again))
+    goal = mixing.targets({"a": 100, "b": 10, None: 1000})
+    assert sum(goal.values()) == Fraction(3, 2) * 1110 and all(goal[s] <= 2 * n for s, n in {"a": 100, "b": 10, None: 1000}.items())
+    # Overlap: what both sources can use goes where it is needed, and nothing repeats while words are left.
+    flow = mixing.route({("a",): 50, ("a", "b"): 100, ("b",): 10}, {"a": 100, "b": 60})
+    assert flow == {("a",): 50, ("a", "b"): 100, ("b",): 10}
+    assert mixing.mixed_documents(docs).columns == docs.columns
+    both = spark.createDataFrame([(1, "x y", ["a", "b"]), (2, "z", ["a"])], "doc_id long, text string, source array<string>")
+    assert {r.doc_id: r.source_size for r in mixing.mix(both).collect()} == {1: 5, 2: 3}
+
+
+def test_packing(docs, none, table):
+    assert packing.pack(none).count() == 0 and packing.pack(docs).where("doc_id = 6").count() > 10
+    rows = packing.pack(table).collect()
+    plain, total = Tokenizer.from_file(packing.TOKENIZER), 0
+    by, places = {}, {}
+    for r in rows:
+        by.setdefault(r.doc_id, []).append(r)
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for d in table.collect():
+        ids = [*plain.encode(d.text or "", add_special_tokens=False).ids, 0]
+        total += len(ids)
+        own = sorted(by[d.doc_id], key=lambda r: r.piece)
+        assert [r.start for r in own] == [0, *np.cumsum([r.length for r in own])[:-1]] and len(own) == -(-len(ids) // 2048)
+        for r in own:
+            assert zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32
+    for own in places.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(places) <= 1.03 * -(-total // 2048) + 1
+
+
+def test_words_give_the_tokenizer_ids():
+    plain, own = Tokenizer.from_file(packing.TOKENIZER), Ids()
+    for text in ("I'm  here\n\n x_y 12ab", "über çá ñ — “q” … é", "x² \x1c y　z 漢字 <|endoftext|>", "\t\n  ", "it's 'S _a_"):
+        assert list(np.frombuffer(own.of(text), "<u4")) == plain.encode(text, add_special_tokens=False).ids, text
+
+
+@pytest.mark.parametrize("score", ["norm", "dot"])
+def test_best_fit_keeps_every_limit(score):
+    lengths = np.sort(np.random.default_rng(1).integers(1, 900, 400))[::-1]
+    bins = packing.best_fit(lengths, (1000, 5, 500_000), (1.0, 0.2, 0.2), score)
+    for b in set(bins):
+        own = lengths[bins == b]
+        assert own.sum() <= 1000 and len(own) <= 5 and (own**2).sum() <= 500_000 or len(own) == 1
+
+
+def test_language(docs, none, table):
+    assert language.train_and_identify(none).count() == 0
+    got = language.train_and_identify(docs).collect()
+    assert len(got) == len(ROWS) and {r.lang_pred for r in got if r.doc_id in (3, 4, 5)} == {"und"}
+    truth = {r.doc_id: r.lang for r in table.collect()}
+    test = [r for r in language.train_and_identify(table).collect() if r.held_out]
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 3 == 1 and 0 <= r.score <= 1 for r in test)
+    assert sum(r.lang_pred == truth[r.doc_id] for r in test) >= 0.95 * len(test)
+    kept = language.known_language(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {1, 2, 6, None, 7, 8}
+
+
+def test_gradients_of_the_network():
+    rng = np.random.default_rng(0)
+    table, inner = rng.standard_normal((6, 256)).astype(np.float32) * 0.3, rng.standard_normal((6, 2)).astype(np.float32) * 0.3
+    data, weight = rng.integers(1, 5, (4, 3)), rng.standard_normal((4, 2, 3)).astype(np.float32)
+    kept = []
+    states = language._forward(table, inner, data, kept)
+    slope = language._backward(table, inner, data, kept, states, weight)[1]
+    for at in np.ndindex(inner.shape):
+        step = np.zeros_like(inner)
+        step[at] = 1e-2
+        rise = [(language._forward(table, inner + s, data) * weight).sum() for s in (step, -step)]
+        assert abs((rise[0] - rise[1]) / 2e-2 - slope[at]) < 3e-2
+
+
+def test_licenses(docs, none):
+    assert licenses.scan_licenses(none).count() == 0
+    by = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
+    r = by[7]
+    assert (r.n_words, r.n_base, r.first_word, r.last_word) == (15, 3, 2, 11) and r.base_labels == "apache,gpl,mit"
+    assert by[3].n_words == 0 and by[3].labels == "" and by[3].first_word is None
+    a = licenses.compile_template("t", "a [b [c]] {0,2} d")
+    for text, n in (("a d", 2), ("a b d", 3), ("a b c d x", 4), ("a x y d", 4), ("a x y z d", 0), ("b d", 0)):
+        assert a.accepts(text.encode().split(), 0) == n, text
+
+
+def page(i, body):
+    return (i, f"http://h.example/{i}", f"<html><body><nav><a>menu {i}</a></nav><p>Terms &amp; more</p>{body}<footer>f</footer></body></html>")
+
+
+def test_html(spark):
+    plain = [page(i, f"<div><p>text {i}<br>more&nbsp;&lt; {i * 7}</p><script>x('</p>')</script><p>second {i}</div>") for i in range(8)]
+    odd = [(100, None, None), (101, "x", "<p>a</p>" * 300), (None, "y", "<article><h1>T</h1><p><b>A<br><p>B</article><aside>no</aside>")]
+    rows = html_extract.extract(spark.createDataFrame(plain + odd, "page_id long, url string, html string")).collect()
+    by = {r.page_id: r.text for r in rows}
+    assert by[3] == "text 3 more < 21\n\nsecond 3" and by[100] == "" and by[None] == "T\n\nA\n\nB" and by[101].count("a") == 300
+    assert all(r.n_chars == len(r.text) for r in rows)
+    x, y = html_extract.parse("<div><p>1</p><ul><li>2</ul></div>"), html_extract.parse("<div><p>1</p><p>0</p><ul><li>3</ul></div>")
+    assert html_extract.score(x, y) == x.size
+
+
+def test_pages_table(spark):
+    table = spark.read.parquet(f"{ROOT}/pages.parquet")
+    want = {r.page_id: re.search(r"<article>(.*)</article>", r.html, re.S)[1] for r in table.collect()}
+    for r in html_extract.extract(table).collect():
+        blocks = [html_extract.unescape(re.sub("<[^>]*>", " ", b)) for b in re.split(r"</?(?:p|h1)>", want[r.page_id])]
+        assert r.text == "\n\n".join(" ".join(b.split()) for b in blocks if b.strip())
+
+
+def test_simhash(docs, none, table, spark):
+    assert simhash.edit_fingerprints(none).count() == 0 and simhash.edit_fingerprints(docs).count() == len(ROWS)
+    order = sorted(table.collect(), key=lambda r: -r.doc_id)
+    got = {r.doc_id: r for r in simhash.edit_fingerprints(table).collect()}
+    for i, d in enumerate(order):
+        nxt, k = order[(i + 1) % len(order)].text or "", len(d.text or "") // 3
+        edited = (d.text or "")[: len(d.text or "") - k] + nxt[:k]
+        assert got[d.doc_id].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+    prints = [f"{x:032x}" for x in (0, 1, 7, 0xFF, 1 << 127, (1 << 127) | 3, (1 << 64) - 1)]
+    want = {(a, b) for a in prints for b in prints if a < b and (int(a, 16) ^ int(b, 16)).bit_count() <= 3}
+    found = simhash.within_radius(spark.createDataFrame([(p,) for p in prints * 2], "fingerprint string"), 3).collect()
+    assert {(r.a, r.b) for r in found} == want
+
+
+def test_secrets(docs, none):
+    assert secret_scan.scan_secrets(none).count() == 0
+    found = secret_scan.candidates(docs).collect()
+    assert [(r.candidate, r.name) for r in found] == [("24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "token")]
+    assert [r.secret for r in secret_scan.scan_secrets(docs).collect()] == [True]
+
+
+def test_pipeline(spark):
+    docs = spark.read.parquet(f"{ROOT}/documents.parquet")
+    rows = corpus_pipeline.run(spark, ROOT).collect()
+    left = {r.doc_id for r in docs.where(F.col("text").rlike(r"\p{L}")).collect()}
+    text = {r.doc_id: r.text for r in docs.collect()}
+    last = {}
+    for i in sorted(left):
+        last[text[i]] = i
+    roots = brute_components([(i, text[i]) for i in last.values()], 5)
+    left = {i for i in last.values() if roots[i][1] == i}
+    assert {r.doc_id for r in rows} <= left and rows and corpus_pipeline.ORACLE_SQL is None
