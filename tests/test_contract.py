@@ -19,7 +19,7 @@ def test_queries_and_sql_have_the_same_names():
     queries, sql = all_queries()
     assert set(queries) <= set(entry.queries())
     without = set(queries) - set(sql)
-    assert without == {"align_pairs", "aligned_lines", "schema_drift"}
+    assert without == {"align_pairs", "aligned_lines"}
     assert all(re.fullmatch(r"[a-z0-9_]+", n) for n in queries)
 
 

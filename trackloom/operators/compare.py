@@ -83,10 +83,14 @@ def thumbnail_size(width: Column, height: Column, longest: int = THUMBNAIL) -> C
 def signature(facts: str, ignored: Sequence[str]) -> Column:
     """Hash of a fact map without the ignored names, independent of map order."""
     kept = F.map_filter(facts, lambda k, _: ~k.isin(*ignored))
+
+    def part(text: Column) -> Column:  # with its length, so that no two maps read the same
+        return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
     pairs = F.transform(
-        F.array_sort(F.map_entries(kept)), lambda e: F.concat_ws("=", e["key"], e["value"])
+        F.array_sort(F.map_entries(kept)), lambda e: F.concat(part(e["key"]), part(e["value"]))
     )
-    return F.sha2(F.array_join(pairs, ";"), 256)
+    return F.sha2(F.array_join(pairs, ""), 256)
 
 
 def bundle(parts: DataFrame, keys: Sequence[str], fields: Sequence[str], block: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -91,7 +92,7 @@ def conflicts(new: DataFrame, old: DataFrame) -> DataFrame:
     )
 
 
-def stale(edges: DataFrame, changed: DataFrame, max_depth: int = 64) -> DataFrame:
+def stale(edges: DataFrame, changed: DataFrame) -> DataFrame:
     """Everything that depends on a changed artifact, with the shortest distance to one.
 
     ``edges``: from_id depends on to_id. One join per level; each level is written
@@ -99,7 +100,7 @@ def stale(edges: DataFrame, changed: DataFrame, max_depth: int = 64) -> DataFram
     """
     level = materialize(changed.select("id").distinct().withColumn("depth", F.lit(0)))
     seen = level
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1):
         front = level.select(F.col("id").alias("to_id"))
         reached = salted_join(edges, front, ["to_id"]).select(F.col("from_id").alias("id"))
         level = materialize(
@@ -107,10 +108,10 @@ def stale(edges: DataFrame, changed: DataFrame, max_depth: int = 64) -> DataFram
                 "depth", F.lit(depth)
             )
         )
-        if level.isEmpty():
-            return seen
+        if level.isEmpty():  # also after a cycle: what was seen is not reached again
+            break
         seen = seen.unionByName(level)
-    raise ValueError(f"dependencies are deeper than {max_depth}")
+    return seen
 
 
 def check_binding(

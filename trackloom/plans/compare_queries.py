@@ -104,7 +104,8 @@ def midpoints(t):
 
 @query(
     "signature",
-    """SELECT p_partkey, sha256('brand=' || p_brand || ';size=' || p_size || ';type=' || p_type) AS signature
+    """SELECT p_partkey, sha256('5:brand' || length(p_brand) || ':' || p_brand || '4:size' || length(p_size::VARCHAR) || ':' || p_size
+               || '4:type' || length(p_type) || ':' || p_type) AS signature
        FROM part""",
 )
 def signature(t):

@@ -69,12 +69,6 @@ def field_drift(t):
     return sc.field_drift(preview_docs(t), "preview")
 
 
-@query("schema_drift")
-def schema_drift(t):
-    """Schema of the stored page documents against the timeline kind (metadata only)."""
-    return sc.schema_drift(t.spark, pages(t).schema, "timeline")
-
-
 def pages(t):
     return ar.assemble_timeline(
         v.signals(t), v.events(t), v.sections(t), KEY, v.HOP, v.HOP_BLOCK

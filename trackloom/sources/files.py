@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import wave
 from collections.abc import Iterator, Sequence
 
@@ -24,7 +25,8 @@ def _local_only(path: str) -> None:
 def read_text_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Text files of the known formats with suffix, text and a reason when not valid UTF-8."""
     _local_only(path)
-    pattern = "*.{" + ",".join(TEXT_SUFFIXES) + "}"
+    either = ["".join(f"[{c}{c.upper()}]" for c in s) for s in TEXT_SUFFIXES]
+    pattern = "*.{" + ",".join(either) + "}"
     rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option(
         "recursiveFileLookup", "true"
     ).load(path)
@@ -130,8 +132,8 @@ def table_digest(df: DataFrame, columns: Sequence[str]) -> str:
 def write_once(df: DataFrame, path: str) -> str:
     """Write a table unless it exists: "written", "cached" when equal, else "conflict".
 
-    Never overwrites. The data go to a staging folder that is renamed at the end;
-    there must be one writer per path.
+    Never overwrites. The data go to a staging folder of their own that is renamed at
+    the end, so one left by a lost run blocks nothing; there must be one writer per path.
     """
     spark = df.sparkSession
     columns = sorted(df.columns)
@@ -143,7 +145,7 @@ def write_once(df: DataFrame, path: str) -> str:
             stored, columns
         ) == table_digest(df, columns)
         return "cached" if same else "conflict"
-    staging = f"{path}.staging"
+    staging = f"{path}.staging-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(staging)
     if not files.rename(spark._jvm.org.apache.hadoop.fs.Path(staging), target):
         raise OSError(f"could not move {staging} to {path}")

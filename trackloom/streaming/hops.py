@@ -36,7 +36,8 @@ def smooth_stream(
     """Attack/release smoother with the last output of each key as state.
 
     Rows of a key are ordered inside a micro-batch, whose size the source bounds.
-    A row that is older than the last one seen is dropped: the state has moved on.
+    Rows of one order value are stepped by value; a row that is older than the last one
+    seen is dropped: the state has moved on.
     """
     kind = {f.name: f.dataType.simpleString() for f in events.schema}[key]
     up = math.exp(-delta_seconds / attack_seconds) if attack_seconds > 0 else 0.0
@@ -45,11 +46,11 @@ def smooth_stream(
     def advance(
         name: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(order)
+        rows = pd.concat(list(batches)).sort_values([order, value])
         last, seen = state.get if state.exists else (None, None)
         out_order, out_value = [], []
         for at, x in zip(rows[order], rows[value]):
-            if seen is not None and at <= seen:
+            if seen is not None and at < seen:
                 continue
             last = x if last is None else x + (last - x) * (up if x > last else down)
             seen = at
