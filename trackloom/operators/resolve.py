@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackloom.functions import clock
 from trackloom.functions.blocks import (
     blocked_fold,
     int_div,
@@ -47,6 +48,14 @@ MEDIA_SPECS = (
     ("mask", "none", None, None, "choice:none|circle"),
     ("blend", "normal", None, None, "choice:normal|add"),
 )
+# Further parameters of a video; the upper bounds come from its probe.
+VIDEO_SPECS = (
+    ("offset_samples", "0", 0.0, None, "integer"),
+    ("in_frame", "0", 0.0, None, "integer"),
+    ("out_frame", None, 1.0, None, "integer"),
+    ("end_behavior", "error", None, None, "choice:error|loop|hold"),
+    ("muted", "true", None, None, "muted"),
+)
 # Parameters that a route may drive.
 ROUTE_TARGETS = {
     "orb": ("radius", "x", "y"),
@@ -59,6 +68,7 @@ TRANSFORM_PARAMETERS = {
     "threshold": ("high", "low", "threshold"),
     "smooth": ("attack_seconds", "max", "min", "release_seconds"),
 }
+# Categories that a mode requires.
 REQUIRED_CATEGORIES = {
     "abstract": ("abstract",),
     "mood": ("media",),
@@ -69,8 +79,9 @@ REQUIRED_CATEGORIES = {
 def spec_table(spark: SparkSession) -> DataFrame:
     """Parameter specification of all layer kinds; a few dozen fixed rows."""
     media = [(kind, *row) for kind in ("image", "video") for row in MEDIA_SPECS]
+    video = [("video", *row) for row in VIDEO_SPECS]
     return spark.createDataFrame(
-        [*LAYER_SPECS, *media],
+        [*LAYER_SPECS, *media, *video],
         "kind string, parameter string, fallback string, minimum double, maximum double, "
         "domain string",
     )
@@ -130,11 +141,15 @@ def span_layers(layers: DataFrame, spans: DataFrame, keys: Sequence[str]) -> Dat
 
 def _domain_reason(value: Column, lo: Column, hi: Column, domain: Column) -> Column:
     number = value.try_cast("double")
-    out_of_range = number.isNull() | F.isnan(number) | ~number.between(lo, hi)
+    # A missing bound does not limit.
+    below, above = F.coalesce(number < lo, F.lit(False)), F.coalesce(number > hi, F.lit(False))
+    out_of_range = number.isNull() | F.isnan(number) | below | above
     color_ok = value.rlike("^#[0-9a-fA-F]{6}$")
     choices = F.split(F.substring_index(domain, ":", -1), "\\|")
     return (
-        F.when((domain == "color") & ~color_ok, "invalid_color")
+        F.when(value.isNull(), None)
+        .when((domain == "color") & ~color_ok, "invalid_color")
+        .when((domain == "muted") & (value != "true"), "media_audio_forbidden")
         .when(domain.startswith("choice:") & ~F.array_contains(choices, value), "invalid_choice")
         .when((domain == "number") & out_of_range, "out_of_range")
         .when(
@@ -148,13 +163,26 @@ def resolve_params(layers: DataFrame, spec: DataFrame, keys: Sequence[str]) -> D
     """Complete parameters per layer row: given or default value, and a reason when refused.
 
     ``layers`` carries ``kind`` and ``parameters MAP<STRING,STRING>``. Given names
-    outside the specification come back as ``unknown_layer_parameter``.
+    outside the specification come back as ``unknown_layer_parameter``. Rows of videos
+    may carry ``frame_count`` and ``duration_samples`` of the probe and the track: they
+    bound the trim and give the default of ``out_frame`` (null without a probe).
     """
-    wanted = (
-        salted_join(layers, spec, ["kind"])
-        .withColumn("_given", F.col("parameters")[F.col("parameter")])
-        .withColumn("value", F.coalesce("_given", "fallback"))
+    wanted = salted_join(layers, spec, ["kind"]).withColumn(
+        "_given", F.col("parameters")[F.col("parameter")]
     )
+    probed = lambda c: F.col(c).cast("long") if c in layers.columns else F.lit(None).cast("long")
+    video = lambda name: (F.col("kind") == "video") & (F.col("parameter") == name)
+    first = F.coalesce(F.col("parameters")["in_frame"].try_cast("double"), F.lit(0.0))
+    wanted = wanted.withColumns(
+        {
+            "fallback": F.when(video("out_frame"), probed("frame_count").cast("string")).otherwise(F.col("fallback")),
+            "minimum": F.when(video("out_frame"), first + 1).otherwise(F.col("minimum")),
+            "maximum": F.when(video("in_frame"), probed("frame_count") - 1)
+            .when(video("out_frame"), probed("frame_count"))
+            .when(video("offset_samples"), probed("duration_samples") - 1)
+            .otherwise(F.col("maximum")),
+        }
+    ).withColumn("value", F.coalesce("_given", "fallback"))
     reason = _domain_reason(F.col("value"), F.col("minimum"), F.col("maximum"), F.col("domain"))
     known = wanted.select(
         *keys, "kind", "parameter",
@@ -191,10 +219,15 @@ def check_mode(layers: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def resolve_routes(
-    routes: DataFrame, signals: DataFrame, spec: DataFrame, keys: Sequence[str]
+    routes: DataFrame,
+    signals: DataFrame,
+    spec: DataFrame,
+    keys: Sequence[str],
+    track: Sequence[str] = ("track_id",),
 ) -> DataFrame:
     """Reason per route: missing signal, forbidden target, wrong parameter set or bounds.
 
+    A route needs a signal of its own track; both sides carry the columns ``track``.
     ``routes`` carries source, kind (of the layer), target_parameter, transform and
     ``params MAP<STRING,DOUBLE>``.
     """
@@ -204,7 +237,7 @@ def resolve_routes(
     need = F.when(F.col("transform") == "_", F.array().cast("array<string>"))
     for name, parameters in TRANSFORM_PARAMETERS.items():
         need = need.when(F.col("transform") == name, F.array(*[F.lit(p) for p in parameters]))
-    sources = signals.select(F.col("name").alias("source")).distinct().withColumn(
+    sources = signals.select(*track, F.col("name").alias("source")).distinct().withColumn(
         "_known", F.lit(True)
     )
     bounds = spec.where("minimum is not null").select(
@@ -212,8 +245,8 @@ def resolve_routes(
         F.col("minimum").alias("_min"), F.col("maximum").alias("_max"),
     )
     rows = salted_join(
-        salted_join(routes, sources, ["source"], "left"), bounds, ["kind", "target_parameter"],
-        "left",
+        salted_join(routes, sources, [*track, "source"], "left"), bounds,
+        ["kind", "target_parameter"], "left",
     )
     p = lambda name: F.col("params")[name]
     inside = lambda name, lo, hi: p(name).isNotNull() & ~F.isnan(p(name)) & p(name).between(lo, hi)
@@ -241,10 +274,12 @@ def resolve_routes(
     return rows.select(*keys, reason.alias("reason"))
 
 
-def check_refs(layers: DataFrame, assets: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Reason per layer whose asset is absent or of another type."""
-    known = assets.select("asset_id", F.col("type").alias("_type"))
-    rows = salted_join(layers, known, ["asset_id"], "left")
+def check_refs(
+    layers: DataFrame, assets: DataFrame, keys: Sequence[str], track: Sequence[str] = ("track_id",)
+) -> DataFrame:
+    """Reason per layer whose asset is absent from its track or of another type there."""
+    known = assets.select(*track, "asset_id", F.col("type").alias("_type"))
+    rows = salted_join(layers, known, [*track, "asset_id"], "left")
     reason = F.when(F.col("_type").isNull(), "unknown_asset").when(
         F.col("_type") != F.col("kind"), "asset_type_mismatch"
     )
@@ -256,9 +291,9 @@ def check_refs(layers: DataFrame, assets: DataFrame, keys: Sequence[str]) -> Dat
 def check_lyrics_refs(
     plans: DataFrame, assets: DataFrame, cues: DataFrame, keys: Sequence[str]
 ) -> DataFrame:
-    """Plans whose font asset is not a font, or with cues past the end of the track."""
-    fonts = assets.where("type = 'font'").select(F.col("asset_id").alias("font_asset_id"))
-    no_font = plans.join(fonts, "font_asset_id", "left_anti").select(
+    """Plans whose font asset is no font of their track, or with cues past its end."""
+    fonts = assets.where("type = 'font'").select(*keys, F.col("asset_id").alias("font_asset_id"))
+    no_font = plans.join(fonts, [*keys, "font_asset_id"], "left_anti").select(
         *keys, F.lit("invalid_lyrics_font").alias("reason")
     )
     ends = cues.groupBy(*keys).agg(F.max("end_sample").alias("_end"))
@@ -279,11 +314,12 @@ def check_trim(layers: DataFrame, rate: int = 48_000) -> DataFrame:
             "end_behavior": F.coalesce("end_behavior", F.lit("error")),
         }
     )
-    # (out - in) * den / num < (duration - offset) / rate, in whole numbers.
-    have = (F.col("out_frame") - F.col("in_frame")) * F.col("fps_den") * rate
-    need = (F.col("duration_samples") - F.col("offset_samples")) * F.col("fps_num")
+    # (out - in) * den / num < (duration - offset) / rate, in whole numbers of 38 digits.
+    have = clock._product(F.col("out_frame") - F.col("in_frame"), "fps_den", F.lit(rate))
+    need = clock._product(F.col("duration_samples") - F.col("offset_samples"), "fps_num")
     reason = (
-        F.when(~F.col("offset_samples").between(0, F.col("duration_samples") - 1), "bad_offset")
+        F.when(~F.col("end_behavior").isin("error", "loop", "hold"), "bad_end_behavior")
+        .when(~F.col("offset_samples").between(0, F.col("duration_samples") - 1), "bad_offset")
         .when(~F.col("in_frame").between(0, F.col("frame_count") - 1), "bad_in_frame")
         .when(
             ~F.col("out_frame").between(F.col("in_frame") + 1, F.col("frame_count")),
@@ -440,11 +476,11 @@ def route_values(
 ) -> DataFrame:
     """Value of every route on every frame; smoothed where the route asks for it.
 
-    ``levels``: keys, source, frame, level. ``routes``: route_idx, source,
-    target_layer, target_parameter, transform, params.
+    ``levels``: keys, source, frame, level. ``routes``: keys, route_idx, source,
+    target_layer, target_parameter, transform, params; a route drives its own track only.
     """
     keys = list(keys)
-    rows = salted_join(levels, routes, ["source"]).withColumn(
+    rows = salted_join(levels, routes, [*keys, "source"]).withColumn(
         "target", route_target(F.col("level"), F.col("transform"), F.col("params"))
     )
     names = ["target_layer", "target_parameter"]
@@ -459,7 +495,9 @@ def route_values(
         ),
         [*keys, "route_idx"], delta_seconds, block,
     )
-    labelled = salted_join(smoothed, routes.select("route_idx", *names), ["route_idx"])
+    labelled = salted_join(
+        smoothed, routes.select(*keys, "route_idx", *names), [*keys, "route_idx"]
+    )
     return plain.unionByName(labelled)
 
 
@@ -535,7 +573,8 @@ def video_frame(
 ) -> Column:
     """struct(frame, reason) of the source frame shown at a sample."""
     elapsed = F.greatest(F.lit(0).cast("long"), sample - offset)
-    advanced = int_div(elapsed * fps_num, rate * fps_den)
+    whole = clock._floor_div(clock._product(elapsed, fps_num), clock._product(rate, fps_den))
+    advanced = F.when(clock.is_safe(whole), whole.cast("long"))
     raw = in_frame + advanced
     length = out_frame - in_frame
     frame = (
@@ -544,7 +583,9 @@ def video_frame(
         .when(policy == "loop", in_frame + F.try_mod(advanced, length))
         .when(policy == "hold", out_frame - 1)
     )
-    reason = F.when(raw < out_frame, None).when(length <= 0, "empty_trim_range").when(
+    reason = F.when(advanced.isNull(), "time_overflow").when(raw < out_frame, None).when(
+        length <= 0, "empty_trim_range"
+    ).when(
         ~policy.isin("loop", "hold"), "media_too_short"
     )
     return F.struct(frame.alias("frame"), reason.alias("reason"))

@@ -113,10 +113,16 @@ def required_keys(df: DataFrame, keys: Sequence[str], have: str, need: Column) -
 
 
 def unknown_reference(
-    df: DataFrame, known: DataFrame, keys: Sequence[str], ref: str, target: str
+    df: DataFrame,
+    known: DataFrame,
+    keys: Sequence[str],
+    ref: str,
+    target: str,
+    parent: Sequence[str] = ("track_id",),
 ) -> DataFrame:
-    ids = known.select(F.col(target).alias(ref))
-    lost = df.join(ids, ref, "left_anti")
+    """References to ids that their own parent does not have."""
+    ids = known.select(*parent, F.col(target).alias(ref))
+    lost = df.join(ids, [*parent, ref], "left_anti")
     return violations(lost, "unknown_reference", keys, F.col(ref).isNotNull(), F.col(ref))
 
 
@@ -177,12 +183,22 @@ def path_alias(refs: DataFrame, resolved: Column) -> DataFrame:
 
 
 def safe_path(refs: DataFrame, keys: Sequence[str], path: str = "path") -> DataFrame:
-    """Remote, absolute and escaping paths are forbidden."""
+    """Remote, absolute and escaping paths are forbidden; ``a/../b`` stays inside."""
     p = F.col(path)
+    # Depth after each part; the root is left as soon as it is negative.
+    step = lambda x: F.when(x == "..", -1).when(x.isin("", "."), 0).otherwise(1)
+    walk = F.aggregate(
+        F.split(p, "/"),
+        F.struct(F.lit(0).alias("depth"), F.lit(0).alias("least")),
+        lambda a, x: F.struct(
+            (a["depth"] + step(x)).alias("depth"),
+            F.least(a["least"], a["depth"] + step(x)).alias("least"),
+        ),
+    )
     detail = (
         F.when(p.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*://"), "remote_path")
         .when(p.startswith("/"), "absolute_path")
-        .when(p.rlike(r"(^|/)\.\.(/|$)"), "escaping_path")
+        .when(walk["least"] < 0, "escaping_path")
     )
     return violations(refs, "unsafe_path", keys, detail.isNotNull(), detail)
 

@@ -102,9 +102,9 @@ def assemble_timeline(t):
     )
 
 
-@query("explode_signals", f"WITH {v.EV}, {v.SIG} SELECT track_id, name, sample, value FROM sig")
+@query("explode_signals", f"WITH {v.EV}, {v.SIG} SELECT track_id, name, idx, sample, value FROM sig")
 def explode_signals(t):
-    return ar.explode_signals(pages(t), KEY).select("track_id", "name", "sample", "value")
+    return ar.explode_signals(pages(t), KEY).select("track_id", "name", "idx", "sample", "value")
 
 
 def benchmark_files(t):

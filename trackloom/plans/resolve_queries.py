@@ -87,13 +87,18 @@ def span_layers(t):
     return rs.span_layers(layers, spans(t), KEY)
 
 
-KINDS = "CASE p_partkey % 4 WHEN 0 THEN 'orb' WHEN 1 THEN 'ribbon' WHEN 2 THEN 'particles' ELSE 'image' END"
+KINDS = (
+    "CASE p_partkey % 5 WHEN 0 THEN 'orb' WHEN 1 THEN 'ribbon' WHEN 2 THEN 'particles' "
+    "WHEN 3 THEN 'image' ELSE 'video' END"
+)
 
 
 def part_layers(t):
-    key = F.col("p_partkey") % 4
-    kind = F.when(key == 0, "orb").when(key == 1, "ribbon").when(key == 2, "particles").otherwise(
-        "image"
+    part_key = F.col("p_partkey")
+    key = part_key % 5
+    kind = (
+        F.when(key == 0, "orb").when(key == 1, "ribbon").when(key == 2, "particles")
+        .when(key == 3, "image").otherwise("video")
     )
     text = lambda c: c.cast("string")
     size, price = F.col("p_size"), F.floor("p_retailprice")
@@ -104,13 +109,24 @@ def part_layers(t):
         .when(key == 1, F.create_map(F.lit("width"), text(size / F.lit(64)), F.lit("price"), text(price)))
         .when(key == 2, F.create_map(
             F.lit("count"), text(F.when(size % 3 == 0, size + 0.5).otherwise(price))))
-        .otherwise(F.create_map(F.lit("fit"), F.col("p_type"), F.lit("z"), text(size - 25)))
+        .when(key == 3, F.create_map(F.lit("fit"), F.col("p_type"), F.lit("z"), text(size - 25)))
+        .when(part_key % 3 == 0, F.create_map(
+            F.lit("in_frame"), text(part_key % 40 * 10), F.lit("muted"),
+            F.when(part_key % 2 == 0, "false").otherwise("true")))
+        .when(part_key % 3 == 1, F.create_map(
+            F.lit("out_frame"), text(part_key), F.lit("end_behavior"),
+            F.when(part_key % 4 == 0, "bounce").otherwise("hold")))
+        .otherwise(F.create_map(F.lit("offset_samples"), text(part_key * 10_000)))
+    )
+    return t.part.select(
+        "p_partkey", kind.alias("kind"), parameters.alias("parameters"),
+        (size * 30).cast("long").alias("frame_count"), v.long(1_440_000).alias("duration_samples"),
     )
-    return t.part.select("p_partkey", kind.alias("kind"), parameters.alias("parameters"))
 
 
 def _spec_sql():
-    rows = [*rs.LAYER_SPECS, *[("image", *r) for r in rs.MEDIA_SPECS]]
+    rows = [*rs.LAYER_SPECS, *[(kind, *r) for kind in ("image", "video") for r in rs.MEDIA_SPECS]]
+    rows += [("video", *r) for r in rs.VIDEO_SPECS]
     lit = lambda x: "NULL" if x is None else f"'{x}'"
     return ", ".join(
         f"('{k}', '{p}', {lit(d)}, CAST({lit(lo)} AS DOUBLE), CAST({lit(hi)} AS DOUBLE), '{dom}')"
@@ -135,15 +151,33 @@ def _spec_sql():
           SELECT p_partkey, kind, 'count', CASE WHEN p_size % 3 = 0 THEN CAST(p_size AS VARCHAR) || '.5'
                  ELSE price || '.0' END FROM base WHERE kind = 'particles' UNION ALL
           SELECT p_partkey, kind, 'fit', p_type FROM base WHERE kind = 'image' UNION ALL
-          SELECT p_partkey, kind, 'z', CAST(p_size - 25 AS VARCHAR) FROM base WHERE kind = 'image'),
+          SELECT p_partkey, kind, 'z', CAST(p_size - 25 AS VARCHAR) FROM base WHERE kind = 'image'
+          UNION ALL
+          SELECT p_partkey, kind, 'in_frame', CAST(p_partkey % 40 * 10 AS VARCHAR)
+          FROM base WHERE kind = 'video' AND p_partkey % 3 = 0 UNION ALL
+          SELECT p_partkey, kind, 'muted', CASE WHEN p_partkey % 2 = 0 THEN 'false' ELSE 'true' END
+          FROM base WHERE kind = 'video' AND p_partkey % 3 = 0 UNION ALL
+          SELECT p_partkey, kind, 'out_frame', CAST(p_partkey AS VARCHAR)
+          FROM base WHERE kind = 'video' AND p_partkey % 3 = 1 UNION ALL
+          SELECT p_partkey, kind, 'end_behavior', CASE WHEN p_partkey % 4 = 0 THEN 'bounce' ELSE 'hold' END
+          FROM base WHERE kind = 'video' AND p_partkey % 3 = 1 UNION ALL
+          SELECT p_partkey, kind, 'offset_samples', CAST(p_partkey * 10000 AS VARCHAR)
+          FROM base WHERE kind = 'video' AND p_partkey % 3 = 2),
         want AS (
-          SELECT b.p_partkey, s.*, coalesce(g.value, s.fallback) AS value
+          SELECT b.p_partkey, s.kind, s.parameter, s.domain,
+                 CASE WHEN s.parameter = 'out_frame' AND b.p_partkey % 3 = 0 THEN b.p_partkey % 40 * 10 + 1
+                      ELSE s.lo END AS lo,
+                 CASE s.parameter WHEN 'in_frame' THEN b.p_size * 30 - 1 WHEN 'out_frame' THEN b.p_size * 30
+                      WHEN 'offset_samples' THEN 1439999 ELSE s.hi END AS hi,
+                 coalesce(g.value, CASE WHEN s.parameter = 'out_frame' THEN CAST(b.p_size * 30 AS VARCHAR)
+                                        ELSE s.fallback END) AS value
           FROM base b JOIN spec s ON s.kind = b.kind
           LEFT JOIN given g ON g.p_partkey = b.p_partkey AND g.parameter = s.parameter)
         SELECT p_partkey, kind, parameter,
                CASE WHEN domain = 'color' THEN lower(value) ELSE value END AS value,
                CASE WHEN domain = 'color' AND NOT regexp_matches(value, '^#[0-9a-fA-F]{{6}}$')
                       THEN 'invalid_color'
+                    WHEN domain = 'muted' AND value <> 'true' THEN 'media_audio_forbidden'
                     WHEN domain LIKE 'choice:%'
                          AND NOT list_contains(string_split(split_part(domain, ':', 2), '|'), value)
                       THEN 'invalid_choice'
@@ -195,12 +229,14 @@ def check_mode(t):
 @query(
     "resolve_routes",
     """WITH r AS (
-         SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN 'ghost' ELSE 'view' END AS source,
+         SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN 'ghost' WHEN p_partkey % 2 = 0 THEN '5-LOW'
+                                ELSE '1-URGENT' END AS source,
                 CASE WHEN p_partkey % 2 = 0 THEN 'orb' ELSE 'ribbon' END AS kind,
                 CASE WHEN p_size % 7 = 0 THEN 'color' ELSE 'y' END AS target,
                 p_partkey % 3 AS tf, p_size / 40 AS hi, p_size % 5 = 0 AS extra
          FROM part)
-       SELECT p_partkey, CASE WHEN source NOT IN (SELECT event_type FROM events)
+       SELECT p_partkey, CASE WHEN NOT EXISTS (
+                  SELECT 1 FROM orders WHERE o_custkey = p_partkey AND o_orderpriority = source)
                 THEN 'missing_route_signal'
               WHEN target = 'color' THEN 'unsupported_route_target'
               WHEN extra THEN 'invalid_transform_parameters'
@@ -223,36 +259,46 @@ def resolve_routes(t):
         F.col("p_size") % 5 == 0, F.map_concat(params, F.create_map(F.lit("gain"), F.lit(1.0)))
     ).otherwise(params)
     routes = t.part.select(
-        "p_partkey",
-        F.when(F.col("p_partkey") % 11 == 0, "ghost").otherwise("view").alias("source"),
+        "p_partkey", F.col("p_partkey").alias("track_id"),
+        F.when(F.col("p_partkey") % 11 == 0, "ghost").when(F.col("p_partkey") % 2 == 0, "5-LOW")
+        .otherwise("1-URGENT").alias("source"),
         F.when(F.col("p_partkey") % 2 == 0, "orb").otherwise("ribbon").alias("kind"),
         F.when(F.col("p_size") % 7 == 0, "color").otherwise("y").alias("target_parameter"),
         F.when(tf == 0, "linear").when(tf == 1, "threshold").otherwise("smooth").alias("transform"),
         extra.alias("params"),
     )
-    return rs.resolve_routes(routes, v.events(t), rs.spec_table(t.spark), ["p_partkey"])
+    signals = t.orders.select(F.col("o_custkey").alias("track_id"), F.col("o_orderpriority").alias("name"))
+    return rs.resolve_routes(routes, signals, rs.spec_table(t.spark), ["p_partkey"])
 
 
 @query(
     "check_refs",
     """WITH l AS (
          SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey + l_linenumber * 10 AS asset_id,
-                CASE WHEN l_returnflag = 'A' THEN 'video' ELSE 'image' END AS kind FROM lineitem)
+                l_suppkey % 3 AS track_id,
+                CASE WHEN l_returnflag = 'A' THEN 'video' ELSE 'image' END AS kind FROM lineitem),
+       a AS (
+         SELECT p_partkey, p_partkey % 3 AS track_id, p_size % 2 = 0 AS video FROM part
+         UNION ALL SELECT p_partkey, (p_partkey + 1) % 3, p_size % 2 = 1 FROM part)
        SELECT l_orderkey, l_linenumber, l_suppkey, asset_id, kind,
-              CASE WHEN p_size % 2 = 0 THEN 'video' WHEN p_size % 2 = 1 THEN 'image' END AS asset_type,
+              CASE WHEN video THEN 'video' WHEN NOT video THEN 'image' END AS asset_type,
               CASE WHEN p_partkey IS NULL THEN 'unknown_asset' ELSE 'asset_type_mismatch' END AS reason
-       FROM l LEFT JOIN part ON p_partkey = asset_id
-       WHERE p_partkey IS NULL OR (p_size % 2 = 0) <> (kind = 'video')""",
+       FROM l LEFT JOIN a ON p_partkey = asset_id AND a.track_id = l.track_id
+       WHERE p_partkey IS NULL OR video <> (kind = 'video')""",
 )
 def check_refs(t):
     layers = t.lineitem.select(
         "l_orderkey", "l_linenumber", "l_suppkey",
         (F.col("l_partkey") + F.col("l_linenumber") * 10).alias("asset_id"),
+        (F.col("l_suppkey") % 3).alias("track_id"),
         F.when(F.col("l_returnflag") == "A", "video").otherwise("image").alias("kind"),
     )
+    # The same id is a video on one track and an image on the next.
     assets = t.part.select(
-        F.col("p_partkey").alias("asset_id"),
-        F.when(F.col("p_size") % 2 == 0, "video").otherwise("image").alias("type"),
+        F.col("p_partkey").alias("asset_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("k"), "p_size"
+    ).select(
+        "asset_id", ((F.col("asset_id") + F.col("k")) % 3).alias("track_id"),
+        F.when((F.col("p_size") + F.col("k")) % 2 == 0, "video").otherwise("image").alias("type"),
     )
     return rs.check_refs(layers, assets, ["l_orderkey", "l_linenumber", "l_suppkey"])
 
@@ -262,7 +308,8 @@ def check_refs(t):
     f"""WITH {v.CUES}, plan AS (
           SELECT DISTINCT track_id, track_id * 3 AS font, 500000 AS d FROM cue)
         SELECT track_id, 'invalid_lyrics_font' AS reason FROM plan
-        WHERE font NOT IN (SELECT p_partkey FROM part WHERE p_size % 3 = 0)
+        WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = font AND p_size % 3 = 0
+                            AND p_partkey // 3 + p_size // 3 % 2 = track_id)
         UNION ALL
         SELECT c.track_id, 'lyrics_out_of_bounds' FROM cue c JOIN plan p ON p.track_id = c.track_id
         GROUP BY 1 HAVING max(end_sample) > 500000""",
@@ -274,6 +321,7 @@ def check_lyrics_refs(t):
     )
     assets = t.part.select(
         F.col("p_partkey").alias("asset_id"),
+        (int_div("p_partkey", 3) + int_div("p_size", 3) % 2).alias("track_id"),
         F.when(F.col("p_size") % 3 == 0, "font").otherwise("image").alias("type"),
     )
     return rs.check_lyrics_refs(plans, assets, cues, KEY)
@@ -287,7 +335,7 @@ trim_rows AS (
   SELECT p_partkey, frame_count, CASE WHEN b > 0 THEN a * 10 ELSE 0 END AS in_frame,
          CASE WHEN b > 1 THEN frame_count - b ELSE frame_count END AS out_frame,
          CASE WHEN c > 0 THEN a * 48000 ELSE 0 END AS offset_samples,
-         CASE c WHEN 1 THEN 'loop' WHEN 2 THEN 'hold' ELSE 'error' END AS end_behavior
+         CASE c WHEN 1 THEN 'loop' WHEN 2 THEN 'hold' WHEN 4 THEN 'bounce' ELSE 'error' END AS end_behavior
   FROM m)"""
 
 
@@ -301,14 +349,16 @@ def trims(t):
         F.when(b > 0, a * 10).alias("in_frame"),
         F.when(b > 1, count - b).alias("out_frame"),
         F.when(c > 0, a * 48_000).alias("offset_samples"),
-        F.when(c == 1, "loop").when(c == 2, "hold").when(c == 3, "error").alias("end_behavior"),
+        F.when(c == 1, "loop").when(c == 2, "hold").when(c == 3, "error")
+        .when(c == 4, "bounce").alias("end_behavior"),
     )
 
 
 @query(
     "check_trim",
     f"""WITH {TRIM}
-        SELECT *, CASE WHEN offset_samples > 1439999 THEN 'bad_offset'
+        SELECT *, CASE WHEN end_behavior = 'bounce' THEN 'bad_end_behavior'
+                 WHEN offset_samples > 1439999 THEN 'bad_offset'
                  WHEN in_frame > frame_count - 1 THEN 'bad_in_frame'
                  WHEN out_frame < in_frame + 1 OR out_frame > frame_count THEN 'bad_out_frame'
                  WHEN end_behavior = 'error'
@@ -467,11 +517,26 @@ ROUTES = [
 ]
 
 
+def route_params(k):
+    """Parameters of a route: odd tracks drive the radius less."""
+    own = F.create_map(*[F.lit(x) for pair in ROUTES[k][5].items() for x in pair])
+    if k:
+        return own
+    less = F.create_map(F.lit("min"), F.lit(0.1), F.lit("max"), F.lit(0.7))
+    return F.when(F.col("track_id") % 2 == 0, own).otherwise(less)
+
+
 def routes(t):
-    return t.spark.createDataFrame(
-        ROUTES,
-        "route_idx int, source string, target_layer string, target_parameter string, "
-        "transform string, params map<string,double>",
+    """Routes of each track; every fifth track has no second route to x."""
+    names = ("route_idx", "source", "target_layer", "target_parameter", "transform")
+    rows = [
+        F.struct(*[F.lit(x).alias(n) for n, x in zip(names, r)], route_params(r[0]).alias("params"))
+        for r in ROUTES
+    ]
+    return (
+        v.tracks(t).select("track_id", F.explode(F.array(*rows)).alias("r"))
+        .select("track_id", "r.*")
+        .where("route_idx <> 3 or track_id % 5 <> 4")
     )
 
 
@@ -490,9 +555,10 @@ lev AS (
          n.value + coalesce((n.nxt - n.value) * (g.sample::DOUBLE / {v.HOP} - n.idx), 0) AS level
   FROM grid g JOIN nx n ON n.track_id = g.track_id AND n.idx = g.sample // {v.HOP}),
 tgt AS (
-  SELECT track_id, frame, 0.1 + level * (1.2 - 0.1) AS r0,
+  SELECT track_id, frame, 0.1 + level * (CASE WHEN track_id % 2 = 0 THEN 1.2 ELSE 0.7 END - 0.1) AS r0,
          CASE WHEN level >= 0.5 THEN 0.5::DOUBLE ELSE -0.5::DOUBLE END AS r1,
-         0.05 + level * (0.5 - 0.05) AS r2, -0.25 + level * 0.5 AS r3 FROM lev)"""
+         0.05 + level * (0.5 - 0.05) AS r2,
+         CASE WHEN track_id % 5 <> 4 THEN -0.25 + level * 0.5 END AS r3 FROM lev)"""
 SMOOTH = """sm AS (
   SELECT track_id, frame, r2 AS value FROM tgt WHERE frame = 0
   UNION ALL
@@ -513,7 +579,7 @@ def routed(t):
 def route_target(t):
     pick = lambda k: rs.route_target(
         F.col("level"), F.lit(ROUTES[k][4]),
-        F.create_map(*[F.lit(x) for pair in ROUTES[k][5].items() for x in pair]),
+        route_params(k),
     )
     return levels(t).select(
         "track_id", "frame", F.round(pick(0), 6).alias("linear"),
@@ -527,9 +593,9 @@ def route_target(t):
         SELECT track_id, frame, round(value, 6) AS value FROM sm""",
 )
 def smooth_route(t):
-    return routed(t).where("route_idx = 2").select(
-        "track_id", "frame", F.round("value", 6).alias("value")
-    )
+    one = routes(t).where("route_idx = 2")
+    values = rs.route_values(t.shared("levels", levels), one, KEY, DELTA, FRAME_BLOCK)
+    return values.select("track_id", "frame", F.round("value", 6).alias("value"))
 
 
 @query(
@@ -537,7 +603,7 @@ def smooth_route(t):
     f"""WITH RECURSIVE {v.EV}, {v.SIG}, {GRID}, {LEVELS}, {SMOOTH}
         SELECT track_id, frame, 'orb' AS target_layer, 'radius' AS target_parameter,
                round(r0, 6) AS value FROM tgt
-        UNION ALL SELECT track_id, frame, 'orb', 'x', round(r3, 6) FROM tgt
+        UNION ALL SELECT track_id, frame, 'orb', 'x', round(coalesce(r3, r1), 6) FROM tgt
         UNION ALL SELECT track_id, frame, 'ribbon', 'width', round(value, 6) FROM sm""",
 )
 def dedupe_routes(t):
@@ -588,7 +654,7 @@ def layered_spans(t):
                TRUE AS enabled
         FROM f JOIN tgt t ON t.track_id = f.track_id AND t.frame = f.frame
         UNION ALL
-        SELECT f.track_id, f.frame, f.sample, 'orb', 'x', round(t.r3, 6),
+        SELECT f.track_id, f.frame, f.sample, 'orb', 'x', round(coalesce(t.r3, t.r1), 6),
                round((1 - b * 0.125) + ((b - part) * 0.125) * q, 6), TRUE
         FROM f JOIN tgt t ON t.track_id = f.track_id AND t.frame = f.frame
         UNION ALL

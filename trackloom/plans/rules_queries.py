@@ -138,14 +138,16 @@ def required_keys(t):
     "rule_unknown_reference",
     """SELECT 'unknown_reference' AS rule, l_orderkey, l_suppkey, l_linenumber,
               CAST(ref AS VARCHAR) AS detail
-       FROM (SELECT *, l_partkey + l_linenumber AS ref FROM lineitem)
-       WHERE ref NOT IN (SELECT p_partkey FROM part WHERE p_size > 5)""",
+       FROM (SELECT *, l_partkey + l_linenumber AS ref FROM lineitem) l
+       WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = ref AND p_size % 3 = l_suppkey % 3)""",
 )
 def unknown_reference(t):
-    rows = t.lineitem.withColumn("ref", F.col("l_partkey") + F.col("l_linenumber"))
+    rows = t.lineitem.withColumns(
+        {"ref": F.col("l_partkey") + F.col("l_linenumber"), "track_id": F.col("l_suppkey") % 3}
+    )
+    known = t.part.withColumn("track_id", F.col("p_size") % 3)
     return ru.unknown_reference(
-        rows, t.part.where("p_size > 5"), ["l_orderkey", "l_suppkey", "l_linenumber"], "ref",
-        "p_partkey",
+        rows, known, ["l_orderkey", "l_suppkey", "l_linenumber"], "ref", "p_partkey"
     )
 
 
@@ -251,7 +253,7 @@ def safe_path(t):
         F.when(key == 0, F.col("url"))
         .when(key == 1, F.concat(F.lit("/srv/"), name))
         .when(key == 2, F.concat(F.lit("media/../../"), name))
-        .otherwise(F.concat(F.lit("media/..ok/"), name))
+        .otherwise(F.concat(F.lit("media/..ok/./a/../../"), name))
     )
     return ru.safe_path(t.pages.select("page_id", path.alias("path")), ["page_id"])
 

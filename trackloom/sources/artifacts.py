@@ -95,7 +95,11 @@ def read_artifacts(spark: SparkSession, path: str, kind: str) -> tuple[DataFrame
 
 
 def explode_signals(documents: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Signal map of timeline documents to one row per value."""
+    """Signal map of timeline documents to one row per value.
+
+    ``idx`` counts hops from sample 0, so the pages of a track continue one another.
+    """
+    start = F.coalesce("_start", F.lit(0).cast("long"))
     return (
         documents.select(*keys, F.explode("signals").alias("name", "_s"))
         .select(
@@ -103,8 +107,8 @@ def explode_signals(documents: DataFrame, keys: Sequence[str]) -> DataFrame:
             F.col("_s.hop_samples").alias("_hop"), F.posexplode("_s.values").alias("_i", "value"),
         )
         .select(
-            *keys, "name", F.col("_i").cast("long").alias("idx"),
-            (F.coalesce("_start", F.lit(0).cast("long")) + F.col("_i") * F.col("_hop")).alias("sample"),
+            *keys, "name", (int_div(start, F.col("_hop")) + F.col("_i")).alias("idx"),
+            (start + F.col("_i") * F.col("_hop")).alias("sample"),
             "value",
         )
     )
