@@ -12,6 +12,7 @@ from trackloom.operators import compare as cp
 from trackloom.operators import lineage as ln
 from trackloom.operators import lyrics as ly
 from trackloom.operators import resolve as rs
+from trackloom.operators import rules as ru
 from trackloom.operators import signals as sg
 from trackloom.operators import structure as st
 from trackloom.sources import artifacts as ar
@@ -328,3 +329,98 @@ def test_write_once(spark, tmp_path):
     assert fl.write_once(df.repartition(3), path) == "cached"
     assert fl.write_once(df.where("k = 1"), path) == "conflict"
     assert spark.read.parquet(path).count() == 2
+
+
+def test_white_space_of_any_script(spark):
+    wide, hard = "\u3000", "\u00a0"
+    text = f"{wide}[Chorus]{hard}\n{wide}\n{hard}first{wide}\n{wide}## Verse\nsecond"
+    schema = "track_id long, text string, duration_samples long"
+    rows = ly.known_lines(table(spark, [(1, text, 10)], schema), KEY).orderBy("line").collect()
+    assert [(r.line, r.text, r.reason) for r in rows] == [(3, "first", None), (5, "second", None)]
+    lrc = f"[00:01.00]{wide}one{hard}\n{wide}{hard}\n[00:02.00]{hard}[Bridge]\n{wide}[offset:0]"
+    cues = ly.lrc_cues(table(spark, [(1, lrc, 96_000)], schema), KEY).collect()
+    assert [(c.start_sample, c.end_sample, c.text, c.reason) for c in cues] == [(48_000, 96_000, "one", None)]
+
+
+def test_one_long_line_refuses_the_whole_document(spark):
+    df = table(spark, [(1, "short\n" + "x" * 241), (2, "!" * 300), (3, "")], "track_id long, text string")
+    rows = sorted((r.track_id, r.line or 0, r.reason) for r in ly.known_lines(df, KEY).collect())
+    assert rows == [(1, 1, "lyric_text_too_long"), (1, 2, "lyric_text_too_long"),
+                    (2, 0, "lyric_text_too_long"), (3, 0, "no_lyric_lines")]
+
+
+def test_a_refused_track_says_why_its_lines_are_unmatched(spark, monkeypatch):
+    monkeypatch.setattr(ly, "MAX_OBSERVED", 3)
+    lines = table(spark, [(1, 1, "abcd", "abcd"), (2, 1, "abc", "abc")],
+                  "track_id long, line long, text string, key string")
+    chars = table(spark, [(k, i, c, i * 100, i * 100 + 100) for k, word in ((1, "abcd"), (2, "abc"))
+                          for i, c in enumerate(word)],
+                  "track_id long, pos long, char string, start_sample long, end_sample long")
+    tracks = table(spark, [(1, 960_000), (2, 960_000)], "track_id long, duration_samples long")
+    pairs = ly.align_pairs(lines, chars, KEY)
+    out = ly.line_coverage(lines, pairs, chars, tracks, KEY).orderBy("track_id").collect()
+    assert [(r.status, r.reason) for r in out] == [
+        ("unmatched", "alignment_evidence_too_large"), ("matched", None)]
+
+
+def test_routes_and_references_belong_to_their_track(spark):
+    spec = rs.spec_table(spark)
+    routes = table(spark, [(1, "rms", "orb", "y", "linear", {"min": 0.0, "max": 1.0}),
+                           (2, "rms", "orb", "y", "linear", {"min": 0.0, "max": 1.0})],
+                   "track_id long, source string, kind string, target_parameter string, "
+                   "transform string, params map<string,double>")
+    signals = table(spark, [(1, "rms"), (2, "flux")], "track_id long, name string")
+    got = {r.track_id: r.reason for r in rs.resolve_routes(routes, signals, spec, KEY).collect()}
+    assert got == {1: None, 2: "missing_route_signal"}
+
+    layers = table(spark, [(1, "a", "image"), (2, "a", "image"), (3, "a", "image")],
+                   "track_id long, asset_id string, kind string")
+    assets = table(spark, [(1, "a", "image"), (2, "a", "video")], "track_id long, asset_id string, type string")
+    got = {r.track_id: r.reason for r in rs.check_refs(layers, assets, KEY).collect()}
+    assert got == {2: "asset_type_mismatch", 3: "unknown_asset"}
+
+    levels = table(spark, [(k, "rms", 0, 0.5) for k in (1, 2)],
+                   "track_id long, source string, frame long, level double")
+    own = table(spark, [(1, 0, "rms", "orb", "y", "linear", {"min": 0.0, "max": 1.0}),
+                        (2, 0, "rms", "orb", "x", "smooth", {"min": 0.0, "max": 0.5})],
+                "track_id long, route_idx int, source string, target_layer string, "
+                "target_parameter string, transform string, params map<string,double>")
+    rows = sorted(rs.route_values(levels, own, KEY, 1 / 30, 8).select(
+        "track_id", "target_parameter", "value").collect())
+    assert [tuple(r) for r in rows] == [(1, "y", 0.5), (2, "x", 0.25)]
+
+
+def test_video_parameters_are_bounded_by_the_probe(spark):
+    layers = table(spark, [
+        (1, "video", {}, 90, 480_000),
+        (2, "video", {"in_frame": "90", "muted": "false", "end_behavior": "bounce"}, 90, 480_000),
+        (3, "video", {"in_frame": "10", "out_frame": "10", "offset_samples": "480000"}, 90, 480_000),
+    ], "track_id long, kind string, parameters map<string,string>, frame_count long, duration_samples long")
+    rows = rs.resolve_params(layers, rs.spec_table(spark), KEY).collect()
+    first = {r.parameter: r.value for r in rows if r.track_id == 1}
+    assert (first["in_frame"], first["out_frame"], first["end_behavior"], first["muted"]) == ("0", "90", "error", "true")
+    bad = lambda k: {r.parameter: r.reason for r in rows if r.track_id == k and r.reason}
+    assert bad(1) == {}
+    assert bad(2) == {"in_frame": "out_of_range_or_fraction", "out_frame": "out_of_range_or_fraction",
+                      "muted": "media_audio_forbidden", "end_behavior": "invalid_choice"}
+    assert bad(3) == {"out_frame": "out_of_range_or_fraction", "offset_samples": "out_of_range_or_fraction"}
+
+
+def test_large_clock_values_do_not_overflow(spark):
+    big = F.lit(2**53 - 1)
+    c = F.lit
+    shown = rs.video_frame(big, c(1), big, c(1), c(0), c(2), c(5), c("hold"))
+    row = spark.range(1).select(shown.alias("v")).first().v
+    assert row.frame is None and row.reason == "time_overflow"
+    trim = table(spark, [(2**53 - 1, 2**53 - 1, 1001, 2**53 - 1)],
+                 "frame_count long, fps_num long, fps_den long, duration_samples long").selectExpr(
+        "*", "cast(null as long) in_frame", "cast(null as long) out_frame",
+        "cast(null as long) offset_samples", "cast(null as string) end_behavior")
+    assert rs.check_trim(trim).first().reason == "media_too_short"
+
+
+def test_safe_path_follows_the_parts(spark):
+    paths = ["a/../b", "a/../../b", "../a", "a/./..", "a//../..", "..ok/a"]
+    df = table(spark, [(p,) for p in paths], "path string")
+    got = {r.path for r in ru.safe_path(df, ["path"]).collect()}
+    assert got == {"a/../../b", "../a", "a//../.."}

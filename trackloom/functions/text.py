@@ -13,19 +13,23 @@ from pyspark.sql import types as T
 
 # Text patterns of the lyric formats.
 LINE_BREAK = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
-STAGE_HEADING = r"^\s*(?:#{1,6}\s+.+|\[[^\]\r\n]+\])\s*$"
-BRACKET_HEADING = r"^\s*\[[^\]\r\n]+\]\s*$"
-CAPTION_TOKEN = r"\s+|[A-Za-z0-9]+(?:['’_-][A-Za-z0-9]+)*(?:[.,;:!?]+)?|."
+# White space of any script, as a character class for Java and RE2 patterns alike.
+WHITE = (
+    r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+)
+STAGE_HEADING = rf"^[{WHITE}]*(?:#{{1,6}}[{WHITE}]+.+|\[[^\]\r\n]+\])[{WHITE}]*$"
+BRACKET_HEADING = rf"^[{WHITE}]*\[[^\]\r\n]+\][{WHITE}]*$"
+CAPTION_TOKEN = rf"[{WHITE}]+|[A-Za-z0-9]+(?:['’_-][A-Za-z0-9]+)*(?:[.,;:!?]+)?|."
 MAX_LINE = 240
 
 
 def strip(text: Column) -> Column:
-    """Trim white space and byte order marks at both ends."""
-    return F.regexp_replace(text, "^[\\s﻿]+|[\\s﻿]+$", "")
+    """Trim white space, then byte order marks, at both ends."""
+    return F.regexp_replace(trim(text), "^﻿+|﻿+$", "")
 
 
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, "^\\s+|\\s+$", "")
+    return F.regexp_replace(text, f"^[{WHITE}]+|[{WHITE}]+$", "")
 
 
 def lines(text: Column) -> Column:

@@ -34,20 +34,21 @@ MAX_OBSERVED = 50_000
 GATE_MEDIAN = 12_000
 GATE_P90 = 24_000
 MIN_REFERENCES = 12
-LRC_OFFSET = r"(?i)^\s*\[offset:([+-]?\d+)\]\s*$"
+LRC_OFFSET = rf"(?i)^[{tx.WHITE}]*\[offset:([+-]?\d+)\][{tx.WHITE}]*$"
 LRC_STAMP = r"\[(\d{1,3}):(\d{2})(?:[.:](\d{1,3}))?\]"
-LRC_METADATA = r"^\s*\[[A-Za-z][A-Za-z0-9_-]*:.*\]\s*$"
+LRC_METADATA = rf"^[{tx.WHITE}]*\[[A-Za-z][A-Za-z0-9_-]*:.*\][{tx.WHITE}]*$"
 SRT_TIMING = (
-    r"^(\d{2,}):(\d{2}):(\d{2})[,.](\d{3})\s+-->\s+(\d{2,}):(\d{2}):(\d{2})[,.](\d{3})$"
+    rf"^(\d{{2,}}):(\d{{2}}):(\d{{2}})[,.](\d{{3}})[{tx.WHITE}]+-->[{tx.WHITE}]+"
+    r"(\d{2,}):(\d{2}):(\d{2})[,.](\d{3})$"
 )
 
 
 def known_lines(corpus: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Usable lines with line number and text key; a reason marks what must be refused.
 
-    Blank lines and stage headings are dropped, numbers count all lines. A line
-    over 240 characters, a document over 20000 key characters and a document
-    without lines are refused.
+    Blank lines and stage headings are dropped, numbers count all lines. A document
+    with a line over 240 characters, over 20000 key characters or without lines is
+    refused: the reason stands in every row of it.
     """
     keys = list(keys)
     texts = F.transform(tx.lines(F.col("text")), lambda x: tx.strip(x))
@@ -62,18 +63,24 @@ def known_lines(corpus: DataFrame, keys: Sequence[str]) -> DataFrame:
         lambda x, i: F.struct((i + 1).cast("long").alias("line"), x["text"].alias("text"),
                               x["key"].alias("key")),
     )
-    kept = F.filter(
-        numbered, lambda x: (x["text"] != "") & ~tx.is_heading(x["text"]) & (x["key"] != "")
-    )
+    shown = F.filter(numbered, lambda x: (x["text"] != "") & ~tx.is_heading(x["text"]))
+    kept = F.filter("_shown", lambda x: x["key"] != "")
     total = F.aggregate("_lines", F.lit(0), lambda a, x: a + F.length(x["key"]))
-    docs = rows.select(*keys, kept.alias("_lines")).withColumn("_total", total)
+    docs = (
+        rows.select(*keys, shown.alias("_shown"))
+        .select(
+            *keys, kept.alias("_lines"),
+            F.exists("_shown", lambda x: F.length(x["text"]) > tx.MAX_LINE).alias("_long"),
+        )
+        .withColumn("_total", total)
+    )
     reason = (
-        F.when(F.col("line").isNull(), "no_lyric_lines")
+        F.when(F.col("_long"), "lyric_text_too_long")
+        .when(F.col("line").isNull(), "no_lyric_lines")
         .when(F.col("_total") > MAX_KNOWN, "alignment_text_too_large")
-        .when(F.length("line.text") > tx.MAX_LINE, "lyric_text_too_long")
     )
     # One pass: a document without usable lines comes out as one row without a line.
-    return docs.select(*keys, "_total", F.explode_outer("_lines").alias("line")).select(
+    return docs.select(*keys, "_total", "_long", F.explode_outer("_lines").alias("line")).select(
         *keys, "line.line", "line.text", "line.key", reason.alias("reason")
     )
 
@@ -176,9 +183,9 @@ def srt_cues(corpus: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
     blocks = corpus.select(
         *keys, "duration_samples",
-        F.posexplode(F.split(text, r"\n\s*\n")).alias("_i", "_block"),
+        F.posexplode(F.split(text, rf"\n[{tx.WHITE}]*\n")).alias("_i", "_block"),
     )
-    body = F.regexp_replace("_block", r"^\s*\d+\s*(?:\n|$)", "")
+    body = F.regexp_replace("_block", rf"^[{tx.WHITE}]*\d+[{tx.WHITE}]*?(?:\n|$)", "")
     rows = (
         blocks.withColumn("_body", body)
         .withColumn("_timing", tx.trim(F.substring_index("_body", "\n", 1)))
@@ -347,9 +354,15 @@ def line_coverage(
     """Matched characters of each line, coverage, status and the first time range.
 
     A line matches with at least 2 characters and 0.45 of its key; its range is at
-    least 14400 samples long.
+    least 14400 samples long. Lines of a track that ``alignment_sizes`` refuses are
+    unmatched with its reason.
     """
     keys = list(keys)
+    refused = (
+        alignment_sizes(lines, chars, keys)
+        .where("reason is not null")
+        .select(*keys, F.col("reason").alias("_refused"))
+    )
     sized = lines.withColumn("_n", F.length("key").cast("long"))
     edges = running_sum(
         sized, keys, ["line"], int_div("line", 1024), F.col("_n"), "end_sample"
@@ -367,10 +380,12 @@ def line_coverage(
         )
     )
     rows = salted_join(
-        sized.join(hits, [*keys, "line"], "left"), tracks.select(*keys, "duration_samples"), keys
+        sized.join(hits, [*keys, "line"], "left"),
+        tracks.select(*keys, "duration_samples").join(refused, keys, "left"), keys,
     )
     count = F.coalesce("_hits", F.lit(0).cast("long"))
-    matched = (count >= MIN_MATCHED) & (count / F.col("_n") >= MIN_COVERAGE)
+    enough = (count >= MIN_MATCHED) & (count / F.col("_n") >= MIN_COVERAGE)
+    matched = F.col("_refused").isNull() & enough
     end = F.least(
         F.col("duration_samples"), F.greatest(F.col("_end"), F.col("_start") + MIN_CUE_SAMPLES)
     )
@@ -380,7 +395,7 @@ def line_coverage(
         (count / F.col("_n")).alias("coverage"),
         F.when(matched, F.col("_start")).alias("start_sample"),
         F.when(matched, end).alias("end_sample"),
-        F.when(~matched, "insufficient_exact_character_matches").alias("reason"),
+        F.when(~matched, F.coalesce("_refused", F.lit("insufficient_exact_character_matches"))).alias("reason"),
         "duration_samples",
     )
 

@@ -578,7 +578,8 @@ def video_frame(
     raw = in_frame + advanced
     length = out_frame - in_frame
     frame = (
-        F.when(raw < out_frame, raw)
+        F.when(advanced.isNull(), None)
+        .when(raw < out_frame, raw)
         .when(length <= 0, None)
         .when(policy == "loop", in_frame + F.try_mod(advanced, length))
         .when(policy == "hold", out_frame - 1)

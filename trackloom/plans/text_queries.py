@@ -13,28 +13,39 @@ from trackloom.plans.registry import query
 KEY = ["track_id"]
 DOC = ["doc_id"]
 LONG_TRACK = 10_000_000_000
-HEAD = r"^\s*(?:#{1,6}\s+.+|\[[^\]\r\n]+\])\s*$"
-BRACKET = r"^\s*\[[^\]\r\n]+\]\s*$"
+HEAD, BRACKET, WHITE = tx.STAGE_HEADING, tx.BRACKET_HEADING, tx.WHITE
+WIDE, HARD = "\u3000", "\u00a0"
 
 
 @query(
     "known_lines",
     f"""WITH l AS (
           SELECT doc_id, CAST(generate_subscripts(s, 1) AS BIGINT) AS line,
-                 regexp_replace(unnest(s), '^\\s+|\\s+$', '', 'g') AS text
+                 regexp_replace(unnest(s), '^[{WHITE}]+|[{WHITE}]+$', '', 'g') AS text
           FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
-        k AS (SELECT *, replace(lower(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]', '', 'g')), 'ß', 'ss') AS key FROM l
-              WHERE text <> '' AND NOT regexp_matches(text, '{HEAD}')),
+        h AS (SELECT * FROM l WHERE text <> '' AND NOT regexp_matches(text, '{HEAD}')),
+        k AS (SELECT *, replace(lower(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]', '', 'g')), 'ß', 'ss') AS key FROM h),
+        o AS (SELECT doc_id, bool_or(length(text) > 240) AS long FROM h GROUP BY 1),
         t AS (SELECT *, sum(length(key)) OVER (PARTITION BY doc_id) AS total FROM k WHERE key <> '')
         SELECT doc_id, line, md5(text) AS text, md5(key) AS key,
-               CASE WHEN total > 20000 THEN 'alignment_text_too_large'
-                    WHEN length(text) > 240 THEN 'lyric_text_too_long' END AS reason
-        FROM t
-        UNION ALL SELECT doc_id, NULL, NULL, NULL, 'no_lyric_lines' FROM documents
-        WHERE doc_id NOT IN (SELECT doc_id FROM t)""",
+               CASE WHEN long THEN 'lyric_text_too_long'
+                    WHEN total > 20000 THEN 'alignment_text_too_large' END AS reason
+        FROM t JOIN o USING (doc_id)
+        UNION ALL
+        SELECT doc_id, NULL, NULL, NULL,
+               CASE WHEN long THEN 'lyric_text_too_long' ELSE 'no_lyric_lines' END
+        FROM documents LEFT JOIN o USING (doc_id) WHERE doc_id NOT IN (SELECT doc_id FROM t)""",
 )
 def known_lines(t):
-    return ly.known_lines(t.documents, DOC).withColumns(
+    # Lines of wide white space, headings between it, and hard spaces at both ends.
+    docs = t.documents.withColumn(
+        "text",
+        F.concat(
+            F.regexp_replace("text", "\n", f"{HARD}\n{WIDE}"),
+            F.lit(f"\n{WIDE}{HARD}\n{WIDE}[Chorus]{HARD}\n{HARD}# Verse"),
+        ),
+    )
+    return ly.known_lines(docs, DOC).withColumns(
         {"text": F.md5(F.col("text").cast("binary")), "key": F.md5(F.col("key").cast("binary"))}
     )
 
@@ -52,9 +63,9 @@ def norm_key(t):
     )
 
 
-SENT = """sent AS (
+SENT = f"""sent AS (
   SELECT doc_id, CAST(generate_subscripts(s, 1) AS BIGINT) AS i,
-         regexp_replace(unnest(s), '^\\s+|\\s+$', '', 'g') AS txt
+         regexp_replace(unnest(s), '^[{WHITE}]+|[{WHITE}]+$', '', 'g') AS txt
   FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[.\\n]+'),
                                    lambda x: regexp_matches(x, '\\S')) AS s FROM documents))"""
 
@@ -79,8 +90,9 @@ def stamp(ms, sep, hours):
 def lrc_corpus(t):
     def line(x, k):
         i = (k + 1).cast("long")
-        body = F.when(i % 5 == 0, "[Chorus]").otherwise(x)
+        body = F.when(i % 5 == 0, f"{WIDE}[Chorus]{HARD}").otherwise(x)
         text = F.concat(F.lit("["), stamp(i * 1500, ".", False), F.lit("]"), body)
+        text = F.when(i % 4 == 0, F.concat(text, F.lit(f"\n{WIDE}{HARD}"))).otherwise(text)
         shift = (i == 3) & (F.col("doc_id") % 7 == 0)
         return F.when(shift, F.concat(text, F.lit("\n[offset:250]"))).otherwise(text)
 
@@ -119,7 +131,7 @@ def srt_corpus(t):
         i = (k + 1).cast("long")
         early = (i % 11 == 0) & (F.col("doc_id") % 3 == 0)
         start = i * 2000 - F.when(early, 1000).otherwise(0)
-        body = F.when(i % 5 == 0, "[Chorus]").otherwise(x)
+        body = F.when(i % 5 == 0, f"{WIDE}[Chorus]{HARD}").otherwise(F.concat(x, F.lit(WIDE)))
         return F.concat(
             i.cast("string"), F.lit("\n"), stamp(start, ",", True), F.lit(" --> "),
             stamp(start + 1500, ",", True), F.lit("\n"), body,
@@ -197,7 +209,7 @@ def timed_chars(t):
 
 def lines(t):
     items = t.benchmark.select(F.col("item_id").alias("track_id"), "text")
-    return ly.known_lines(items, KEY).where("line is not null").select(
+    return ly.known_lines(items, KEY).where("line is not null and reason is null").select(
         "track_id", "line", "text", "key"
     )
 
@@ -205,10 +217,12 @@ def lines(t):
 LINES = f"""lines AS (
   SELECT *, length(key) AS n, sum(length(key)) OVER (PARTITION BY track_id ORDER BY line) AS stop
   FROM (SELECT track_id, line, text, replace(lower(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]', '', 'g')), 'ß', 'ss') AS key
-        FROM (SELECT item_id AS track_id, CAST(generate_subscripts(s, 1) AS BIGINT) AS line,
-                     regexp_replace(unnest(s), '^\\s+|\\s+$', '', 'g') AS text
-              FROM (SELECT item_id, string_split(text, chr(10)) AS s FROM benchmark))
-        WHERE text <> '' AND NOT regexp_matches(text, '{HEAD}'))
+        FROM (SELECT *, bool_or(length(text) > 240 AND NOT regexp_matches(text, '{HEAD}'))
+                          OVER (PARTITION BY track_id) AS refused FROM (
+              SELECT item_id AS track_id, CAST(generate_subscripts(s, 1) AS BIGINT) AS line,
+                     regexp_replace(unnest(s), '^[{WHITE}]+|[{WHITE}]+$', '', 'g') AS text
+              FROM (SELECT item_id, string_split(text, chr(10)) AS s FROM benchmark)))
+        WHERE NOT refused AND text <> '' AND NOT regexp_matches(text, '{HEAD}'))
   WHERE key <> '')"""
 
 
@@ -245,7 +259,8 @@ def aligned_lines(t):
         SELECT track_id, line, n AS normalized_characters,
                CASE WHEN ok THEN 'matched' ELSE 'unmatched' END AS status,
                round(hits / n, 6) AS coverage, CASE WHEN ok THEN s END AS start_sample,
-               CASE WHEN ok THEN least(1000000000, greatest(e, s + 14400)) END AS end_sample
+               CASE WHEN ok THEN least(1000000000, greatest(e, s + 14400)) END AS end_sample,
+               CASE WHEN NOT ok THEN 'insufficient_exact_character_matches' END AS reason
         FROM (SELECT *, hits >= 2 AND hits / n >= 0.45 AS ok FROM h)""",
 )
 def line_coverage(t):
@@ -255,7 +270,7 @@ def line_coverage(t):
     )
     out = ly.line_coverage(lines(t), pairs, heard, item_tracks(t), KEY)
     return out.withColumn("coverage", F.round("coverage", 6)).drop(
-        "text", "reason", "duration_samples"
+        "text", "duration_samples"
     )
 
 
@@ -447,15 +462,16 @@ def cue_curves(t):
 
 @query(
     "caption_tokens",
-    """SELECT conv_id, turn, len(tk) AS tokens, list_max(list_transform(tk, lambda x: length(x))) AS longest,
+    f"""SELECT conv_id, turn, len(tk) AS tokens, list_max(list_transform(tk, lambda x: length(x))) AS longest,
               md5(array_to_string(tk, '|')) AS joined
-       FROM (SELECT conv_id, turn, regexp_extract_all(text,
-               '\\s+|[A-Za-z0-9]+(?:[''’_-][A-Za-z0-9]+)*(?:[.,;:!?]+)?|.') AS tk FROM conversations)""",
+       FROM (SELECT conv_id, turn, regexp_extract_all(replace(text, ' a', chr(12288) || chr(160) || 'a'),
+               '[{WHITE}]+|[A-Za-z0-9]+(?:[''’_-][A-Za-z0-9]+)*(?:[.,;:!?]+)?|.') AS tk FROM conversations)""",
 )
 def caption_tokens(t):
     tk = F.col("tk")
+    text = F.replace("text", F.lit(" a"), F.lit(f"{WIDE}{HARD}a"))
     return t.conversations.select(
-        "conv_id", "turn", tx.caption_tokens(F.col("text")).alias("tk")
+        "conv_id", "turn", tx.caption_tokens(text).alias("tk")
     ).select(
         "conv_id", "turn", F.size(tk).alias("tokens"),
         F.array_max(F.transform(tk, F.length)).alias("longest"),
