@@ -424,3 +424,9 @@ def test_safe_path_follows_the_parts(spark):
     df = table(spark, [(p,) for p in paths], "path string")
     got = {r.path for r in ru.safe_path(df, ["path"]).collect()}
     assert got == {"a/../../b", "../a", "a//../.."}
+
+
+def test_parse_rate_of_many_digits(spark):
+    df = table(spark, [("600000000000000000/200000000000000000",), ("832040000000/514229",), ("0/1",)], "r string")
+    got = [r.x for r in df.select(clock.parse_rate("r").alias("x")).collect()]
+    assert [tuple(x) if x else None for x in got] == [(3, 1), (832040000000, 514229), None]

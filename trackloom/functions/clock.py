@@ -118,9 +118,9 @@ def frame_grid(
 
 
 def _gcd(a: Column, b: Column) -> Column:
-    """Greatest common divisor by at most 48 remainder steps (enough for 32-bit operands)."""
+    """Greatest common divisor by at most 90 remainder steps (enough for 18 digits)."""
     step = F.aggregate(
-        F.sequence(F.lit(1), F.lit(48)),
+        F.sequence(F.lit(1), F.lit(90)),
         F.struct(a.cast("long").alias("a"), b.cast("long").alias("b")),
         lambda s, _: F.when(s["b"] == 0, s).otherwise(
             F.struct(s["b"].alias("a"), F.try_mod(s["a"], s["b"]).alias("b"))
@@ -132,8 +132,8 @@ def _gcd(a: Column, b: Column) -> Column:
 def parse_rate(text) -> Column:
     """``"30000/1001"`` or ``"30"`` to a reduced struct(num, den); null when malformed."""
     text = _col(text)
-    num = F.regexp_extract(text, r"^([0-9]{1,9})(?:/([0-9]{1,9}))?$", 1)
-    den = F.regexp_extract(text, r"^([0-9]{1,9})(?:/([0-9]{1,9}))?$", 2)
+    num = F.regexp_extract(text, r"^([0-9]{1,18})(?:/([0-9]{1,18}))?$", 1)
+    den = F.regexp_extract(text, r"^([0-9]{1,18})(?:/([0-9]{1,18}))?$", 2)
     n = F.when(num != "", num.cast("long"))
     d = F.when(den != "", den.cast("long")).otherwise(F.when(num != "", F.lit(1).cast("long")))
     g = _gcd(n, d)

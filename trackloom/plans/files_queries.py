@@ -192,18 +192,18 @@ def _encode(vectors: pd.Series) -> pd.Series:
 
 @query(
     "write_once",
-    """SELECT * FROM (VALUES ('first', 'written'), ('again', 'cached'), ('other', 'conflict'))
-         v(step, status), (SELECT count(*) AS stored FROM orders WHERE o_orderstatus <> 'P')""",
+    """SELECT o_orderpriority, count(*) AS stored, CAST(sum(o_custkey) AS BIGINT) AS customers, 'written' AS first,
+              'cached' AS again, 'conflict' AS other FROM orders GROUP BY 1""",
 )
 def write_once(t):
     """Orders written, written again and written with other rows: only the first is stored."""
     path = folder(t, "orders")
-    rows = t.orders.where("o_orderstatus <> 'P'").select("o_orderkey", "o_custkey")
-    steps = [
-        ("first", fl.write_once(rows, path)),
-        ("again", fl.write_once(rows.repartition(3), path)),
-        ("other", fl.write_once(rows.withColumn("o_custkey", F.col("o_custkey") + 1), path)),
-    ]
-    total = t.spark.read.parquet(path).agg(F.count("*").alias("stored"))
-    status = t.spark.createDataFrame(steps, "step string, status string")
-    return status.withColumn("_k", F.lit(1)).join(total.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    rows = t.orders.select("o_orderkey", "o_custkey", "o_orderpriority")
+    changed = rows.withColumn("o_custkey", F.col("o_custkey") + 1)
+    status = {"first": fl.write_once(rows, path)}
+    status["again"] = fl.write_once(rows.sort("o_custkey"), path)
+    status["other"] = fl.write_once(changed, path)
+    stored = t.spark.read.parquet(path).groupBy("o_orderpriority").agg(
+        F.count("*").alias("stored"), F.sum("o_custkey").alias("customers")
+    )
+    return stored.withColumns({step: F.lit(s) for step, s in status.items()})
