@@ -13,8 +13,9 @@
    leave the block.
 4. Prefix merging: with ``match`` collisions of ``coordinates`` asked for, two classes
    must share one of the ``coordinates - match + 1`` rarest pairs of either. Only these
-   pairs are joined, only lists that meet several components, and only classes of
-   different components and hubs; pairs with too few collisions go. What is left is
+   pairs are joined, split by set size so that sizes too far apart never meet, only lists
+   that meet several components, and only classes of different components and hubs;
+   pairs with too few collisions go. What is left is
    confirmed on full sets, and the components are closed.
 
 A pair at the similarity limit (0.8) misses ``match`` = 26 of 48 collisions with a
@@ -28,12 +29,13 @@ columns are never looked at.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.llm.components import components
@@ -134,6 +136,13 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _slots(percent: int) -> Column:
+    """Classes whose set sizes allow a link share one of their two slots of set size."""
+    # A little wider than the limit, so that rounding cannot part two sizes exactly at it.
+    place = F.floor(F.log("n_shingles") / math.log(100 / percent + 1e-6)) if percent < 100 else F.col("n_shingles")
+    return F.array(place, place + 1)
+
+
 def _hubs(posted: DataFrame, column: str, match: int) -> DataFrame:
     """(doc_id, hub): each class with the head of its lists (``least`` or ``most``) that it meets most often.
 
@@ -244,15 +253,15 @@ def similar_components(
         .groupBy(*key)
         .agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"))
     )
-    posts = classes.select(
-        F.col("rep").alias("doc_id"), "n_shingles", F.posexplode("signature").alias("place", "value")
-    )
+    # Every coordinate hashes with keys of its own, so its 64-bit value names the pair; a chance
+    # equality of two coordinates only joins two lists.
+    posts = classes.select(F.col("rep").alias("doc_id"), F.explode("signature").alias("value"))
     lists = (
-        posts.groupBy("place", "value")
+        posts.groupBy("value")
         .agg(F.count(F.lit(1)).alias("length"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
         .where("length > 1")
     )
-    posted = materialize(posts.join(lists, ["place", "value"]))
+    posted = materialize(posts.join(lists, "value"))
     hubs = materialize(_hubs(posted, "least", match))
     pairs = materialize(_pairs(hubs.union(_hubs(posted, "most", match))))
     sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), docs, shingle)
@@ -273,28 +282,29 @@ def similar_components(
     # A pair alone in its list stands before all shared ones in the order of rarity.
     skip = coordinates - match + 1
     rarest = (
-        posted.groupBy("doc_id", "n_shingles")
-        .agg(F.array_sort(F.collect_list(F.struct("length", "place", "value"))).alias("own"))
+        posted.groupBy("doc_id")
+        .agg(F.array_sort(F.collect_list(F.struct("length", "value"))).alias("own"))
         .withColumn("room", F.lit(skip) - (F.lit(coordinates) - F.size("own")))
         .where("room > 0")
-        .select("doc_id", "n_shingles", F.explode(F.expr("slice(own, 1, room)")).alias("p"))
-        .select("doc_id", "n_shingles", "p.place", "p.value")
+        .select("doc_id", F.explode(F.expr("slice(own, 1, room)")["value"]).alias("value"))
+        .join(classes.select(F.col("rep").alias("doc_id"), "n_shingles"), "doc_id")
+        .withColumn("slot", F.explode(_slots(percent)))
         .join(roots, "doc_id", "left")
         .join(hubs, "doc_id", "left")
         .withColumns({"root": F.coalesce("root", "doc_id"), "hub": F.coalesce("hub", "doc_id")})
     )
     rarest = materialize(rarest)
     mixed = (
-        rarest.groupBy("place", "value")
+        rarest.groupBy("value", "slot")
         .agg(*[f(c).alias(n + c) for c in ("root", "hub") for n, f in (("lo_", F.min), ("hi_", F.max))])
         .where("lo_root < hi_root and lo_hub < hi_hub")
-        .select("place", "value")
+        .select("value", "slot")
     )
-    open_posts = materialize(rarest.join(mixed, ["place", "value"], "left_semi"))
-    one = open_posts.select("place", "value", *[F.col(c).alias(f"{c}_a") for c in ("doc_id", "n_shingles", "root", "hub")])
-    two = open_posts.select("place", "value", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "n_shingles", "root", "hub")])
+    open_posts = materialize(rarest.join(mixed, ["value", "slot"], "left_semi"))
+    one = open_posts.select("value", "slot", *[F.col(c).alias(f"{c}_a") for c in ("doc_id", "n_shingles", "root", "hub")])
+    two = open_posts.select("value", "slot", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "n_shingles", "root", "hub")])
     near = (
-        one.join(two, ["place", "value"])
+        one.join(two, ["value", "slot"])
         .where(
             (F.col("doc_id_a") > F.col("doc_id_b"))
             & (F.col("root_a") != F.col("root_b"))
