@@ -274,3 +274,14 @@ def test_pipeline(spark):
     roots = brute_components([(i, text[i]) for i in last.values()], 5)
     left = {i for i in last.values() if roots[i][1] == i}
     assert {r.doc_id for r in rows} <= left and rows and corpus_pipeline.ORACLE_SQL is None
+
+
+@pytest.mark.parametrize("percent", [80, 100])
+def test_set_sizes_that_allow_a_link_share_a_slot(spark, percent):
+    sizes = spark.range(1, 1500).select(F.col("id").alias("n_shingles"))
+    slots = {r[0]: set(r[1]) for r in sizes.select("n_shingles", near_dedup._slots(percent)).collect()}
+    for n in slots:
+        top = min(1499, n * 100 // percent)
+        assert slots[n] & slots[top]
+    far = [(n, m) for n in range(1, 700, 7) for m in (2 * n + 2,) if percent == 80 and slots[n] & slots[m]]
+    assert not far

@@ -116,10 +116,14 @@ def _set_maker(size: int) -> Callable:
 
 
 def _sets(wanted: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """doc_id and full shingle set of the wanted classes (column doc_id)."""
+    """doc_id and full shingle set of the wanted classes (column doc_id).
+
+    The wanted ids grow with the documents, so they are never broadcast: a call moves the
+    texts once, by the same plan at every size.
+    """
     kind = texts.schema["doc_id"].dataType.simpleString()
     return materialize(
-        texts.join(wanted.distinct(), "doc_id", "left_semi").mapInArrow(
+        texts.join(wanted.distinct().hint("merge"), "doc_id", "left_semi").mapInArrow(
             _set_maker(size), f"doc_id {kind}, shingles array<long>"
         )
     )
