@@ -13,7 +13,7 @@ from trackloom.sources.tables import materialize
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go (no text or no letter); a missing language is filled in."""
+    """Documents in no language by the network, or without a letter, go; ``lang`` becomes the predicted language."""
     return language.known_language(docs)
 
 

@@ -194,6 +194,25 @@ def test_language(docs, none, table):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {1, 2, 6, None, 7, 8}
 
 
+def test_network_rejects_and_names_documents(spark, table):
+    rng = np.random.default_rng(5)
+    word = lambda a, n: "".join(map(chr, rng.integers(a, a + n, 6)))
+    plain = [(r.doc_id, r.text, r.lang) for r in table.collect()]
+    ids = [i for i in range(10_000, 10_100) if zlib.crc32(str(i).encode()) % 3 == 1][:3]
+    odd = [
+        (i, " ".join(word(*script) for _ in range(150)), lang)
+        for i, script, lang in zip(ids, ((97, 26), (0x430, 32), (0x4E00, 5000)), ("en", None, None), strict=True)
+    ]
+    # A wrong language is put right, a missing one filled in, also for documents that were learned from.
+    german = next(t for _, t, lang in plain if lang == "de" and len(t) > 1000)
+    odd += [(20_000, german, "en"), (20_001, german, None)]
+    frame = spark.createDataFrame(plain + odd, "doc_id long, text string, lang string")
+    kept = {r.doc_id: r.lang for r in language.known_language(frame).collect()}
+    assert not kept.keys() & set(ids) and kept[20_000] == kept[20_001] == "de"
+    held = [(i, lang) for i, text, lang in plain if zlib.crc32(str(i).encode()) % 3 == 1 and re.search(r"[^\W\d_]", text or "")]
+    assert sum(kept.get(i) == lang for i, lang in held) >= 0.95 * len(held)
+
+
 def test_gradients_of_the_network():
     rng = np.random.default_rng(0)
     table, inner = rng.standard_normal((6, 256)).astype(np.float32) * 0.3, rng.standard_normal((6, 2)).astype(np.float32) * 0.3

@@ -10,6 +10,13 @@ It is trained in numpy by backpropagation through time (Adam) on a bounded sampl
 ``STRETCH`` characters of each. The sample's size follows these parameters and the
 number of languages, not the corpus. Prediction reads every byte of every text.
 
+``known_language`` lets the network decide. It learns one class more, ``und``, from the
+same stretches with their letters replaced: by random ones, by a permutation of the
+alphabet, or by those of another script. A document goes if its mean probability of
+``und`` is over a cut: 0.5, or more if over 5 % of the held-out documents of a language were
+to go at 0.5. With less than ``LEAST_HELD`` held-out documents to hold it against, none
+goes by the cut. The rest get the most probable language, whatever ``lang`` said.
+
 Cases: ``und`` with score 0 for a text that is null or has no letter, and for all texts
 if there is nothing to learn from. Rows with a null id are never learned from and are
 not held out. Repeated rows get the same answer.
@@ -37,6 +44,9 @@ BATCH = 256
 RATE = 0.02
 SEED = 2
 UNKNOWN = "und"
+CUT = 0.5
+HELD_SHARE = 0.95
+LEAST_HELD = 20
 _f = np.float32
 
 
@@ -49,6 +59,7 @@ class Model:
     inner: list[np.ndarray]  # per direction (3 * hidden, hidden)
     out: np.ndarray  # (languages, 2 * hidden)
     bias: np.ndarray  # (languages,)
+    cut: float = 1.0  # a document with a greater probability of UNKNOWN is of none of the languages
 
 
 def _start(languages: list[str], hidden: int) -> Model:
@@ -197,6 +208,37 @@ def document_probabilities(model: Model, data: np.ndarray, offsets: np.ndarray)
     return totals / np.maximum(sizes, 1)[:, None]
 
 
+def scrambled(texts: list[str]) -> list[str]:
+    """The texts with other letters, in turn: random, permuted and of another script. They teach UNKNOWN."""
+    rng = np.random.default_rng(SEED)
+    latin = np.array([chr(c) for c in range(ord("a"), ord("z") + 1)])
+    out = []
+    for i, text in enumerate(texts):
+        if i % 3 == 1:
+            other = dict(zip(latin, rng.permutation(latin), strict=True))
+            out.append("".join(other.get(c, c) for c in text.lower()))
+            continue
+        letters = latin
+        while i % 3 == 2 and letters is latin:
+            start, width = int(rng.integers(0x370, 0xD700)), int(rng.integers(20, 400))
+            script = [c for c in map(chr, range(start, start + width)) if c.isalpha()]
+            letters = np.array(script) if len(script) > 10 else latin
+        drawn = rng.choice(letters, len(text))
+        out.append("".join((x.upper() if c.isupper() else x) if c.isalpha() else c for c, x in zip(text, drawn, strict=True)))
+    return out
+
+
+def train_with_unknown(texts: list[str], labels: list[str], held_texts: list[str], held_labels: list[str]) -> Model | None:
+    """A model that also knows UNKNOWN, its cut held against the held-out texts."""
+    model = train(texts + scrambled(texts), labels + [UNKNOWN] * len(texts))
+    held = [t.encode() for t, label in zip(held_texts, held_labels, strict=True) if label != UNKNOWN and t]
+    if model is not None and len(held) >= LEAST_HELD:
+        offsets = np.cumsum([0, *map(len, held)])
+        chance = document_probabilities(model, np.frombuffer(b"".join(held), np.uint8), offsets)
+        model.cut = max(CUT, float(np.quantile(chance[:, model.languages.index(UNKNOWN)], HELD_SHARE)))
+    return model
+
+
 def _predictor(model: Model | None) -> Callable:
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,16 +246,20 @@ def _predictor(model: Model | None) -> Callable:
             letters = batch.column("letters").to_numpy(zero_copy_only=False).astype(bool)
             data, offsets = text_buffers(batch.column("text"))
             rows = batch.num_rows
-            best, score = np.zeros(rows, int), np.zeros(rows)
+            best, score, odd = np.zeros(rows, int), np.zeros(rows), np.zeros(rows, bool)
             while model is not None and at < rows:
                 to = int(np.searchsorted(offsets, offsets[at] + SLAB * WINDOW * 4, side="right")) - 1
                 to = min(rows, max(at + 1, to))
                 lo = offsets[at]
                 chance = document_probabilities(model, data[lo : offsets[to]], offsets[at : to + 1] - lo)
+                if UNKNOWN in model.languages:
+                    unknown = chance[:, model.languages.index(UNKNOWN)]
+                    odd[at:to] = unknown > model.cut
+                    unknown[:] = 0
                 best[at:to], score[at:to] = chance.argmax(axis=1), chance.max(axis=1)
                 at = to
             names = np.array([*(model.languages if model else []), UNKNOWN], dtype=object)
-            known = letters & (model is not None)
+            known = letters & ~odd & (model is not None)
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(c) for c in batch.schema.names if c not in ("text", "letters")),
@@ -276,8 +322,12 @@ def train_and_identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def known_language(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``df`` without the documents of no language; a null language becomes the predicted one."""
-    model = train(*sample(df.where(~held_out(df[id_col])), id_col, text_col, lang_col, PER_LANGUAGE))
+    """``df`` without the documents that the network finds in no learned language; ``lang`` is the predicted one."""
+    hidden = held_out(df[id_col])
+    model = train_with_unknown(
+        *sample(df.where(~hidden), id_col, text_col, lang_col, PER_LANGUAGE),
+        *sample(df.where(hidden), id_col, text_col, lang_col, PER_LANGUAGE),
+    )
     names = df.columns
     row = df.select(
         F.struct(*[df[c].alias(f"c{i}") for i, c in enumerate(names)]).alias("row"),
@@ -285,5 +335,6 @@ def known_language(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         df[text_col].alias("text"),
     )
     found = identify(row, model, keep=("row",)).where(F.col("lang_pred") != UNKNOWN)
-    lang = F.coalesce(f"row.c{names.index(lang_col)}", "lang_pred")
-    return found.select(*[(lang if c == lang_col else F.col(f"row.c{i}")).alias(c) for i, c in enumerate(names)])
+    return found.select(
+        *[F.col("lang_pred" if c == lang_col else f"row.c{i}").alias(c) for i, c in enumerate(names)]
+    )
