@@ -1,6 +1,8 @@
 """Secret scans: candidates by shape, false positives removed by a random forest.
 
-A candidate is a run of at least 12 characters ``[A-Za-z0-9+/_=-]`` with a digit in it.
+A candidate is a run of at least 12 characters ``[A-Za-z0-9+/_=-]`` with a digit in it;
+a word of minified JSON, CSV or a query string has as many as it has such runs. A run with
+assignment signs inside gives its parts that are candidates by themselves, else the whole.
 Its features are its length and character classes, the transitions between characters,
 the share of its letters that dictionary words cover, its path, and the words next to
 it. The dictionary is every letter run that at least ``DICTIONARY_COUNT`` places of the
@@ -30,6 +32,8 @@ from trackloom.sources.tables import materialize
 
 LEAST = 12
 SHAPE = r"[A-Za-z0-9+/_=-]{12,}"
+# A name and an assignment sign at the end of what stands before a run.
+ASSIGNED = r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]++)[\"'\\]*[=:]+>?[\"'\\]*$"
 DICTIONARY_COUNT = 20
 SAMPLE = 20_000
 TREES = 20
@@ -44,10 +48,11 @@ PREFIXES = "AKIA|ASIA|ghp_|gho_|glpat-|xox[abp]-|sk_live_|AIza"
 
 
 def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """doc_id, path, word, candidate, before, name, after: one row per candidate in a text.
+    """doc_id, path, word, place, candidate, before, name, after: one row per candidate in a text.
 
-    ``word`` is the place of its white-space word, ``name`` what stands before it in that
-    word or, after a lone ``=`` or ``:``, the word before.
+    ``word`` is the place of its white-space word, ``place`` its own in that word, ``name``
+    what it is assigned to: what stands before it in the word, at the start of the word or,
+    after a lone ``=`` or ``:``, the word before.
     """
     words = F.split(F.coalesce(df[text_col].cast("string"), F.lit("")), r"\s+")
     rows = df.select(
@@ -57,29 +62,39 @@ def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     )
     has = "length(w) >= {n} and w rlike '[0-9]' and w rlike '{shape}'".format(n=LEAST, shape=SHAPE)
     places = F.expr(f"filter(transform(words, (w, i) -> if({has}, i, null)), i -> i is not null)")
-    found = rows.withColumn("places", places).where(F.size("places") > 0)
-    one = found.select("doc_id", "path", "words", F.explode("places").alias("word"))
-    at = lambda k: F.coalesce(F.try_element_at("words", F.col("word") + 1 + k), F.lit(""))
-    back = lambda k: F.when(F.col("word") >= k, F.try_element_at("words", F.col("word") + 1 - k)).otherwise(F.lit(""))
-    own = at(0)
-    # The value after the last assignment sign inside the word, if it is long enough, else the whole run.
-    value = F.regexp_extract(own, rf"[=:][\"']?({SHAPE}?)[\"'.,;)]*$", 1)
-    value = F.when(F.length(value) >= LEAST, value).otherwise(F.regexp_extract(own, f"({SHAPE})", 1))
-    out = one.select(
-        "doc_id",
-        "path",
-        F.col("word").cast("long").alias("word"),
-        value.alias("candidate"),
-        back(1).alias("one"),
-        back(2).alias("two"),
-        F.lower(F.regexp_extract(own, r"^([A-Za-z_]+)[=:]", 1)).alias("inner"),
-        F.lower(at(1)).alias("after"),
+    around = F.expr(
+        "transform(places, i -> struct(cast(i as bigint) as word, words[i] as own, coalesce(get(words, i - 1), '') as one, "
+        "coalesce(get(words, i - 2), '') as two, lower(coalesce(get(words, i + 1), '')) as after))"
+    )
+    one = rows.withColumn("places", places).select("doc_id", "path", F.explode(around).alias("w")).select("doc_id", "path", "w.*")
+    one = one.select(
+        "*",
+        F.regexp_extract_all("own", F.lit(f"({SHAPE})"), F.lit(1)).alias("runs"),
+        F.split("own", SHAPE, -1).alias("between"),
+        F.regexp_extract("own", r"^([A-Za-z_]+)[=:]", 1).alias("first"),
+    )
+    empty = F.lit("")
+    lead = F.transform(
+        "runs", lambda _, k: F.concat(F.coalesce(F.get("runs", k - 1), empty), F.get("between", k))
+    )
+
+    def of_run(run, k):
+        parts = F.split(run, "=+(?=[^=])")
+        own = F.regexp_extract(F.get("leads", k), ASSIGNED, 1)
+        both = F.transform(parts, lambda p, j: F.struct(p.alias("candidate"), F.coalesce(F.get(parts, j - 1), own).alias("own_name")))
+        good = F.filter(both, lambda x: (F.length(x["candidate"]) >= LEAST) & x["candidate"].rlike("[0-9]"))
+        whole = F.array(F.struct(run.alias("candidate"), own.alias("own_name")))
+        return F.when(~run.rlike("[0-9]"), F.filter(whole, lambda x: F.lit(False))).when(F.size(good) > 0, good).otherwise(whole)
+
+    found = one.withColumn("leads", lead).select(
+        "doc_id", "path", "word", "one", "two", "after", "first", F.posexplode(F.flatten(F.transform("runs", of_run))).alias("place", "found")
     )
     sign = F.col("one").isin("=", ":", ":=", "=>")
-    name = F.when(F.col("inner") != "", F.col("inner")).when(sign, F.lower("two"))
-    name = F.coalesce(name, F.when(F.col("one").rlike("[=:]$"), F.lower(F.regexp_replace("one", "[=:]+$", ""))), F.lit(""))
-    return out.where(F.col("candidate").rlike("[0-9]")).select(
-        "doc_id", "path", "word", "candidate", F.lower("one").alias("before"), name.alias("name"), "after"
+    name = F.when(F.col("found.own_name") != "", F.col("found.own_name")).when(F.col("first") != "", F.col("first")).when(sign, F.col("two"))
+    name = F.coalesce(name, F.when(F.col("one").rlike("[=:]$"), F.regexp_replace("one", "[=:]+$", "")), empty)
+    return found.select(
+        "doc_id", "path", "word", F.col("place").cast("long").alias("place"), "found.candidate",
+        F.lower("one").alias("before"), F.lower(name).alias("name"), "after",
     )
 
 
@@ -169,8 +184,8 @@ def remove_false_positives(found: DataFrame, labelled: DataFrame) -> DataFrame:
 
 
 def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", labelled: DataFrame | None = None) -> DataFrame:
-    """One row per candidate: doc_id, word, candidate, path, name, score, secret."""
+    """One row per candidate: doc_id, word, place, candidate, path, name, score, secret."""
     found = materialize(candidates(df, id_col, text_col, path_col))
     measured = materialize(features(found, dictionary(df, text_col)))
     scored = remove_false_positives(measured, label_findings(measured) if labelled is None else labelled)
-    return scored.select("doc_id", "word", "candidate", "path", "name", "score", "secret")
+    return scored.select("doc_id", "word", "place", "candidate", "path", "name", "score", "secret")
