@@ -127,6 +127,20 @@ def test_sharding(docs, none, table):
     assert sharding.shard_by_bytes(none).count() == 0
 
 
+def test_only_groups_larger_than_a_shard_are_divided(spark):
+    # One hot text with a third of all bytes, one of a twentieth, and small groups of three copies.
+    texts = ["hot " * 10] * 1000 + ["warm" * 10] * 150 + [f"{k:040d}" for k in range(617)] * 3
+    rows = sharding.shard_by_bytes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ranges_per_shard=8).collect()
+    shards, loads = {}, Counter()
+    for r in rows:
+        shards.setdefault(texts[r.doc_id], set()).add(r.shard)
+        loads[r.shard] += r.size
+    assert len(rows) == len(texts) and [t for t, own in shards.items() if len(own) > 1] == [texts[0]]
+    assert len(loads) == 8 and max(loads.values()) <= 1.1 * min(loads.values())
+    for s in loads:
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+
+
 def test_mixing(docs, none, spark):
     rows = mixing.mix(docs).collect()
     assert len(rows) == len(ROWS) and mixing.mix(none).count() == 0

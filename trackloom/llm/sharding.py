@@ -1,14 +1,15 @@
 """Shards of nearly equal bytes by sampled splitters.
 
 A size-weighted sample of the record keys gives quantile boundaries; records are
-range-partitioned by them, every range is measured exactly, and a range that holds
-too much is subdivided by the hash of the record id. The measured ranges are dealt
+range-partitioned by them, every range is measured exactly, and in a range that holds
+too much every big group of equal texts becomes a range of its own; what is left is
+subdivided by the hash of the key. The measured ranges are dealt
 to the shards, largest first to the lightest shard. The key is the hash of the text,
 so equal texts stay in one range and one shard, unless their group alone is larger
-than a shard; then its parts are dealt singly.
+than a shard; then its parts, cut by the hash of the record id, are dealt singly.
 
 The driver sees splitters and one row per range: their number follows the parameters
-(``shards`` and ``ranges_per_shard``), not the rows.
+(``shards`` and ``ranges_per_shard``), not the rows; so does that of the big groups.
 
 Cases: a null text has size 1 and counts as empty for the checksum; null ids are
 allowed. Repeated rows are interchangeable. An empty table gives an empty result.
@@ -80,19 +81,27 @@ def shard_by_bytes(
 
     rows = rows.withColumn("range", range_of("key"))
     fair = total / ranges
-    sizes = {r["range"]: r["size"] for r in rows.groupBy("range").agg(F.sum("size").alias("size")).collect()}
+    measure = lambda of: {r[0]: r[1] for r in of.groupBy("range").agg(F.sum("size")).collect()}
+    full = [r for r, size in measure(rows).items() if size > 2 * fair]
+    big = (
+        rows.where(F.col("range").isin(full)).groupBy("key").agg(F.sum("size").alias("size"))
+        .where(F.col("size") > 2 * fair).select("key").collect()
+    )
+    # Less than half as many big groups as ranges; each becomes a range behind the others.
+    own = spark.createDataFrame([(k, ranges + i) for i, k in enumerate(sorted(r["key"] for r in big))], "key long, own int")
+    rows = rows.join(F.broadcast(own), "key", "left").withColumn("range", F.coalesce("own", "range")).drop("own")
+    sizes = measure(rows)
     parts = {r: -int(-size // fair) if size > 2 * fair else 1 for r, size in sizes.items()}
     cut = spark.createDataFrame([(r, n) for r, n in parts.items()], "range int, parts int")
-    # At most one row per range, a number fixed by the parameters.
-    rows = rows.join(F.broadcast(cut), "range").withColumn(
-        "part", F.pmod(F.xxhash64("id_hash"), F.col("parts")).cast("int")
-    )
+    # Equal texts stay in one part, but for big groups, whose parts are only counted singly unless the group is larger than a shard.
+    cut_by = F.when(F.col("range") >= ranges, F.xxhash64("id_hash")).otherwise(F.xxhash64("key"))
+    rows = rows.join(F.broadcast(cut), "range").withColumn("part", F.pmod(cut_by, F.col("parts")).cast("int"))
     measured = (
         rows.groupBy("range", "part")
         .agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
         .collect()
     )
-    whole = {r for r, size in sizes.items() if size <= total / shards}
+    whole = {r for r, size in sizes.items() if r >= ranges and size <= total / shards}
     items = [(sizes[r], (r,)) for r in sorted(whole)]
     items += [(m["size"], (m["range"], m["part"])) for m in measured if m["range"] not in whole]
     shard_of = _deal(items, shards)
