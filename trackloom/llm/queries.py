@@ -18,6 +18,7 @@ from trackloom.llm import (
     secret_scan,
     sharding,
     simhash,
+    vector_codes,
 )
 
 
@@ -124,6 +125,53 @@ SELECT doc_id, size, source_size::BIGINT AS source_size, target,
 FROM p
 """
 
+
+
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def _op11_sql(rounds: int = vector_codes.ROUNDS) -> str:
+    """Each round as two views: nearest entries, then floored means (the operands of % are shifted to be positive)."""
+
+    def nearest(book: str) -> str:
+        return f"""
+  SELECT rn, pos, arg_min(entry, (far, entry)) AS entry, min(far) AS far
+  FROM (SELECT rn, p.pos, entry, sum((x - c) * (x - c))::BIGINT AS far
+        FROM p JOIN {book} b ON p.pos = b.pos AND p.k = b.k GROUP BY rn, p.pos, entry)
+  GROUP BY rn, pos"""
+
+    views = [
+        """v AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rn, vec_id, label, embedding
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0)""",
+        """q AS (
+  SELECT rn, len(embedding) // 8 AS w, unnest(range(len(embedding))) AS i,
+         unnest(list_transform(embedding, x -> floor(4096 * x::DOUBLE)::BIGINT)) AS x FROM v)""",
+        "p AS (SELECT rn, i // w AS pos, i % w AS k, x FROM q)",
+        "b0 AS (SELECT pos, rn - 1 AS entry, k, x AS c FROM p WHERE rn <= 16)",
+    ]
+    for r in range(rounds):
+        views.append(f"n{r} AS MATERIALIZED ({nearest(f'b{r}')})")
+        views.append(f"""b{r + 1} AS MATERIALIZED (
+  SELECT b.pos, b.entry, b.k,
+         CASE WHEN n IS NULL THEN c ELSE (total - ((total % n) + n) % n) // n END::BIGINT AS c
+  FROM b{r} b LEFT JOIN (
+    SELECT p.pos, entry, k, sum(x)::BIGINT AS total, count(*)::BIGINT AS n
+    FROM p JOIN n{r} a ON p.rn = a.rn AND p.pos = a.pos GROUP BY p.pos, entry, k) s
+  ON b.pos = s.pos AND b.entry = s.entry AND b.k = s.k)""")
+    views.append(f"""e AS (
+  SELECT rn, string_agg(printf('%02x', entry::INT), '' ORDER BY pos) AS code, sum(far)::BIGINT AS error
+  FROM ({nearest(f'b{rounds}')}) GROUP BY rn)""")
+    return "WITH " + ",\n".join(views) + f"""
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+       (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY pos, entry, k)) FROM b{rounds}) AS codebooks_sha256
+FROM v JOIN e USING (rn)
+"""
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_secret_scan": (op1_secret_scan, None),
     "op2_language": (op2_language, None),
@@ -135,4 +183,5 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_exact_dedup": (op8_exact_dedup, OP8_SQL),
     "op9_sharding": (op9_sharding, None),
     "op10_mixing": (op10_mixing, OP10_SQL),
+    "op11_vector_codes": (op11_vector_codes, _op11_sql()),
 }
