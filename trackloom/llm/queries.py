@@ -146,10 +146,10 @@ def _op11_sql(rounds: int = vector_codes.ROUNDS) -> str:
   SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rn, vec_id, label, embedding
   FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0)""",
+    AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0)""",
         """q AS (
   SELECT rn, len(embedding) // 8 AS w, unnest(range(len(embedding))) AS i,
-         unnest(list_transform(embedding, x -> floor(4096 * x::DOUBLE)::BIGINT)) AS x FROM v)""",
+         unnest([floor(4096 * x::DOUBLE)::BIGINT for x in embedding]) AS x FROM v)""",
         "p AS (SELECT rn, i // w AS pos, i % w AS k, x FROM q)",
         "b0 AS (SELECT pos, rn - 1 AS entry, k, x AS c FROM p WHERE rn <= 16)",
     ]
