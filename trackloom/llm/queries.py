@@ -11,6 +11,7 @@ from trackloom.llm import (
     exact_dedup,
     html_extract,
     language,
+    lexical,
     licenses,
     mixing,
     near_dedup,
@@ -19,6 +20,7 @@ from trackloom.llm import (
     sharding,
     simhash,
     vector_codes,
+    warc,
 )
 
 
@@ -172,6 +174,54 @@ FROM v JOIN e USING (rn)
 """
 
 
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS rn, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+item_words AS (
+  SELECT item_id, unnest(list_distinct(
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term
+  FROM benchmark),
+whole AS (SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS n_terms FROM words WHERE len(w) > 0),
+tf AS (
+  SELECT rn, term, count(*)::BIGINT AS tf FROM (SELECT rn, unnest(w) AS term FROM words)
+  WHERE term IN (SELECT term FROM item_words) GROUP BY rn, term),
+weight AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM tf, whole GROUP BY term, n_docs),
+damp AS (SELECT rn, doc_id, 50 + (50 * len(w)::BIGINT * n_docs) // n_terms AS m FROM words, whole WHERE len(w) > 0),
+scored AS (
+  SELECT item_id, doc_id, rn, sum(weight.w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM item_words JOIN weight USING (term) JOIN tf USING (term) JOIN damp USING (rn)
+  GROUP BY item_id, doc_id, rn),
+ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score
+  FROM scored WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 50
+"""
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(_table(spark, sf_dir, "pages"))
+
+
+OP13_SQL = """
+SELECT page_id, octet_length(payload) AS payload_bytes, payload_digest,
+       CASE WHEN page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM (SELECT page_id, payload, sha256(payload) AS payload_digest,
+             CASE WHEN octet_length(payload) < 100 THEN page_id
+                  ELSE min(page_id) OVER (PARTITION BY payload) END AS first_id
+      FROM (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages))
+"""
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_secret_scan": (op1_secret_scan, None),
     "op2_language": (op2_language, None),
@@ -184,4 +234,6 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op9_sharding": (op9_sharding, None),
     "op10_mixing": (op10_mixing, OP10_SQL),
     "op11_vector_codes": (op11_vector_codes, _op11_sql()),
+    "op12_search": (op12_search, OP12_SQL),
+    "op13_warc": (op13_warc, OP13_SQL),
 }
