@@ -15,6 +15,7 @@ from trackloom.operators import resolve as rs
 from trackloom.operators import rules as ru
 from trackloom.operators import signals as sg
 from trackloom.operators import structure as st
+from trackloom.operators import tiles
 from trackloom.sources import artifacts as ar
 from trackloom.sources import files as fl
 from trackloom.sources import schemas as sc
@@ -212,14 +213,51 @@ def _brute_pairs(a, b):
     return pairs[::-1]
 
 
-@pytest.mark.parametrize("strip", [1, 3, 256])
-def test_alignment_equals_brute_force(strip):
-    rng = random.Random(strip)
-    for _ in range(40):
-        a = "".join(rng.choice("abc") for _ in range(rng.randrange(0, 25)))
-        b = "".join(rng.choice("abc") for _ in range(rng.randrange(0, 25)))
-        left, right = ly._align(a, b, strip)
-        assert list(zip(left.tolist(), right.tolist())) == _brute_pairs(a, b)
+def _alignment_tables(spark, texts):
+    """Known texts in lines of up to nine characters (some empty), observed texts as characters."""
+    lines = [(k, i // 9, "", a[i : i + 9]) for k, a, _ in texts for i in range(0, len(a), 9)]
+    lines += [(k, 10**6, "", "") for k, *_ in texts]
+    chars = [(k, i, c) for k, _, b in texts for i, c in enumerate(b)]
+    return (
+        table(spark, lines, "track_id long, line long, text string, key string").repartition(3),
+        table(spark, chars, "track_id long, pos long, char string").repartition(3),
+    )
+
+
+@pytest.mark.parametrize("tile", [2, 7])
+def test_alignment_equals_brute_force(spark, tile, monkeypatch):
+    monkeypatch.setattr(tiles, "STRIP", 3)
+    rng = random.Random(tile)
+    longest = 3 * tile
+    texts = [
+        (k, *("".join(rng.choice("ab\U0001d11e") for _ in range(rng.randrange(0, longest))) for _ in range(2)))
+        for k in range(30)
+    ]
+    got = {}
+    for r in ly.align_pairs(*_alignment_tables(spark, texts), KEY, tile=tile).collect():
+        got.setdefault(r.track_id, []).append((r.known_pos, r.observed_pos))
+    for k, a, b in texts:
+        assert sorted(got.get(k, [])) == _brute_pairs(a, b)
+
+
+def test_alignment_without_texts(spark):
+    assert ly.align_pairs(*_alignment_tables(spark, [(1, "abc", ""), (2, "", "abc")]), KEY).count() == 0
+
+
+def test_a_long_text_is_aligned_in_tiles(spark):
+    """60,000 characters a side, refused by the import limits, aligned without them like the whole table at once."""
+    rng = np.random.default_rng(4)
+    a = "".join(rng.choice(list("abcdefgh"), 60_000))
+    b = "".join(c for c in a[20_000:31_000] if rng.random() > 0.2)
+    lines = spark.range(600).selectExpr("1L AS track_id", "id AS line", "'' AS text", f"substr('{a}', id * 100 + 1, 100) AS key")
+    chars = spark.range(len(b)).selectExpr("1L AS track_id", "id AS pos", f"substr('{b}', id + 1, 1) AS char")
+    assert ly.align_pairs(lines, chars, KEY).count() == 0
+    got = sorted((r.known_pos, r.observed_pos) for r in ly.align_pairs(lines, chars, KEY, limited=False).collect())
+    edge = np.arange(len(a) + 1, dtype=np.int32)
+    known, observed, *_ = tiles.tile_path(
+        tiles._codes(a), tiles._codes(b), np.arange(len(b) + 1, dtype=np.int32), edge, len(a), len(b)
+    )
+    assert got == sorted(zip(known, observed)) and len(got) > 8_000
 
 
 def test_known_text_alignment(spark):

@@ -6,10 +6,8 @@ no shuffle, and a long document costs only its own row.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,6 +22,7 @@ from trackloom.functions.blocks import (
     running_sum,
     salted_join,
 )
+from trackloom.operators.tiles import TILE, align_blocks, known_blocks, observed_blocks
 
 # Limits of the alignment and patterns of the import formats.
 MIN_COVERAGE = 0.45
@@ -253,56 +252,14 @@ def timed_chars(tokens: DataFrame, keys: Sequence[str], block: int) -> DataFrame
     return ordinal(chars, keys, order, int_div("start_sample", block), "pos")
 
 
-def _align(known: str, observed: str, strip: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Exact-match positions on one cheapest edit path (diagonal before delete before insert).
+def alignment_sizes(
+    lines: DataFrame, chars: DataFrame, keys: Sequence[str], limited: bool = True
+) -> DataFrame:
+    """Characters on both sides per track; a reason where the alignment is refused.
 
-    Only every ``strip``-th row of costs is kept; directions are rebuilt strip by
-    strip on the way back, so memory stays small for the largest allowed texts.
+    The limits are those of the import format; the alignment itself has none, and with
+    ``limited=False`` no track is refused.
     """
-    a = np.array([ord(c) for c in known], dtype=np.int32)
-    b = np.array([ord(c) for c in observed], dtype=np.int32)
-    rows, steps = len(a), np.arange(len(b) + 1, dtype=np.int32)
-
-    def advance(cost: np.ndarray, row: int, directions: np.ndarray | None) -> np.ndarray:
-        diagonal = cost[:-1] + (b != a[row])
-        delete = cost + 1
-        best = delete.copy()
-        best[1:] = np.minimum(diagonal, delete[1:])
-        best = np.minimum.accumulate(best - steps) + steps
-        if directions is not None:
-            directions[:] = np.where(best == delete, 1, 2)
-            directions[1:][diagonal == best[1:]] = 0
-        return best
-
-    saved, cost = [], steps.copy()
-    for row in range(rows):
-        if row % strip == 0:
-            saved.append(cost)
-        cost = advance(cost, row, None)
-    left, right, r, c = [], [], rows, len(b)
-    for number in range(len(saved) - 1, -1, -1):
-        first = number * strip
-        last = min(rows, first + strip)
-        table = np.empty((last - first, len(b) + 1), dtype=np.int8)
-        cost = saved[number]
-        for row in range(first, last):
-            cost = advance(cost, row, table[row - first])
-        while r > first:
-            way = table[r - 1 - first, c]
-            if c and way == 0:
-                if a[r - 1] == b[c - 1]:
-                    left.append(r - 1)
-                    right.append(c - 1)
-                r, c = r - 1, c - 1
-            elif c == 0 or way == 1:
-                r -= 1
-            else:
-                c -= 1
-    return np.array(left[::-1], dtype=np.int64), np.array(right[::-1], dtype=np.int64)
-
-
-def alignment_sizes(lines: DataFrame, chars: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Characters on both sides per track; a reason where the alignment is refused."""
     keys = list(keys)
     known = lines.groupBy(*keys).agg(F.sum(F.length("key")).alias("known_chars"))
     seen = chars.groupBy(*keys).agg(F.count("*").alias("observed_chars"))
@@ -311,45 +268,32 @@ def alignment_sizes(lines: DataFrame, chars: DataFrame, keys: Sequence[str]) ->
     )
     return known.join(seen, keys, "full").fillna(
         0, ["known_chars", "observed_chars"]
-    ).withColumn("reason", reason)
+    ).withColumn("reason", reason if limited else F.lit(None).cast("string"))
 
 
-def align_pairs(lines: DataFrame, chars: DataFrame, keys: Sequence[str]) -> DataFrame:
+def align_pairs(
+    lines: DataFrame, chars: DataFrame, keys: Sequence[str], limited: bool = True, tile: int = TILE
+) -> DataFrame:
     """Matched (known_pos, observed_pos) of the global alignment of each track.
 
-    A track over the size limits is refused beforehand (``alignment_sizes``), so
-    one group holds at most 70000 characters.
+    The table of costs is worked off in tiles of ``tile`` x ``tile`` characters (see
+    :mod:`trackloom.operators.tiles`). Unless ``limited`` is off, tracks over the size
+    limits are refused beforehand (``alignment_sizes``).
     """
     keys = list(keys)
-    fits = alignment_sizes(lines, chars, keys).where("reason is null").select(*keys)
-    known = salted_join(lines, fits, keys).groupBy(*keys).agg(
-        F.array_join(
-            F.transform(F.sort_array(F.collect_list(F.struct("line", "key"))), lambda x: x["key"]), ""
-        ).alias("_known")
-    )
-    seen = salted_join(chars, fits, keys).groupBy(*keys).agg(
-        F.array_join(
-            F.transform(F.sort_array(F.collect_list(F.struct("pos", "char"))), lambda x: x["char"]), ""
-        ).alias("_seen")
-    )
-    types = {f.name: f.dataType.simpleString() for f in lines.schema}
-    key_ddl = ", ".join(f"{k} {types[k]}" for k in keys)
-
-    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for i in range(len(batch)):
-                a, b = _align(batch["_known"].iloc[i], batch["_seen"].iloc[i])
-                yield pd.DataFrame(
-                    {**{k: batch[k].iloc[i] for k in keys}, "known_pos": a, "observed_pos": b}
-                )
-
-    return known.join(seen, keys).mapInPandas(
-        match, f"{key_ddl}, known_pos bigint, observed_pos bigint"
-    )
+    if limited:
+        fits = alignment_sizes(lines, chars, keys).where("reason is null").select(*keys)
+        lines, chars = salted_join(lines, fits, keys), salted_join(chars, fits, keys)
+    return align_blocks(known_blocks(lines, keys, tile), observed_blocks(chars, keys, tile), keys, tile)
 
 
 def line_coverage(
-    lines: DataFrame, pairs: DataFrame, chars: DataFrame, tracks: DataFrame, keys: Sequence[str]
+    lines: DataFrame,
+    pairs: DataFrame,
+    chars: DataFrame,
+    tracks: DataFrame,
+    keys: Sequence[str],
+    limited: bool = True,
 ) -> DataFrame:
     """Matched characters of each line, coverage, status and the first time range.
 
@@ -359,7 +303,7 @@ def line_coverage(
     """
     keys = list(keys)
     refused = (
-        alignment_sizes(lines, chars, keys)
+        alignment_sizes(lines, chars, keys, limited)
         .where("reason is not null")
         .select(*keys, F.col("reason").alias("_refused"))
     )

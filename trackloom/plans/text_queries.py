@@ -232,19 +232,67 @@ def item_tracks(t):
     )
 
 
-@query("align_pairs")
+# The cost table by anti-diagonals (lists over the known side), then the way back from its end.
+ALIGNED = f"""{TOKENS}, {LINES},
+sides AS (
+  SELECT track_id, a, b, CAST(len(a) AS BIGINT) AS n, CAST(len(b) AS BIGINT) AS m
+  FROM (SELECT track_id, string_split(string_agg(key, '' ORDER BY line), '') AS a FROM lines GROUP BY 1)
+  JOIN (SELECT track_id, list(char ORDER BY pos) AS b FROM chars GROUP BY 1) USING (track_id)),
+costs AS (
+  SELECT track_id, a, b, n, m, CAST(0 AS BIGINT) AS d, [0] || [1000000 FOR i IN range(n)] AS p1,
+         [1000000 FOR i IN range(n + 1)] AS p2, [2 FOR i IN range(n + 1)] AS way
+  FROM sides
+  UNION ALL
+  SELECT track_id, a, b, n, m, d + 1,
+         [CASE WHEN i > d + 1 OR d + 1 - i > m THEN 1000000 WHEN i = 0 THEN d + 1 WHEN i = d + 1 THEN i
+               ELSE least(p2[i] + CAST(a[i] <> b[d + 1 - i] AS INT), p1[i] + 1, p1[i + 1] + 1) END
+          FOR i IN range(n + 1)], p1,
+         [CASE WHEN i > d + 1 OR d + 1 - i > m THEN 9 WHEN i = 0 THEN 2 WHEN i = d + 1 THEN 1
+               WHEN p2[i] + CAST(a[i] <> b[d + 1 - i] AS INT) <= least(p1[i], p1[i + 1]) + 1 THEN 0
+               WHEN p1[i] <= p1[i + 1] THEN 1 ELSE 2 END FOR i IN range(n + 1)]
+  FROM costs WHERE d < n + m),
+ways AS MATERIALIZED (SELECT track_id, d, way FROM costs),
+path AS (
+  SELECT track_id, n AS r, m AS c FROM sides
+  UNION ALL
+  SELECT p.track_id, r - CAST(way[r + 1] <> 2 AS INT), c - CAST(way[r + 1] <> 1 AS INT)
+  FROM path p JOIN ways w ON w.track_id = p.track_id AND w.d = r + c WHERE r > 0 OR c > 0),
+pairs AS (
+  SELECT p.track_id, r - 1 AS known_pos, c - 1 AS observed_pos
+  FROM path p JOIN ways w ON w.track_id = p.track_id AND w.d = r + c JOIN sides s ON s.track_id = p.track_id
+  WHERE r > 0 AND c > 0 AND way[r + 1] = 0 AND a[r] = b[c])"""
+
+
+@query("align_pairs", f"WITH RECURSIVE {ALIGNED} SELECT * FROM pairs")
 def align_pairs(t):
-    """Quadratic per text, so no SQL: checked against brute force in the tests."""
     return ly.align_pairs(lines(t), t.shared("chars", chars), KEY)
 
 
-@query("aligned_lines")
+@query(
+    "aligned_lines",
+    f"""WITH RECURSIVE {ALIGNED},
+        h AS (SELECT l.track_id, l.line, l.text, l.n, count(p.known_pos) AS hits,
+                     arg_min(c.start_sample, p.known_pos) AS s, arg_max(c.end_sample, p.known_pos) AS e
+              FROM lines l LEFT JOIN (pairs p JOIN chars c ON c.track_id = p.track_id AND c.pos = p.observed_pos)
+                ON p.track_id = l.track_id AND p.known_pos >= l.stop - l.n AND p.known_pos < l.stop
+              GROUP BY 1, 2, 3, 4),
+        o AS (SELECT *, hits >= 2 AND hits / n >= 0.45 AS ok FROM h),
+        x AS (SELECT *, coalesce(first_value(CASE WHEN ok THEN s END IGNORE NULLS) OVER (PARTITION BY track_id ORDER BY line
+                          ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 1000000000) AS nxt FROM o)
+        SELECT track_id, line, text, n AS normalized_characters, round(hits / n, 6) AS coverage,
+               CASE WHEN ok AND nxt > s THEN 'matched' ELSE 'unmatched' END AS status,
+               CASE WHEN ok AND nxt > s THEN s END AS start_sample,
+               CASE WHEN ok AND nxt > s THEN least(1000000000, greatest(e, s + 14400), nxt) END AS end_sample,
+               CASE WHEN NOT ok THEN 'insufficient_exact_character_matches'
+                    WHEN nxt <= s THEN 'non_increasing_mapped_time' END AS reason
+        FROM x""",
+)
 def aligned_lines(t):
     """Lyrics of the known texts with the times of the matched words."""
     heard = t.shared("chars", chars)
     pairs = t.shared("pairs", lambda x: ly.align_pairs(lines(x), heard, KEY))
     mapped = ly.line_coverage(lines(t), pairs, heard, item_tracks(t), KEY)
-    return ly.repair_monotonic(mapped, KEY)
+    return ly.repair_monotonic(mapped, KEY).withColumn("coverage", F.round("coverage", 6))
 
 
 @query(
