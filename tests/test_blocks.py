@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from trackloom.functions import blocks
 from trackloom.functions.blocks import (
     int_div,
     neighbour,
@@ -13,7 +15,7 @@ from trackloom.functions.blocks import (
     running_sum,
     salted_join,
 )
-from trackloom.operators.resolve import smooth
+from trackloom.operators.resolve import _block_map, _composed_map, smooth
 from trackloom.operators.signals import minimum_wait
 from trackloom.operators.structure import select_repeats
 
@@ -79,8 +81,11 @@ def _loop(targets, attack, release, delta):
     return out
 
 
-@pytest.mark.parametrize("attack,release,block", [(2.0, 8.0, 7), (0.0, 300.0, 16), (500.0, 900.0, 33)])
-def test_smoother_equals_the_plain_loop(spark, attack, release, block):
+@pytest.mark.parametrize(
+    "attack,release,block,fan",
+    [(2.0, 8.0, 7, 64), (0.0, 300.0, 16, 2), (500.0, 900.0, 33, 64), (40.0, 0.0, 3, 3), (700.0, 400.0, 5, 2)],
+)
+def test_smoother_equals_the_plain_loop(spark, attack, release, block, fan):
     rng = random.Random(3)
     series = {k: [rng.random() for _ in range(100)] for k in range(3)}
     series[9] = [0.5] * 100
@@ -88,16 +93,46 @@ def test_smoother_equals_the_plain_loop(spark, attack, release, block):
     df = spark.createDataFrame(
         rows, "k long, frame long, target double, attack_seconds double, release_seconds double"
     )
-    got = {(r.k, r.frame): r.value for r in smooth(df, ["k"], 1.0, block).collect()}
+    got = {(r.k, r.frame): r.value for r in smooth(df, ["k"], 1.0, block, fan).collect()}
     assert len(got) == len(rows)
     for k, xs in series.items():
         for i, want in enumerate(_loop(xs, attack, release, 1.0)):
             assert got[(k, i)] == pytest.approx(want, abs=1e-9)
 
 
-def test_minimum_wait_equals_greedy(spark):
+def test_maps_compose_like_functions():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        up, down = rng.choice([0.0, 0.3, 0.97], 2)
+        one, two = rng.random(rng.integers(1, 6)).tolist(), rng.random(rng.integers(1, 6)).tolist()
+        f, g = _block_map(one, 0.0, 1.0, up, down), _block_map(two, 0.0, 1.0, up, down)
+        both = _composed_map(*f, *g)
+        for p in np.linspace(0, 1, 60):
+            state = p
+            for x in one + two:
+                state = x + (state - x) * (up if x > state else down)
+            assert np.interp(p, *both) == pytest.approx(state, abs=1e-12)
+
+
+def test_no_row_holds_a_whole_track(spark, monkeypatch):
+    """With 200 blocks and a fan-in of 4, composed and handed-down rows have four links at most."""
+    rows = [(1, i, float(i * 7919 % 101), 3.0, 5.0) for i in range(400)]
+    df = spark.createDataFrame(
+        rows, "k long, frame long, target double, attack_seconds double, release_seconds double"
+    )
+    written, keep = [], blocks.materialize
+    monkeypatch.setattr(blocks, "materialize", lambda d: written.append(keep(d)) or written[-1])
+    assert smooth(df, ["k"], 1.0, 2, 4).count() == 400
+    packed, *levels = written
+    assert packed.count() == 200 and [w.count() for w in levels] == [200, 50, 13, 4]
+
+
+@pytest.mark.parametrize("fan", [64, 2])
+def test_minimum_wait_equals_greedy(spark, fan, monkeypatch):
+    monkeypatch.setattr(blocks.blocked_fold, "__defaults__", (None, fan))
     rng = random.Random(11)
     peaks = {k: sorted(rng.sample(range(200), 90)) for k in range(2)}
+    peaks[2] = [0, 2, 60, 61, 65, 190, 191]
     df = spark.createDataFrame([(k, i) for k, xs in peaks.items() for i in xs], "k long, idx long")
     got = minimum_wait(df, ["k"], 3, 8)
     for k, xs in peaks.items():

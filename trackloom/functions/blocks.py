@@ -9,12 +9,13 @@ track may hold a third of a catalog. Every ordered operator therefore works on
   block borders;
 * ``owner_interval``: intervals are cut at block borders, so no carry is needed;
 * ``blocked_fold``: sequential automata whose per-block effect has a small
-  closed form.
+  closed form; effects are composed in a tree.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from trackloom.sources.tables import materialize
+
 DEFAULT_SALTS = 16
 
 
@@ -241,74 +244,113 @@ def owner_interval(
     return found.select(*keys, "_row.*", owner.alias(name))
 
 
+FAN = 64
+
+
 def blocked_fold(
     packed: DataFrame,
     keys: Sequence[str],
-    effect: Callable,
+    effects: Callable,
     effect_fields: str,
-    fold: Callable,
+    compose: Callable,
+    step: Callable,
     entry_type: str,
     run: Callable,
     run_fields: str,
     limits: DataFrame | None = None,
+    fan: int = FAN,
 ) -> DataFrame:
     """Run a sequential automaton over blocks that are packed as one row each.
 
-    ``packed`` has one row per (keys, _block) with the block's items in arrays.
-    ``effect(row)`` gives the tuple of ``effect_fields`` that says what the block
-    does to the carried state, ``fold(chain)`` walks only those tuples (block
-    number first) and gives the state at the start of each, and
-    ``run(row)`` replays the block from ``row["_entry"]`` and gives one list per
-    run field. Both uses of ``packed`` share its exchange. ``limits`` adds columns
-    per key that only ``effect`` reads.
+    ``packed`` has one row per (keys, _block) with the block's items in arrays. What a
+    block does to the carried state is a small tuple of ``effect_fields``; these tuples
+    are composed in a tree of fixed fan-in, the states are then handed down the same
+    tree, and at last all blocks are replayed in parallel. So a row holds the effects of
+    ``fan`` blocks or groups of blocks at most, however long the track is.
+
+    * ``effects(batch)``: one tuple for each row of a pandas batch of ``packed``
+      (with the columns of ``limits``, which has one row per key);
+    * ``compose(left, right)``: the fields of two neighbours taken together;
+    * ``step(state, before, link)``: (state on entry, state afterwards), where ``before``
+      is the last block ahead of the link; state and ``before`` are None at the start;
+    * ``run(batch)``: the batch's rows replayed from ``_entry``: (lengths of the blocks'
+      results, one array per run field).
+
+    A link is (first block, last block, *fields).
     """
     keys = list(keys)
     types = {f.name: f.dataType.simpleString() for f in packed.schema}
     key_ddl = ", ".join(f"{k} {types[k]}" for k in keys)
-    effect_names = [part.split()[0] for part in effect_fields.split(", ")]
+    fields = [part.split()[0] for part in effect_fields.split(", ")]
     run_names = [part.split()[0] for part in run_fields.split(", ")]
+    link_names = ["_first", "_last", *fields]
+    link_ddl = f"{key_ddl}, _block bigint, _first bigint, _last bigint, {effect_fields}"
 
-    def rows(batch: pd.DataFrame) -> Iterator[dict]:
-        names = list(batch.columns)
-        for values in batch.itertuples(index=False, name=None):
-            yield dict(zip(names, values))
+    def with_columns(batch: pd.DataFrame, names: list[str], found: list[tuple]) -> pd.DataFrame:
+        columns = list(zip(*found, strict=True)) if found else [[] for _ in names]
+        return batch.assign(**{n: list(c) for n, c in zip(names, columns, strict=True)})
 
-    def effects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [effect(row) for row in rows(batch)]
-            columns = dict(zip(effect_names, zip(*found))) if found else {}
-            yield batch[[*keys, "_block"]].assign(**{k: list(c) for k, c in columns.items()})
+            numbers = batch["_block"].tolist()
+            found = [(n, n, *e) for n, e in zip(numbers, effects(batch), strict=True)]
+            yield with_columns(batch[[*keys, "_block"]], link_names, found)
+
+    def links_of(row) -> list[tuple]:
+        return [tuple(link[n] for n in link_names) for link in row]
+
+    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def both(left: tuple, right: tuple) -> tuple:
+            return (left[0], right[1], *compose(left, right))
 
-    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row in rows(batch):
-                chain = [tuple(link[n] for n in ["_block", *effect_names]) for link in row["_chain"]]
-                yield pd.DataFrame(
-                    {
-                        **{k: row[k] for k in keys},
-                        "_block": [link[0] for link in chain],
-                        "_entry": fold(chain),
-                    }
-                )
+            found = [reduce(both, links_of(row)) for row in batch["_links"]]
+            yield with_columns(batch[[*keys, "_block"]], link_names, found)
+
+    def handed_down(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            at, numbers, entries = [], [], []
+            for i, row in enumerate(batch["_links"]):
+                links = links_of(row)
+                given = batch["_entry"].iloc[i]
+                state = None if pd.isna(given) else given
+                before = links[0][0] - 1 if batch["_inner"].iloc[i] else None
+                for link in links:
+                    entry, state = step(state, before, link)
+                    entries.append(entry)
+                    before = link[1]
+                at += [i] * len(links)
+                numbers += [link["_block"] for link in row]
+            yield batch[keys].iloc[at].assign(_block=numbers, _entry=entries)
 
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = []
-            for row in rows(batch):
-                columns = dict(zip(run_names, run(row)))
-                size = len(columns[run_names[0]])
-                parts.append({**{k: np.repeat(np.array([row[k]]), size) for k in keys}, **columns})
-            if parts:
+            if len(batch):
+                lengths, columns = run(batch)
+                at = np.repeat(np.arange(len(batch)), lengths)
                 yield pd.DataFrame(
-                    {n: np.concatenate([p[n] for p in parts]) for n in [*keys, *run_names]}
+                    {**{k: batch[k].to_numpy()[at] for k in keys}, **dict(zip(run_names, columns, strict=True))}
                 )
 
+    def groups(level: DataFrame, size: int | None) -> DataFrame:
+        parent = int_div("_block", size) if size else F.lit(0).cast("long")
+        return level.groupBy(*keys, parent.alias("_parent")).agg(
+            F.sort_array(F.collect_list(F.struct("_block", *link_names))).alias("_links")
+        ).withColumnRenamed("_parent", "_block")
+
+    packed = materialize(packed)
+    count = (packed.agg(F.max("_block")).first()[0] or 0) + 1
     source = packed if limits is None else salted_join(packed, limits, keys, "left")
-    summary = source.mapInPandas(effects, f"{key_ddl}, _block bigint, {effect_fields}")
-    chain = summary.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("_block", *effect_names))).alias("_chain")
-    )
-    entry = chain.mapInPandas(entries, f"{key_ddl}, _block bigint, _entry {entry_type}")
-    # A left join leaves the plan of ``packed`` as it is, so its exchange is reused.
-    joined = packed.join(entry, [*keys, "_block"], "left")
-    return joined.mapInPandas(replay, f"{key_ddl}, {run_fields}")
+    levels = [materialize(source.mapInPandas(leaves, link_ddl))]
+    while count > fan:
+        levels.append(materialize(groups(levels[-1], fan).mapInPandas(merged, link_ddl)))
+        count = -(-count // fan)
+    entry = None
+    for level in reversed(levels):
+        rows = groups(level, fan if entry is not None else None)
+        if entry is None:
+            rows = rows.withColumns({"_entry": F.lit(None).cast(entry_type), "_inner": F.lit(False)})
+        else:
+            rows = rows.join(entry, [*keys, "_block"]).withColumn("_inner", F.lit(True))
+        entry = rows.mapInPandas(handed_down, f"{key_ddl}, _block bigint, _entry {entry_type}")
+    return packed.join(entry, [*keys, "_block"], "left").mapInPandas(replay, f"{key_ddl}, {run_fields}")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import clock
 from trackloom.functions.blocks import (
+    FAN,
     blocked_fold,
     int_div,
     neighbour,
@@ -389,8 +390,47 @@ def _decay(seconds: float, delta: float) -> float:
     return math.exp(-delta / seconds) if seconds > 0 else 0.0
 
 
+#: Two states this close, as a share of the range of the targets, count as one.
+SAME_STATE = 1e-13
+
+
+def _next_state(state, target, up, down):
+    return target + (state - target) * np.where(target > state, up, down)
+
+
+def _block_map(targets, low: float, high: float, up: float, down: float) -> tuple[list, list]:
+    """Corners (state before, state after) of a block's map over [low, high]."""
+    corner = sorted({low, high})
+    value = list(corner)
+    for n, x in enumerate(targets):
+        if value[0] == value[-1]:
+            state = value[0]
+            for x in targets[n:]:
+                state = x + (state - x) * (up if x > state else down)
+            return corner, [state] * len(corner)
+        k = bisect_left(value, x)
+        if 0 < k < len(value) and value[k] != x:
+            share = (x - value[k - 1]) / (value[k] - value[k - 1])
+            corner.insert(k, corner[k - 1] + share * (corner[k] - corner[k - 1]))
+            value.insert(k, x)
+        value = [x + (v - x) * (up if v < x else down) for v in value]
+    return corner, value
+
+
+def _composed_map(corner, value, then_corner, then_value) -> tuple[list, list]:
+    """Corners of one map after another: the first one's, and what it takes to the second one's."""
+    corner, value = np.asarray(corner, dtype=float), np.asarray(value, dtype=float)
+    then_corner = np.asarray(then_corner, dtype=float)
+    inner = then_corner[(then_corner > value[0]) & (then_corner < value[-1])]
+    k = np.searchsorted(value, inner) - 1  # the rising stretch that takes a place there
+    share = (inner - value[k]) / (value[k + 1] - value[k])
+    places = np.union1d(corner, corner[k] + share * (corner[k + 1] - corner[k]))
+    after = np.interp(np.interp(places, corner, value), then_corner, np.asarray(then_value, dtype=float))
+    return places.tolist(), after.tolist()
+
+
 def smooth(
-    frames: DataFrame, keys: Sequence[str], delta_seconds: float, block: int
+    frames: DataFrame, keys: Sequence[str], delta_seconds: float, block: int, fan: int = FAN
 ) -> DataFrame:
     """Attack/release smoothing of ``target`` over dense ``frame`` numbers from 0.
 
@@ -398,53 +438,62 @@ def smooth(
     x + (p - x) * r with r chosen by the side of x, so it is increasing and
     piecewise linear in p, and so is a whole block. The state never leaves the
     range of the targets. A block hands on only the corners of its map over that
-    range (few, because each step shrinks it), one task per track walks these,
-    and then all blocks replay in parallel.
+    range: two where the ends of the range meet inside the block, else few, because
+    each step shrinks it. The maps are composed in a tree (``blocked_fold``), and
+    then all blocks replay in parallel; the blocks of a batch step together.
 
     ``frames``: keys, frame, target, attack_seconds, release_seconds.
     """
     keys = list(keys)
 
-    def rates(row):
-        return _decay(row["_attack"], delta_seconds), _decay(row["_release"], delta_seconds)
+    def stacked(batch):
+        """(targets [frame, block] padded by the block's last, lengths, rates)."""
+        rows = [np.asarray(x, dtype=np.float64) for x in batch["_targets"]]
+        lengths = np.array([len(x) for x in rows])
+        targets = np.stack([np.pad(x, (0, lengths.max() - len(x)), mode="edge") for x in rows], axis=1)
+        rates = [
+            np.array([_decay(s, delta_seconds) for s in batch[c]]) for c in ("_attack", "_release")
+        ]
+        return targets, lengths, rates
+
+    def states(targets, state, rates):
+        out = np.empty_like(targets)
+        for n, x in enumerate(targets):
+            out[n] = state = _next_state(state, x, *rates)
+        return out
 
-    def walk(targets, state, up, down):
+    def effects(batch):
+        if not len(batch):
+            return []
+        targets, lengths, rates = stacked(batch)
+        low, high = (batch[c].to_numpy(dtype=float) for c in ("_lo", "_hi"))
+        last, at = lengths - 1, np.arange(len(lengths))
+        seeded, least, most = (states(targets, s, rates)[last, at] for s in (targets[0], low, high))
+        same = most - least <= SAME_STATE * (high - low)
         out = []
-        for x in targets:
-            state = x + (state - x) * (up if x > state else down)
-            out.append(state)
+        for i in at:
+            if same[i]:
+                corner, value = [low[i], high[i]], [seeded[i], seeded[i]]
+            else:
+                corner, value = _block_map(targets[: lengths[i], i].tolist(), low[i], high[i], rates[0][i], rates[1][i])
+            out.append((float(seeded[i]), corner, value))
         return out
 
-    def effect(row):
-        up, down = rates(row)
-        targets = np.asarray(row["_targets"], dtype=np.float64).tolist()
-        corner = sorted({row["_lo"], row["_hi"]})
-        value = list(corner)
-        for n, x in enumerate(targets):
-            if value[0] == value[-1]:
-                value = [walk(targets[n:], value[0], up, down)[-1]] * len(corner)
-                break
-            k = bisect_left(value, x)
-            if 0 < k < len(value) and value[k] != x:
-                share = (x - value[k - 1]) / (value[k] - value[k - 1])
-                corner.insert(k, corner[k - 1] + share * (corner[k] - corner[k - 1]))
-                value.insert(k, x)
-            value = [x + (v - x) * (up if v < x else down) for v in value]
-        return walk(targets, targets[0], up, down)[-1], corner, value
-
-    def fold(chain):
-        state, entries = float("nan"), []
-        for _, seeded, corner, value in chain:
-            entries.append(state)
-            state = seeded if math.isnan(state) else float(np.interp(state, corner, value))
-        return entries
-
-    def run(row):
-        up, down = rates(row)
-        targets = np.asarray(row["_targets"], dtype=np.float64).tolist()
-        entry = row["_entry"]
-        state = targets[0] if entry is None or math.isnan(entry) else entry
-        return row["_frames"], np.array(walk(targets, state, up, down))
+    def passed(state, link):
+        return float(np.interp(state, link[3], link[4]))
+
+    def compose(left, right):
+        return (passed(left[2], right), *_composed_map(left[3], left[4], right[3], right[4]))
+
+    def step(state, before, link):
+        return state, link[2] if state is None else passed(state, link)
+
+    def run(batch):
+        targets, lengths, rates = stacked(batch)
+        entry = batch["_entry"].to_numpy(dtype=float)
+        out = states(targets, np.where(np.isnan(entry), targets[0], entry), rates)
+        inside = np.arange(len(targets))[:, None] < lengths
+        return lengths, (np.concatenate(list(batch["_frames"])), out.T[inside.T])
 
     items = F.sort_array(F.collect_list(F.struct("frame", "target")))
     cut = spread(frames.withColumn("_block", int_div("frame", block)), *keys, "_block")
@@ -465,9 +514,9 @@ def smooth(
     )
     return blocked_fold(
         packed, keys,
-        effect, "_seeded double, _corner array<double>, _value array<double>",
-        fold, "double", run, "frame bigint, value double",
-        limits=limits,
+        effects, "_seeded double, _corner array<double>, _value array<double>",
+        compose, step, "double", run, "frame bigint, value double",
+        limits=limits, fan=fan,
     )
 
 

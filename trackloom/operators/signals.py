@@ -196,22 +196,31 @@ def minimum_wait(peaks: DataFrame, keys: Sequence[str], wait: int, block: int) -
                 allowed = i + wait + 1
         return kept, allowed
 
-    def effect(row):
-        start = row["_block"] * block
-        ends = [walk(row["_index"], start + blocked)[1] for blocked in range(wait + 1)]
-        return ([max(0, int(end) - start - block) for end in ends],)
-
-    def fold(chain):
-        state, previous, entries = 0, None, []
-        for number, after in chain:
-            state = state if previous is not None and number == previous + 1 else 0
-            entries.append(state)
-            state, previous = int(after[state]), number
-        return entries
-
-    def run(row):
-        kept, _ = walk(row["_index"], row["_block"] * block + row["_entry"])
-        return (np.array(kept, dtype=np.int64),)
+    def effects(batch):
+        out = []
+        for number, index in zip(batch["_block"], batch["_index"], strict=True):
+            start = number * block
+            ends = [walk(index, start + blocked)[1] for blocked in range(wait + 1)]
+            out.append(([max(0, int(end) - start - block) for end in ends],))
+        return out
+
+    def entered(state, before, first):
+        return int(state) if before is not None and first == before + 1 else 0
+
+    def compose(left, right):
+        # Blocks are longer than the wait, so nothing is carried over a block without peaks.
+        return ([int(right[2][entered(state, left[1], right[0])]) for state in left[2]],)
+
+    def step(state, before, link):
+        entry = entered(state, before, link[0])
+        return entry, int(link[2][entry])
+
+    def run(batch):
+        kept = [
+            walk(index, number * block + entry)[0]
+            for number, index, entry in zip(batch["_block"], batch["_index"], batch["_entry"], strict=True)
+        ]
+        return [len(k) for k in kept], (np.concatenate([np.array(k, dtype=np.int64) for k in kept]),)
 
     cut = spread(
         peaks.select(*keys, "idx").withColumn("_block", int_div("idx", block)), *keys, "_block"
@@ -220,7 +229,7 @@ def minimum_wait(peaks: DataFrame, keys: Sequence[str], wait: int, block: int) -
         F.sort_array(F.collect_list("idx")).alias("_index")
     )
     kept = blocked_fold(
-        packed, keys, effect, "_after array<int>", fold, "int", run, "idx bigint"
+        packed, keys, effects, "_after array<int>", compose, step, "int", run, "idx bigint"
     )
     return peaks.join(kept, [*keys, "idx"], "left_semi")
 

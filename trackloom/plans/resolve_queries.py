@@ -590,12 +590,13 @@ def route_target(t):
 @query(
     "smooth_route",
     f"""WITH RECURSIVE {v.EV}, {v.SIG}, {GRID}, {LEVELS}, {SMOOTH}
-        SELECT track_id, frame, round(value, 6) AS value FROM sm""",
+        SELECT track_id, 2 AS route_idx, frame, round(value, 6) AS value FROM sm
+        UNION ALL SELECT track_id, unnest([0, 1, 3]), frame, round(unnest([r0, r1, r3]), 6) FROM tgt WHERE r3 IS NOT NULL
+        UNION ALL SELECT track_id, unnest([0, 1]), frame, round(unnest([r0, r1]), 6) FROM tgt WHERE r3 IS NULL""",
 )
 def smooth_route(t):
-    one = routes(t).where("route_idx = 2")
-    values = rs.route_values(t.shared("levels", levels), one, KEY, DELTA, FRAME_BLOCK)
-    return values.select("track_id", "frame", F.round("value", 6).alias("value"))
+    """All routes of all tracks, the smoothed ones among them."""
+    return routed(t).select("track_id", "route_idx", "frame", F.round("value", 6).alias("value"))
 
 
 @query(
