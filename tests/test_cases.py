@@ -143,6 +143,28 @@ def test_similarity_equals_matrix(spark):
     assert got == {(i, j) for i in range(40) for j in range(i + 1, 40) if full[i, j] >= 0.9}
 
 
+def test_pivots_rule_out_most_tiles(spark):
+    """Clusters scattered over the track, one of them a third of its cells: few tiles meet, no entry is lost."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(24, 12))
+    which = np.concatenate([np.repeat(np.arange(24), 20), np.zeros(240, dtype=int)])
+    rng.shuffle(which)
+    data = centres[which] + 0.03 * rng.normal(size=(720, 12))
+    data /= np.linalg.norm(data, axis=1, keepdims=True)
+    data[5] = 0.0
+    rows = [(1, i, v.tolist(), float(i % 3)) for i, v in enumerate(data)] + [(2, 4, data[0].tolist(), 1.0)]
+    df = spark.createDataFrame(rows, "track_id long, cell long, feature array<double>, energy double")
+    full = np.clip(data @ data.T, 0, 1)
+    got = {(r.i, r.j): (r.similarity, r.loud) for r in st.self_similarity(df, KEY, 0.86, tile=16).collect()}
+    assert set(got) == {(i, j) for i in range(720) for j in range(i + 1, 720) if full[i, j] >= 0.86}
+    for (i, j), (value, loud) in got.items():
+        assert value == pytest.approx(full[i, j], abs=1e-12) and loud == bool(i % 3 or j % 3)
+    tiles, pivots = st.pivot_tiles(df.where("cell != 5"), KEY, 16)
+    n = tiles.where("track_id = 1").count()
+    near = st.near_tiles(tiles, pivots, KEY, np.sqrt(2 - 2 * 0.86)).where("track_id = 1").count()
+    assert near * 5 < n * (n + 1) / 2 and tiles.select(F.max(F.size("_cells"))).first()[0] <= 40
+
+
 def test_gap_fill(spark):
     sections = table(spark, [(1, "a", 0, 48000), (1, "b", 96000, 120000)],
                      "track_id long, section_id string, start_sample long, end_sample long")

@@ -23,6 +23,7 @@ from trackloom.functions.blocks import (
     with_halo,
 )
 from trackloom.operators.signals import SILENCE, diff_novelty
+from trackloom.sources.tables import materialize
 
 # Thresholds of the structure analysis.
 NOVELTY_WINDOW = 4
@@ -36,6 +37,8 @@ MAX_AUTO_BOUNDARIES = 8
 # Scores that differ by less are ties: sums of doubles vary with their order.
 SCORE_DIGITS = 9
 TILE = 128
+#: Pivots of a track: their vectors travel with every pack of cells, and four times as many are drawn.
+MAX_PIVOTS = 256
 
 
 def anchors(
@@ -107,32 +110,80 @@ def cell_features(cells: DataFrame) -> DataFrame:
     return joined.withColumn("feature", feature).drop("_n1", "_n2", "_joined")
 
 
-def self_similarity(
-    features: DataFrame,
-    keys: Sequence[str],
-    minimum: float = REPEAT_SIMILARITY,
-    tile: int = TILE,
-) -> DataFrame:
-    """Cells i < j of a track whose clipped cosine reaches ``minimum``.
+def pivot_tiles(features: DataFrame, keys: Sequence[str], tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """(tiles, pivots): the cells of each track grouped by their nearest pivot, and the pivots.
 
-    Every reader of the similarity matrix either needs a narrow band around the
-    diagonal (``novelty`` reads it itself) or only entries over a threshold, so
-    the matrix is never written out. Cells are cut into tiles; a tile pair goes
-    on only if the triangle inequality (centre distance minus radii) allows an
-    entry over the threshold, which loses nothing. A task multiplies two tiles of
-    fixed size, so a long track spreads over many tasks.
+    Pivots are cells of the track: of cells drawn by hash, those far apart, about one for
+    each ``tile`` cells and about ``MAX_PIVOTS`` at most. A group of more than ``tile`` cells is divided by cell number, so
+    a tile holds about ``tile`` cells even where a third of a track is one vector.
+
+    ``tiles``: keys, _pivot, _sub, _cells, _ball (centre and radius). ``pivots``: keys,
+    _pivots (vectors), _reach (largest distance in each pivot's group).
     """
-    rows = features.withColumn("_tile", int_div("cell", tile))
-    tiles = rows.groupBy(*keys, "_tile").agg(
-        F.collect_list(
-            F.struct(
-                "cell", "feature", (F.col("energy") > SILENCE).alias("loud")
-            )
-        ).alias("_cells")
-    )
+    keys = list(keys)
     types = {f.name: f.dataType.simpleString() for f in features.schema}
     key_ddl = ", ".join(f"{k} {types[k]}" for k in keys)
-    reach = math.sqrt(max(0.0, 2 - 2 * minimum)) + 1e-9
+    counts = features.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("cell").alias("_base"))
+    wanted = F.least(F.lit(MAX_PIVOTS), F.ceil(F.col("_n") / tile)).cast("long") * 4
+    spaced = salted_join(features, counts.withColumn("_stride", F.ceil(F.col("_n") / wanted)), keys)
+    chosen = (
+        spaced.where((F.col("cell") == F.col("_base")) | (F.pmod(F.xxhash64("cell"), "_stride") == 0))
+        .groupBy(*keys)
+        .agg(F.sort_array(F.collect_list(F.struct("cell", "feature"))).alias("_p"))
+        .select(*keys, F.col("_p.feature").alias("_pivots"))
+    )
+
+    def apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Of the drawn cells a quarter, each as far as possible from those before it, so that groups are tight."""
+        for batch in batches:
+            out = []
+            for drawn in batch["_pivots"]:
+                data = np.stack(drawn)
+                picked, far = [0], ((data - data[0]) ** 2).sum(axis=1)
+                while len(picked) * 4 < len(data) and far.max() > 0:
+                    picked.append(int(far.argmax()))
+                    far = np.minimum(far, ((data - data[picked[-1]]) ** 2).sum(axis=1))
+                out.append(list(data[picked]))
+            yield batch[keys].assign(_pivots=out)
+
+    chosen = chosen.mapInPandas(apart, f"{key_ddl}, _pivots array<array<double>>")
+    packs = features.groupBy(*keys, int_div("cell", tile).alias("_pack")).agg(
+        F.collect_list(F.struct("cell", "feature", (F.col("energy") > SILENCE).alias("loud"))).alias("_cells")
+    )
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in range(len(batch)):
+                cells = batch["_cells"].iloc[i]
+                data, pivots = np.stack([c["feature"] for c in cells]), np.stack(batch["_pivots"].iloc[i])
+                far = np.maximum(
+                    (data**2).sum(axis=1)[:, None] + (pivots**2).sum(axis=1) - 2 * data @ pivots.T, 0.0
+                )
+                near = far.argmin(axis=1)
+                yield pd.DataFrame(
+                    {
+                        **{k: batch[k].iloc[i] for k in keys},
+                        "_pivot": near,
+                        "_far": np.sqrt(far[np.arange(len(near)), near]),
+                        "cell": [c["cell"] for c in cells],
+                        "feature": list(data),
+                        "loud": [bool(c["loud"]) for c in cells],
+                    }
+                )
+
+    placed = salted_join(packs, chosen, keys).mapInPandas(
+        assign, f"{key_ddl}, _pivot int, _far double, cell bigint, feature array<double>, loud boolean"
+    )
+    placed = materialize(placed)
+    sizes = placed.groupBy(*keys, "_pivot").agg(
+        F.count("*").alias("_size"), F.max("_far").alias("_reach")
+    )
+    sub = F.pmod("cell", F.ceil(F.col("_size") / tile)).cast("int")
+    tiles = (
+        salted_join(placed, sizes, [*keys, "_pivot"])
+        .groupBy(*keys, "_pivot", sub.alias("_sub"))
+        .agg(F.collect_list(F.struct("cell", "feature", "loud")).alias("_cells"))
+    )
 
     @F.pandas_udf("struct<centre:array<double>,radius:double>")
     def ball(cells: pd.Series) -> pd.DataFrame:
@@ -144,33 +195,86 @@ def self_similarity(
             radii.append(float(np.sqrt(((data - centre) ** 2).sum(axis=1).max())))
         return pd.DataFrame({"centre": centres, "radius": radii})
 
-    balls = tiles.select(*keys, "_tile", ball("_cells").alias("_ball"))
-    count = rows.groupBy(*keys).agg((F.max("_tile") + 1).alias("_tiles"))
-    pairs = salted_join(balls, count, keys).select(
-        *keys,
-        F.col("_tile").alias("_a"),
-        F.col("_ball").alias("_ball_a"),
-        F.explode(F.sequence(F.col("_tile"), F.col("_tiles") - 1)).alias("_b"),
-    )
-    right_ball = balls.select(*keys, F.col("_tile").alias("_b"), F.col("_ball").alias("_ball_b"))
-    gap = F.sqrt(
-        F.aggregate(
-            F.zip_with(
-                "_ball_a.centre", "_ball_b.centre", lambda x, y: (x - y) * (x - y)
-            ),
-            F.lit(0.0),
-            lambda a, x: a + x,
-        )
+    reaches = sizes.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("_pivot", "_reach"))).alias("_reach")
+    )
+    return tiles.withColumn("_ball", ball("_cells")), chosen.join(reaches, keys)
+
+
+def near_tiles(tiles: DataFrame, pivots: DataFrame, keys: Sequence[str], reach: float) -> DataFrame:
+    """keys, _pivot_a, _sub_a, _pivot_b, _sub_b: tiles that may hold vectors within ``reach`` of each other.
+
+    First pivot groups are ruled out by the distance of the pivots and the groups' reach,
+    then their tiles, joined on the pivot, by their balls. Both bounds are triangle
+    inequalities, so no pair of vectors is lost.
+    """
+    keys = list(keys)
+    types = {f.name: f.dataType.simpleString() for f in tiles.schema}
+    key_ddl = ", ".join(f"{k} {types[k]}" for k in keys)
+
+    def allowed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in range(len(batch)):
+                points = np.stack(batch["_pivots"].iloc[i])
+                reaches = dict(batch["_reach"].iloc[i])
+                used = np.array(sorted(reaches))
+                radius, points = np.array([reaches[p] for p in used]), points[used]
+                far = np.sqrt(((points[:, None, :] - points[None, :, :]) ** 2).sum(axis=2))
+                a, b = np.nonzero(far - radius[:, None] - radius[None, :] <= reach)
+                keep = a <= b
+                yield pd.DataFrame(
+                    {**{k: batch[k].iloc[i] for k in keys}, "_pivot_a": used[a[keep]], "_pivot_b": used[b[keep]]}
+                )
+
+    groups = pivots.select(*keys, "_pivots", "_reach").mapInPandas(allowed, f"{key_ddl}, _pivot_a int, _pivot_b int")
+    side = lambda x: tiles.select(
+        *keys, F.col("_pivot").alias(f"_pivot_{x}"), F.col("_sub").alias(f"_sub_{x}"), F.col("_ball").alias(f"_ball_{x}")
+    )
+    square = F.aggregate(
+        F.zip_with("_ball_a.centre", "_ball_b.centre", lambda x, y: (x - y) * (x - y)),
+        F.lit(0.0), lambda a, x: a + x,
+    )
+    return (
+        groups.join(side("a"), [*keys, "_pivot_a"])
+        .join(side("b"), [*keys, "_pivot_b"])
+        .where((F.col("_pivot_a") < F.col("_pivot_b")) | (F.col("_sub_a") <= F.col("_sub_b")))
+        .where(F.sqrt(square) - F.col("_ball_a.radius") - F.col("_ball_b.radius") <= reach)
+        .select(*keys, "_pivot_a", "_sub_a", "_pivot_b", "_sub_b")
+    )
+
+
+def self_similarity(
+    features: DataFrame,
+    keys: Sequence[str],
+    minimum: float = REPEAT_SIMILARITY,
+    tile: int = TILE,
+) -> DataFrame:
+    """Cells i < j of a track whose clipped cosine reaches ``minimum``.
+
+    Every reader of the similarity matrix either needs a narrow band around the
+    diagonal (``novelty`` reads it itself) or only entries over a threshold, so
+    the matrix is never written out. Cells of unit length are grouped by their nearest
+    pivot (``pivot_tiles``); only tiles that the triangle inequality cannot part meet
+    (``near_tiles``), which loses nothing. A task multiplies two tiles of fixed size,
+    so a long track spreads over many tasks.
+    """
+    keys = list(keys)
+    types = {f.name: f.dataType.simpleString() for f in features.schema}
+    key_ddl = ", ".join(f"{k} {types[k]}" for k in keys)
+    reach = math.sqrt(max(0.0, 2 - 2 * minimum)) + 1e-6
+    # Written first: pushed below it, the filter would compute every feature many times over.
+    features = materialize(features.select(*keys, "cell", "feature", "energy"))
+    # A silent cell has no direction: its similarity is 0 to all, and it would spoil the bounds.
+    rows = features.where(F.exists("feature", lambda x: x != 0)) if minimum > 0 else features
+    tiles, pivots = pivot_tiles(rows, keys, tile)
+    # Zero vectors take part only where everything is near enough.
+    near = near_tiles(tiles, pivots, keys, reach if minimum > 0 else math.inf)
+    side = lambda x: tiles.select(
+        *keys, F.col("_pivot").alias(f"_pivot_{x}"), F.col("_sub").alias(f"_sub_{x}"), F.col("_cells").alias(f"_cells_{x}")
     )
-    near = (
-        pairs.join(right_ball, [*keys, "_b"])
-        .where(gap - F.col("_ball_a.radius") - F.col("_ball_b.radius") <= reach)
-        .select(*keys, "_a", "_b")
+    work = near.join(side("a"), [*keys, "_pivot_a", "_sub_a"]).join(side("b"), [*keys, "_pivot_b", "_sub_b"]).withColumn(
+        "_same", (F.col("_pivot_a") == F.col("_pivot_b")) & (F.col("_sub_a") == F.col("_sub_b"))
     )
-    left = tiles.select(*keys, F.col("_tile").alias("_a"), F.col("_cells").alias("_left"))
-    right = tiles.select(*keys, F.col("_tile").alias("_b"), F.col("_cells").alias("_right"))
-    work = near.join(left, [*keys, "_a"]).join(right, [*keys, "_b"])
-    key_list = list(keys)
 
     def unpack(group):
         cell = np.array([c["cell"] for c in group])
@@ -179,25 +283,25 @@ def self_similarity(
 
     def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                values = dict(zip(batch.columns, row))
-                ci, fi, li = unpack(values["_left"])
-                cj, fj, lj = unpack(values["_right"])
+            for n, (one, two, same) in enumerate(zip(batch["_cells_a"], batch["_cells_b"], batch["_same"], strict=True)):
+                ci, fi, li = unpack(one)
+                cj, fj, lj = unpack(two)
                 sim = np.clip(fi @ fj.T, 0.0, 1.0)
-                a, b = np.nonzero((sim >= minimum) & (ci[:, None] < cj[None, :]))
+                met = sim >= minimum
+                a, b = np.nonzero(met & (ci[:, None] < cj[None, :]) if same else met)
                 yield pd.DataFrame(
                     {
-                        **{k: values[k] for k in key_list},
-                        "i": ci[a],
-                        "j": cj[b],
+                        **{k: batch[k].iloc[n] for k in keys},
+                        "i": np.minimum(ci[a], cj[b]),
+                        "j": np.maximum(ci[a], cj[b]),
                         "similarity": sim[a, b],
                         "loud": li[a] | lj[b],
                     }
                 )
 
-    return spread(work, *keys, "_a", "_b").select(*keys, "_left", "_right").mapInPandas(
-        multiply, f"{key_ddl}, i bigint, j bigint, similarity double, loud boolean"
-    )
+    return spread(work, *keys, "_pivot_a", "_sub_a", "_pivot_b", "_sub_b").select(
+        *keys, "_cells_a", "_cells_b", "_same"
+    ).mapInPandas(multiply, f"{key_ddl}, i bigint, j bigint, similarity double, loud boolean")
 
 
 def novelty(features: DataFrame, keys: Sequence[str], block: int) -> DataFrame:
