@@ -402,6 +402,67 @@ def test_white_space_of_any_script(spark):
     assert [(c.start_sample, c.end_sample, c.text, c.reason) for c in cues] == [(48_000, 96_000, "one", None)]
 
 
+HUGE = "9" * 40
+
+
+def _imported(spark, read, docs):
+    schema = "track_id long, text string, duration_samples long"
+    rows = [(k, text, 96_000_000) for k, text in enumerate(docs)]
+    out = {}
+    for r in read(table(spark, rows, schema), KEY).orderBy("track_id", "cue_idx").collect():
+        out.setdefault(r.track_id, []).append(r.reason or (r.start_sample, r.end_sample, r.text))
+    return [out[k] for k in range(len(docs))]
+
+
+def test_clocks_and_offsets_of_many_digits_refuse_one_document_only(spark):
+    """A number beyond 64 bits is out of bounds, or no clock, and the other documents are read."""
+    got = _imported(spark, ly.lrc_cues, [
+        "[00:01.00]one", f"[offset:{HUGE}]\n[00:01.00]one", f"[offset:-{'8' * 18}]\n[00:01.00]one",
+        f"[offset:{'7' * 20}]\n[00:01]one", f"[00:01.00]one\n[offset:{HUGE}]", "[00:99.00]one",
+        f"[{'1' * 30}:01.00]one", "", None, "[offset:5]\n[offset:+1000]\n[00:01]a\n[offset:0]\n[00:03]b",
+    ])
+    assert got == [
+        [(48_000, 96_000_000, "one")], ["lyrics_out_of_bounds"], ["lyrics_out_of_bounds"], ["lyrics_out_of_bounds"],
+        [(48_000, 96_000_000, "one")], ["invalid_lyric_timestamp"], ["unsupported_lyric_line"], ["no_lyric_cues"],
+        ["no_lyric_cues"], [(96_000, 144_000, "a"), (144_000, 96_000_000, "b")],
+    ]
+    cue = "00:00:01,000 --> 00:00:02,000\none"
+    late = lambda h: f"{h}:00:01,000 --> {h}:00:02,000\none"
+    got = _imported(spark, ly.srt_cues, [
+        cue, late("1" * 17), late("1" * 20), late("1" * 27), f"00:00:01,000 --> {HUGE}:00:02,000\none",
+        f"{HUGE}:00:01,000 --> 00:00:02,000\none", "00:99:01,000 --> 00:00:02,000\none", "", None,
+        f"1\n{cue}\n\n2\n00:00:01,500 --> 00:00:03,000\n[Chorus]",
+    ])
+    assert got == [
+        [(48_000, 96_000, "one")], ["lyrics_out_of_bounds"], ["lyrics_out_of_bounds"], ["lyrics_out_of_bounds"],
+        ["lyrics_out_of_bounds"], ["invalid_lyric_range"], ["invalid_lyric_timestamp"], ["invalid_srt_block"],
+        ["invalid_srt_block"], ["overlapping_lyrics"],
+    ]
+    clocks = table(spark, [("1" * n,) for n in (2, 11, 12, 17, 20, 60)], "h string").select(
+        clock.srt_samples(F.col("h"), F.lit("00"), F.lit("01"), F.lit("500")).alias("s")
+    )
+    assert [r.s for r in clocks.collect()] == [
+        (11 * 3_600_000 + 1500) * 48, (11_111_111_111 * 3_600_000 + 1500) * 48, None, None, None, None]
+
+
+def test_import_facts(spark):
+    schema = "track_id long, text string, duration_samples long"
+    lrc = "[offset:250]\n[00:01.00]one\n[00:02.00][Chorus]\n[offset:-100]\n[00:03.00]two"
+    facts = ly.import_facts(table(spark, [(1, lrc, 960_000), (2, "", 960_000)], schema), KEY, "lrc")
+    assert sorted(tuple(r) for r in facts.collect()) == [
+        (1, "lrc", "next_start_or_song_end", -4800, 1, None), (2, "lrc", "next_start_or_song_end", None, None, "no_lyric_cues")]
+    srt = "1\n00:00:01,000 --> 00:00:02,000\n[Verse]\n\n2\n00:00:02,000 --> 00:00:03,000\nhey"
+    facts = ly.import_facts(table(spark, [(1, srt, 960_000)], schema), KEY, "srt")
+    assert tuple(facts.first()) == (1, "srt", "explicit", None, 1, None)
+
+
+def test_documents_are_imported_without_a_shuffle(spark):
+    df = table(spark, [(1, "[00:01]a", 960_000)], "track_id long, text string, duration_samples long")
+    for read in (ly.lrc_cues, ly.srt_cues):
+        plan = read(df, KEY)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Window" not in plan
+
+
 def test_one_long_line_refuses_the_whole_document(spark):
     df = table(spark, [(1, "short\n" + "x" * 241), (2, "!" * 300), (3, "")], "track_id long, text string")
     rows = sorted((r.track_id, r.line or 0, r.reason) for r in ly.known_lines(df, KEY).collect())

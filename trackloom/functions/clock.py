@@ -145,18 +145,35 @@ def parse_rate(text) -> Column:
 
 def lrc_samples(minutes: Column, seconds: Column, fraction: Column) -> Column:
     """LRC clock text to samples; the fraction is truncated to a sample, not rounded."""
-    sec = seconds.cast("long")
-    digits = F.rpad(F.coalesce(fraction, F.lit("")), 9, "0").cast("long")
+    sec = seconds.try_cast("long")
+    digits = F.rpad(F.coalesce(fraction, F.lit("")), 9, "0").try_cast("long")
     part = int_div(digits * SAMPLE_RATE, 1_000_000_000)
-    whole = (minutes.cast("long") * 60 + sec) * SAMPLE_RATE
+    whole = (minutes.try_cast("decimal(12,0)").cast("long") * 60 + sec) * SAMPLE_RATE
     return F.when(sec < 60, whole + part)
 
 
-def srt_samples(hours: Column, minutes: Column, seconds: Column, millis: Column) -> Column:
-    """SRT clock text to samples; 48 samples per millisecond."""
+#: Stands for a number of more digits than 38-digit arithmetic holds: later than any track.
+BEYOND = "1" + "0" * 36
+
+
+def wide_integer(digits: Column) -> Column:
+    """Digits with an optional sign as a 38-digit integer; over 28 digits count as ``BEYOND``."""
+    value = F.coalesce(digits.try_cast("decimal(28,0)").cast("decimal(38,0)"), F.lit(BEYOND).cast("decimal(38,0)"))
+    return F.when(F.length(digits) > 0, value)
+
+
+def srt_samples_wide(hours: Column, minutes: Column, seconds: Column, millis: Column) -> Column:
+    """SRT clock text to samples of 38 digits, whatever the hours; 48 samples per millisecond."""
+    h = F.least(wide_integer(hours), F.lit("1" + "0" * 28).cast("decimal(38,0)"))
     m, s = minutes.cast("long"), seconds.cast("long")
-    total = (hours.cast("long") * 3600 + m * 60 + s) * 1000 + millis.cast("long")
-    return F.when((m < 60) & (s < 60), total * 48)
+    rest = ((m * 60 + s) * 1000 + millis.cast("long")) * 48
+    whole = (h * F.lit(172_800_000)).cast("decimal(38,0)")
+    return F.when((m < 60) & (s < 60), (whole + rest).cast("decimal(38,0)"))
+
+
+def srt_samples(hours: Column, minutes: Column, seconds: Column, millis: Column) -> Column:
+    """SRT clock text to samples; null when the clock is malformed or leaves the 64-bit range."""
+    return srt_samples_wide(hours, minutes, seconds, millis).try_cast("long")
 
 
 def seconds_to_range(start, end, duration, rate: int = SAMPLE_RATE) -> Column:

@@ -10,7 +10,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from trackloom.functions import clock
 from trackloom.functions import text as tx
@@ -84,145 +83,179 @@ def known_lines(corpus: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def _cue_table(
-    cues: DataFrame, docs: DataFrame, reasons: DataFrame, keys: Sequence[str]
-) -> DataFrame:
-    """Cue rows of the documents without a reason, one reason row for each other document."""
+def _exploded(parsed: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of the cues of documents without a reason, one row with the reason for each other document.
+
+    One explode of an array chosen in the row: no join and no filter between them.
+    """
     nothing = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    refused = docs.select(*keys).join(reasons, list(keys), "left").withColumn(
-        "reason", F.coalesce("reason", F.when(F.coalesce("_lyrics", F.lit(0)) == 0, "no_lyric_cues"))
-    ).where("reason is not null")
-    return cues.join(refused.select(*keys), list(keys), "left_anti").select(
-        *keys, "cue_idx", "start_sample", "end_sample", "text", nothing("string", "reason")
-    ).unionByName(
-        refused.select(
-            *keys, nothing("long", "cue_idx"), nothing("long", "start_sample"),
-            nothing("long", "end_sample"), nothing("string", "text"), "reason",
+    cues = F.transform(
+        "_cues",
+        lambda c, k: F.struct(
+            k.cast("long").alias("cue_idx"), c["start"].cast("long").alias("start_sample"),
+            c["end"].cast("long").alias("end_sample"), c["text"].alias("text"), nothing("string", "reason"),
+        ),
+    )
+    refusal = F.array(
+        F.struct(
+            nothing("long", "cue_idx"), nothing("long", "start_sample"), nothing("long", "end_sample"),
+            nothing("string", "text"), F.col("_reason").alias("reason"),
         )
     )
+    chosen = F.when(F.col("_reason").isNull(), cues).otherwise(refusal)
+    return parsed.select(*keys, F.explode(chosen).alias("_c")).select(*keys, "_c.*")
 
 
-def lrc_cues(corpus: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """LRC documents (``text``, ``duration_samples``) to cues that end at the next start.
+def _parsed_lrc(corpus: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, _cues, _reason, _offset, _skipped: a document is parsed in its row, without a shuffle.
 
-    An offset line moves only the lines after it. Windows run over the lines of
-    one document, which all come from one input row.
+    Offsets and clocks of any number of digits are compared in 38-digit arithmetic.
     """
-    keys = list(keys)
-    rows = corpus.select(
-        *keys, "duration_samples", F.posexplode(tx.lines(F.col("text"))).alias("_i", "_raw")
-    ).withColumn("_raw", F.regexp_replace("_raw", "^﻿+|﻿+$", ""))
-    is_offset = F.col("_raw").rlike(LRC_OFFSET)
-    shift = F.when(is_offset, F.regexp_extract("_raw", LRC_OFFSET, 1).cast("long") * 48)
-    so_far = (
-        Window.partitionBy(*keys).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    group = lambda n: F.regexp_extract_all("_raw", F.lit(LRC_STAMP), F.lit(n))
-    parsed = (
-        rows.withColumn("_shift", F.last(shift, ignorenulls=True).over(so_far))
-        .where(~is_offset)
-        .withColumn("_stamps", F.arrays_zip(group(1).alias("m"), group(2).alias("s"), group(3).alias("f")))
-        .withColumn("text", tx.trim(F.regexp_replace("_raw", LRC_STAMP, "")))
-    )
-    has_text = (F.size("_stamps") > 0) & (F.col("text") != "")
-    lyric = has_text & ~tx.is_bracket_heading(F.col("text"))
-    timed = parsed.where(lyric).select(
-        *keys, "duration_samples", "_i", "_shift", "text",
-        F.posexplode("_stamps").alias("_k", "_t"),
-    )
-    start = clock.lrc_samples(F.col("_t.m"), F.col("_t.s"), F.col("_t.f")) + F.coalesce(
-        "_shift", F.lit(0).cast("long")
-    )
-    order = Window.partitionBy(*keys).orderBy("_i", "_k")
-    cues = timed.withColumn("start_sample", start).select(
-        *keys, "duration_samples", "text", "start_sample",
-        (F.row_number().over(order) - 1).cast("long").alias("cue_idx"),
-        F.coalesce(F.lead("start_sample").over(order), "duration_samples").alias("end_sample"),
-    )
-    unsupported = parsed.where(
-        (F.size("_stamps") == 0) & (tx.trim(F.col("_raw")) != "") & ~F.col("_raw").rlike(LRC_METADATA)
-    )
-    flags = (
-        cues.select(
-            *keys,
-            F.when(F.length("text") > tx.MAX_LINE, 2)
-            .when(F.col("start_sample").isNull(), 3)
-            .when(
-                (F.col("start_sample") < 0)
-                | (F.col("start_sample") >= F.col("duration_samples")), 4)
-            .when(F.col("end_sample") <= F.col("start_sample"), 5)
-            .alias("_flag"),
-            F.lit(1).alias("_lyric"),
+    raw = F.transform(
+        tx.lines(F.coalesce("text", F.lit(""))), lambda x: F.regexp_replace(x, "^﻿+|﻿+$", "")
+    )
+
+    def line(x, i):
+        is_offset = x.rlike(LRC_OFFSET)
+        group = lambda n: F.regexp_extract_all(x, F.lit(LRC_STAMP), F.lit(n))
+        return F.struct(
+            i.alias("i"),
+            F.when(is_offset, clock.wide_integer(F.regexp_extract(x, LRC_OFFSET, 1))).alias("millis"),
+            F.when(is_offset, F.array()).otherwise(
+                F.arrays_zip(group(1).alias("m"), group(2).alias("s"), group(3).alias("f"))
+            ).alias("stamps"),
+            tx.trim(F.regexp_replace(x, LRC_STAMP, "")).alias("text"),
+            (~is_offset & ~x.rlike(LRC_STAMP) & (tx.trim(x) != "") & ~x.rlike(LRC_METADATA)).alias("unsupported"),
+        )
+
+    wide = lambda c: c.cast("decimal(38,0)")
+    timed = lambda p: (F.size(p["stamps"]) > 0) & (p["text"] != "")
+    last = lambda rows: F.get(rows, F.size(rows) - 1)["millis"]
+
+    def starts(p):
+        before = last(F.filter("_offsets", lambda o: o["i"] < p["i"]))
+        shift = F.coalesce(wide(before * 48), wide(F.lit(0)))
+        return F.transform(
+            p["stamps"],
+            lambda t: F.struct(
+                wide(wide(clock.lrc_samples(t["m"], t["s"], t["f"])) + shift).alias("start"), p["text"].alias("text")
+            ),
+        )
+
+    lyric = lambda p: timed(p) & ~tx.is_bracket_heading(p["text"])
+    rows = (
+        corpus.select(*keys, wide(F.col("duration_samples")).alias("_duration"), F.transform(raw, line).alias("_lines"))
+        # Each array below is read more than once, so that it is computed once a document.
+        .withColumn("_offsets", F.filter("_lines", lambda p: p["millis"].isNotNull()))
+        .select(
+            *keys, "_duration",
+            F.coalesce(last(F.col("_offsets")) * 48, F.lit(0)).alias("_offset"),
+            F.size(F.filter("_lines", lambda p: timed(p) & tx.is_bracket_heading(p["text"]))).alias("_skipped"),
+            F.exists("_lines", lambda p: p["unsupported"]).alias("_unsupported"),
+            F.flatten(F.transform(F.filter("_lines", lyric), starts)).alias("_starts"),
         )
-        .unionByName(unsupported.select(*keys, F.lit(1).alias("_flag"), F.lit(0).alias("_lyric")))
-        .groupBy(*keys)
-        .agg(F.min("_flag").alias("_flag"), F.sum("_lyric").alias("_lyrics"))
     )
-    names = F.array(
-        *[
-            F.lit(n)
-            for n in (
-                "unsupported_lyric_line", "lyric_text_too_long", "invalid_lyric_timestamp",
-                "lyrics_out_of_bounds", "non_monotonic_lyrics",
-            )
-        ]
+    ended = F.transform(
+        "_starts",
+        lambda c, k: F.struct(
+            c["start"].alias("start"), F.coalesce(F.get("_starts", k + 1)["start"], "_duration").alias("end"),
+            c["text"].alias("text"),
+        ),
     )
-    reasons = flags.select(*keys, "_lyrics", F.get(names, F.col("_flag") - 1).alias("reason"))
-    return _cue_table(cues, corpus, reasons, keys)
+    any_cue = lambda test: F.exists("_cues", test)
+    reason = (
+        F.when(F.col("_unsupported"), "unsupported_lyric_line")
+        .when(F.size("_cues") == 0, "no_lyric_cues")
+        .when(any_cue(lambda c: F.length(c["text"]) > tx.MAX_LINE), "lyric_text_too_long")
+        .when(any_cue(lambda c: c["start"].isNull()), "invalid_lyric_timestamp")
+        .when(any_cue(lambda c: (c["start"] < 0) | (c["start"] >= F.col("_duration"))), "lyrics_out_of_bounds")
+        .when(any_cue(lambda c: c["end"] <= c["start"]), "non_monotonic_lyrics")
+    )
+    return rows.withColumn("_cues", ended).withColumn("_reason", reason)
 
 
-def srt_cues(corpus: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """SRT documents (``text``, ``duration_samples``) to cues with their own ends.
+def lrc_cues(corpus: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """LRC documents (``text``, ``duration_samples``) to cues that end at the next start.
 
-    Headings are skipped but still count for the overlap test.
+    An offset line moves only the lines after it. A refused document has one row with
+    its reason; one with several mistakes reports the first of the list in the code.
     """
     keys = list(keys)
+    return _exploded(_parsed_lrc(corpus, keys), keys)
+
+
+def _parsed_srt(corpus: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, _cues, _reason, _skipped: a document is parsed in its row, without a shuffle."""
     text = F.regexp_replace(
-        F.regexp_replace("text", "\r\n", "\n"), "^[﻿\n ]+|[﻿\n ]+$", ""
+        F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n", "\n"), "^[﻿\n ]+|[﻿\n ]+$", ""
     )
-    blocks = corpus.select(
-        *keys, "duration_samples",
-        F.posexplode(F.split(text, rf"\n[{tx.WHITE}]*\n")).alias("_i", "_block"),
+    bodies = F.transform(
+        F.split(text, rf"\n[{tx.WHITE}]*\n"),
+        lambda x: F.regexp_replace(x, rf"^[{tx.WHITE}]*\d+[{tx.WHITE}]*?(?:\n|$)", ""),
     )
-    body = F.regexp_replace("_block", rf"^[{tx.WHITE}]*\d+[{tx.WHITE}]*?(?:\n|$)", "")
-    rows = (
-        blocks.withColumn("_body", body)
-        .withColumn("_timing", tx.trim(F.substring_index("_body", "\n", 1)))
-        .withColumn(
-            "text",
-            tx.trim(F.regexp_replace(F.regexp_replace("_body", r"^[^\n]*\n?", ""), r"[ \t]*\n[ \t]*", "\n")),
+
+    def block(body, i):
+        timing = tx.trim(F.substring_index(body, "\n", 1))
+        lyric = tx.trim(F.regexp_replace(F.regexp_replace(body, r"^[^\n]*\n?", ""), r"[ \t]*\n[ \t]*", "\n"))
+        sample = lambda n: F.when(
+            timing.rlike(SRT_TIMING),
+            clock.srt_samples_wide(*[F.regexp_extract(timing, SRT_TIMING, n + k) for k in range(4)]),
+        )
+        return F.struct(
+            body.contains("\n").alias("whole"), sample(1).alias("start"), sample(5).alias("end"),
+            lyric.alias("text"), tx.is_bracket_heading(lyric).alias("heading"),
         )
+
+    def why(b, i):
+        before = F.get("_blocks", F.when(i > 0, i - 1))["end"]
+        return (
+            F.when(~b["whole"], "invalid_srt_block")
+            .when(b["start"].isNull() | b["end"].isNull(), "invalid_lyric_timestamp")
+            .when(b["text"] == "", "empty_lyric_cue")
+            .when(b["end"] <= b["start"], "invalid_lyric_range")
+            .when(b["end"] > F.col("duration_samples"), "lyrics_out_of_bounds")
+            .when(before > b["start"], "overlapping_lyrics")
+            .when(~b["heading"] & (F.length(b["text"]) > tx.MAX_LINE), "lyric_text_too_long")
+        )
+
+    rows = corpus.select(*keys, "duration_samples", F.transform(bodies, block).alias("_blocks")).select(
+        *keys,
+        F.get(F.filter(F.transform("_blocks", why), lambda x: x.isNotNull()), F.lit(0)).alias("_why"),
+        F.filter("_blocks", lambda b: ~b["heading"]).alias("_cues"),
+        F.size(F.filter("_blocks", lambda b: b["heading"])).alias("_skipped"),
+    )
+    return rows.withColumn("_reason", F.coalesce("_why", F.when(F.size("_cues") == 0, "no_lyric_cues")))
+
+
+def srt_cues(corpus: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """SRT documents (``text``, ``duration_samples``) to cues with their own ends.
+
+    Headings are skipped but still count for the overlap test. A refused document has one
+    row with the reason of its first refused block.
+    """
+    keys = list(keys)
+    return _exploded(_parsed_srt(corpus, keys), keys)
+
+
+def import_facts(corpus: DataFrame, keys: Sequence[str], form: str) -> DataFrame:
+    """What the import of each document did: format, end_time_policy, offset_samples, skipped_stage_headings, reason.
+
+    ``form`` is ``lrc`` or ``srt``; the facts of a refused document are null beside its
+    reason. ``offset_samples`` is the last offset of an LRC document, null for SRT.
+    """
+    keys = list(keys)
+    if form not in ("lrc", "srt"):
+        raise ValueError("form must be lrc or srt")
+    parsed = _parsed_lrc(corpus, keys) if form == "lrc" else _parsed_srt(corpus, keys)
+    good = F.col("_reason").isNull()
+    offset = F.col("_offset").try_cast("long") if form == "lrc" else F.lit(None).cast("long")
+    policy = "next_start_or_song_end" if form == "lrc" else "explicit"
+    return parsed.select(
+        *keys, F.lit(form).alias("format"), F.lit(policy).alias("end_time_policy"),
+        F.when(good, offset).alias("offset_samples"),
+        F.when(good, F.col("_skipped")).cast("long").alias("skipped_stage_headings"),
+        F.col("_reason").alias("reason"),
     )
-    piece = lambda n: F.regexp_extract("_timing", SRT_TIMING, n)
-    matched = F.col("_timing").rlike(SRT_TIMING)
-    sample = lambda n: F.when(matched, clock.srt_samples(*[piece(n + k) for k in range(4)]))
-    order = Window.partitionBy(*keys).orderBy("_i")
-    parts = (
-        rows.withColumn("start_sample", sample(1))
-        .withColumn("end_sample", sample(5))
-        .withColumn("_before", F.lag("end_sample").over(order))
-        .withColumn("_heading", tx.is_bracket_heading(F.col("text")))
-    )
-    start, end = F.col("start_sample"), F.col("end_sample")
-    why = (
-        F.when(~F.col("_body").contains("\n"), "invalid_srt_block")
-        .when(start.isNull() | end.isNull(), "invalid_lyric_timestamp")
-        .when(F.col("text") == "", "empty_lyric_cue")
-        .when(end <= start, "invalid_lyric_range")
-        .when(end > F.col("duration_samples"), "lyrics_out_of_bounds")
-        .when(F.col("_before") > start, "overlapping_lyrics")
-        .when(~F.col("_heading") & (F.length("text") > tx.MAX_LINE), "lyric_text_too_long")
-    )
-    judged = parts.withColumn("_why", why)
-    reasons = judged.groupBy(*keys).agg(
-        F.min_by("_why", F.when(F.col("_why").isNotNull(), F.col("_i"))).alias("reason"),
-        F.count_if(~F.col("_heading")).alias("_lyrics"),
-    )
-    cues = judged.where(~F.col("_heading")).select(
-        *keys, "start_sample", "end_sample", "text",
-        (F.row_number().over(order) - 1).cast("long").alias("cue_idx"),
-    )
-    return _cue_table(cues, corpus, reasons, keys)
 
 
 def timed_chars(tokens: DataFrame, keys: Sequence[str], block: int) -> DataFrame:

@@ -126,6 +126,27 @@ def lrc_cues(t):
     return ly.lrc_cues(t.shared("lrc", lrc_corpus), DOC).withColumn("text", F.md5(F.col("text").cast("binary")))
 
 
+@query(
+    "import_facts",
+    f"""WITH {SENT}, f AS (
+          SELECT x.doc_id, count(i) FILTER (i % 5 = 0 OR regexp_matches(txt, '{BRACKET}')) AS skipped, max(i) AS n,
+                 count(i) FILTER (i % 5 <> 0 AND NOT regexp_matches(txt, '{BRACKET}')) AS cues,
+                 max(length(txt)) FILTER (i % 5 <> 0 AND NOT regexp_matches(txt, '{BRACKET}')) AS longest,
+                 max(i * 72000 + CASE WHEN x.doc_id % 7 = 0 AND i > 3 THEN 12000 ELSE 0 END)
+                   FILTER (i % 5 <> 0 AND NOT regexp_matches(txt, '{BRACKET}')) AS last
+          FROM documents x LEFT JOIN sent ON sent.doc_id = x.doc_id GROUP BY 1),
+        r AS (SELECT *, CASE WHEN cues = 0 THEN 'no_lyric_cues' WHEN longest > 240 THEN 'lyric_text_too_long'
+                             WHEN last >= CASE WHEN doc_id % 13 = 0 THEN 1440000 ELSE {LONG_TRACK} END
+                               THEN 'lyrics_out_of_bounds' END AS reason FROM f)
+        SELECT doc_id, 'lrc' AS format, 'next_start_or_song_end' AS end_time_policy,
+               CASE WHEN reason IS NULL THEN CASE WHEN doc_id % 7 = 0 AND n >= 3 THEN 12000 ELSE 0 END END AS offset_samples,
+               CASE WHEN reason IS NULL THEN skipped END AS skipped_stage_headings, reason
+        FROM r""",
+)
+def import_facts(t):
+    return ly.import_facts(t.shared("lrc", lrc_corpus), DOC, "lrc")
+
+
 def srt_corpus(t):
     def block(x, k):
         i = (k + 1).cast("long")
