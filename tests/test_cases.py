@@ -2,6 +2,7 @@
 
 import json
 import random
+import wave
 
 import numpy as np
 import pytest
@@ -463,6 +464,47 @@ def test_documents_are_imported_without_a_shuffle(spark):
         assert "Exchange" not in plan and "Window" not in plan
 
 
+def _wav_file(path, frames, channels=2, width=3):
+    with wave.open(str(path), "wb") as audio:
+        audio.setnchannels(channels)
+        audio.setsampwidth(width)
+        audio.setframerate(48_000)
+        audio.writeframes(b"".join(int(v).to_bytes(width, "little", signed=True) * channels for v in frames))
+
+
+def test_a_wav_file_is_read_in_many_tasks(spark, tmp_path):
+    """Ranges of 1,000 bytes give the same blocks as the whole file, whatever the letter case of the name."""
+    rng = np.random.default_rng(2)
+    (tmp_path / "deep").mkdir()
+    long, short = rng.integers(-(1 << 23), 1 << 23, 5_003), rng.integers(-(1 << 23), 1 << 23, 7)
+    _wav_file(tmp_path / "deep" / "A.WAV", long)
+    _wav_file(tmp_path / "b.wav", short, channels=1)
+    _wav_file(tmp_path / "c.Wav", [1, 2, 3], width=2)
+    _wav_file(tmp_path / "none.wav", [])
+    whole = (tmp_path / "deep" / "A.WAV").read_bytes()
+    extra = b"LIST" + (5).to_bytes(4, "little") + b"abcde\0"
+    (tmp_path / "chunk.wav").write_bytes(whole[:36] + extra + whole[36:])
+    (tmp_path / "cut.wav").write_bytes(whole[:44 + 6 * 100 + 4])
+    (tmp_path / "bad.wav").write_bytes(b"RIFFxxxx")
+    (tmp_path / "empty.wav").write_bytes(b"")
+    (tmp_path / "note.txt").write_text("no audio")
+    for split in (1_000, 1 << 26):
+        df = fl.read_pcm(spark, str(tmp_path), block=64, split_bytes=split)
+        assert df.rdd.getNumPartitions() == 1 if split > 1_000 else df.rdd.getNumPartitions() > 60
+        rows = df.orderBy("path", "block_idx").collect()
+        by = {}
+        for r in rows:
+            by.setdefault(r.path.rpartition("/")[2], []).append(r)
+        for name, values in (("A.WAV", long), ("chunk.wav", long), ("b.wav", short), ("cut.wav", long[:100])):
+            assert [r.block_idx for r in by[name]] == list(range(-(-len(values) // 64)))
+            assert np.array_equal(np.concatenate([r.samples for r in by[name]]) * (1 << 23), values)
+        assert (by["A.WAV"][3].sample_rate, by["A.WAV"][3].channels, by["A.WAV"][3].frames) == (48_000, 2, 5_003)
+        assert [(r.reason, r.sample_width) for r in by["c.Wav"]] == [("not_24_bit", 2)]
+        assert {n: by[n][0].reason for n in ("bad.wav", "empty.wav")} == dict.fromkeys(
+            ("bad.wav", "empty.wav"), "invalid_wav: not a RIFF/WAVE file")
+        assert set(by) == {"A.WAV", "chunk.wav", "b.wav", "c.Wav", "cut.wav", "bad.wav", "empty.wav"}
+
+
 def test_one_long_line_refuses_the_whole_document(spark):
     df = table(spark, [(1, "short\n" + "x" * 241), (2, "!" * 300), (3, "")], "track_id long, text string")
     rows = sorted((r.track_id, r.line or 0, r.reason) for r in ly.known_lines(df, KEY).collect())

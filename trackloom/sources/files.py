@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import io
 import uuid
-import wave
 from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.operators.lineage import cache_key
+from trackloom.sources import pcm
 
 TEXT_SUFFIXES = ("md", "txt", "lrc", "srt")
 
@@ -47,76 +46,30 @@ def file_inventory(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _pcm_blocks(content: bytes, block: int):
-    """Header facts and mono blocks of a 24-bit WAV file."""
-    with wave.open(io.BytesIO(content)) as audio:
-        facts = (
-            audio.getframerate(), audio.getnchannels(), audio.getsampwidth(), audio.getnframes()
-        )
-        if facts[2] != 3:
-            yield facts, None, None, "not_24_bit"
-            return
-        index = 0
-        while raw := audio.readframes(block):
-            packed = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 3).astype(np.int32)
-            value = packed[:, 0] | (packed[:, 1] << 8) | (packed[:, 2] << 16)
-            value = np.where(value >= 1 << 23, value - (1 << 24), value)
-            mono = value.reshape(-1, facts[1]).mean(axis=1) / float(1 << 23)
-            yield facts, index, mono, None
-            index += 1
-
-
-def read_pcm(spark: SparkSession, path: str, block: int = 65_536) -> DataFrame:
-    """24-bit WAV files as mono sample blocks with the header facts, spread by (file, block)."""
+def read_pcm(spark: SparkSession, path: str, block: int = pcm.BLOCK, split_bytes: int = pcm.SPLIT_BYTES) -> DataFrame:
+    """24-bit WAV files as mono sample blocks with the header facts (see :mod:`trackloom.sources.pcm`)."""
     _local_only(path)
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, content in zip(batch["path"], batch["content"]):
-                try:
-                    for facts, index, samples, reason in _pcm_blocks(content, block):
-                        rate, channels, width, frames = facts
-                        yield pd.DataFrame(
-                            {
-                                "path": [name], "sample_rate": [rate], "channels": [channels],
-                                "sample_width": [width], "frames": [frames], "block_idx": [index],
-                                "samples": [samples], "reason": [reason],
-                            }
-                        )
-                except (wave.Error, EOFError) as problem:
-                    yield pd.DataFrame(
-                        {
-                            "path": [name], "sample_rate": [None], "channels": [None],
-                            "sample_width": [None], "frames": [None], "block_idx": [None],
-                            "samples": [None], "reason": [f"invalid_wav: {problem}"],
-                        }
-                    )
-
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option(
-        "recursiveFileLookup", "true"
-    ).load(path).select("path", "content")
-    blocks = rows.mapInPandas(
-        decode,
-        "path string, sample_rate int, channels int, sample_width int, frames long, "
-        "block_idx long, samples array<double>, reason string",
-    )
-    return blocks.repartition("path", "block_idx")
+    return pcm.read_pcm(spark, path, block, split_bytes)
 
 
 def write_rows_as_files(rows: DataFrame, folder: str) -> None:
-    """Write ``content`` of each row to ``folder/name``; each task writes its own rows."""
-    import os
+    """Write ``content`` of each row to ``folder/name`` through Arrow's file systems.
 
-    os.makedirs(folder, exist_ok=True)
+    ``folder`` must be one that all executors share. Each task writes its own rows under
+    names of its attempt and then renames them, so a repeated task leaves whole files.
+    """
+    folder = folder if ":/" in folder else f"file://{folder}"
+    system, root = fs.FileSystem.from_uri(folder)
+    system.create_dir(root)
 
     def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, root = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for name, content in zip(batch["name"], batch["content"]):
-                target = f"{folder}/{name}"
-                partial = f"{target}.{os.getpid()}.part"
-                with open(partial, "wb") as out:
+            for name, content in zip(batch["name"], batch["content"], strict=True):
+                partial = f"{root}/.{uuid.uuid4().hex}.part"
+                with system.open_output_stream(partial, compression=None) as out:
                     out.write(content)
-                os.replace(partial, target)
+                system.move(partial, f"{root}/{name}")
             yield pd.DataFrame({"n": [len(batch)]})
 
     rows.select("name", "content").mapInPandas(save, "n long").agg(F.sum("n")).collect()
