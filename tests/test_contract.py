@@ -1,6 +1,7 @@
 """The driver's contract, and metamorphic checks on the flagship."""
 
 import re
+import sys
 
 import __spark_entry__ as entry
 from pyspark.sql import functions as F
@@ -22,6 +23,14 @@ def test_queries_and_sql_have_the_same_names():
     assert all(re.fullmatch(r"[a-z0-9_]+", n) for n in queries)
 
 
+def test_queries_remain_when_an_optional_package_is_missing(monkeypatch):
+    for name in [m for m in sys.modules if m.startswith("trackloom.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "tokenizers", None)
+    monkeypatch.delattr("trackloom.llm", raising=False)
+    assert set(entry.queries()) == set(all_queries()[0]) and set(entry.oracle_sql()) == set(all_queries()[1])
+
+
 def test_smoothing_does_not_depend_on_blocks_and_excerpts(spark):
     t = Tables(spark, ROOT)
     levels = t.shared("levels", rq.levels)
