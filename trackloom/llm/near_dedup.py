@@ -13,17 +13,20 @@
    leave the block.
 4. Prefix merging: with ``match`` collisions of ``coordinates`` asked for, two classes
    must share one of the ``coordinates - match + 1`` rarest pairs of either. Only these
-   pairs are joined, split by set size so that sizes too far apart never meet, only lists
-   that meet several components, and only classes of different components and hubs;
-   pairs with too few collisions go. What is left is
-   confirmed on full sets, and the components are closed.
+   lists are read on, split by set size so that sizes too far apart never meet, and only
+   lists that meet several components. Collisions are counted inside blocks of a list;
+   of the pairs with enough of them, between different components and hubs, a block hands
+   on a spanning forest, at most one pair for each of its members.
+5. Classes connected by such pairs form groups, so every pair with enough collisions lies in
+   one. Groups are compared on full sets in blocks as in step 3, and the components are closed.
 
 A pair at the similarity limit (0.8) misses ``match`` = 26 of 48 collisions with a
 probability of about 1e-5; no other case is lost, and nothing is capped.
 
 Cases: a null text, or one without words, has an empty set and is linked with
 nothing. Rows with a null id are linked with nothing, have a null component and are
-kept. Rows that share an id are one node. An empty table gives an empty result. Other
+kept. Rows of one id and different texts are kept or dropped each for its own text, but
+count as one node where no smaller id has either's set. An empty table gives an empty result. Other
 columns are never looked at.
 """
 
@@ -46,6 +49,8 @@ COORDINATES = 48
 MATCH = 26
 BLOCK = 2048
 OUTER_BLOCK = 512
+#: Lists of at most so many members are joined with themselves, a bounded number of rows for each member.
+SHORT_LIST = 8
 SEED = 5
 
 
@@ -86,6 +91,7 @@ def _signer(size: int, coordinates: int) -> Callable:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(row, n),
+                        batch.column("text_hash").slice(row, n),
                         pa.array(np.diff(bounds)),
                         pa.array(_row_sums(mix(values), bounds).view(np.int64)),
                         pa.array(_row_sums(mix(values * np.uint64(3) + np.uint64(1)), bounds).view(np.int64)),
@@ -93,7 +99,7 @@ def _signer(size: int, coordinates: int) -> Callable:
                             pa.array(np.cumsum(lengths, dtype=np.int32)), pa.array(signature.reshape(-1).view(np.int64))
                         ),
                     ],
-                    ["doc_id", "n_shingles", "set_a", "set_b", "signature"],
+                    ["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "signature"],
                 )
 
     return sign
@@ -200,13 +206,13 @@ def _block_links(part: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"])
 
 
-def _group_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) inside the groups (hub, doc_id, root, apart): rows apart from their hub against all rows."""
+def _group_links(groups: DataFrame, sets: DataFrame, percent: int, least: int = 3) -> DataFrame:
+    """(a, b) inside the groups (hub, doc_id, root, apart) of ``least`` rows or more: rows apart from their hub against all."""
     kind = groups.schema["doc_id"].dataType.simpleString()
     sizes = (
         groups.groupBy("hub")
         .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("apart").cast("long")).alias("n_apart"))
-        .where("n_apart > 0 and n > 2")
+        .where((F.col("n_apart") > 0) & (F.col("n") >= least))
     )
     draw = F.xxhash64("doc_id")
     rows = (
@@ -229,6 +235,44 @@ def _group_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _forest(part: pd.DataFrame, percent: int, match: int) -> pd.DataFrame:
+    """A spanning forest of the pairs with ``match`` collisions among the rows of a block, or between its two parts."""
+    part = part.sort_values("doc_id")
+    ids, sizes = part["doc_id"].to_numpy(), part["n_shingles"].to_numpy()
+    roots, hubs, sides = part["root"].to_numpy(), part["hub"].to_numpy(), part["side"].to_numpy()
+    signatures = np.stack(list(part["signature"]))
+    two = sides.min() != sides.max()
+    tree = np.arange(len(ids))
+    out = []
+    for i in range(1, len(ids)):
+        may = (roots[:i] != roots[i]) & (hubs[:i] != hubs[i]) & (tree[:i] != tree[i])
+        may &= (100 * sizes[:i] >= percent * sizes[i]) & (100 * sizes[i] >= percent * sizes[:i])
+        if two:
+            may &= sides[:i] != sides[i]
+        at = np.flatnonzero(may)
+        at = at[(signatures[at] == signatures[i]).sum(axis=1) >= match]
+        for k in at:
+            if tree[k] != tree[i]:
+                tree[tree == tree[i]] = tree[k]
+                out.append((ids[i], ids[k]))
+    return pd.DataFrame(out, columns=["a", "b"])
+
+
+def _long_list_pairs(posts: DataFrame, sizes: DataFrame, percent: int, match: int) -> DataFrame:
+    """(a, b) of the lists of more than ``SHORT_LIST`` members, in pairs of parts of about ``BLOCK`` members."""
+    kind = posts.schema["doc_id"].dataType.simpleString()
+    rows = (
+        posts.join(sizes.where(F.col("members") > SHORT_LIST), ["value", "slot"])
+        .withColumn("parts", F.ceil(F.col("members") / BLOCK).cast("int"))
+        .withColumn("side", F.pmod(F.xxhash64("doc_id"), "parts").cast("int"))
+        .withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+        .withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")})
+    )
+    return rows.groupBy("value", "slot", "i", "j").applyInPandas(
+        lambda part: _forest(part, percent, match), f"a {kind}, b {kind}"
+    )
+
+
 def similar_components(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -243,12 +287,19 @@ def similar_components(
     Texts with ``100 * |A & B| >= percent * |A | B|`` are linked; ``component_id`` is the
     smallest id reachable and ``kept`` says whether it is the row's own.
     """
-    kind = df.schema[id_col].dataType.simpleString()
     docs = df.select(df[id_col].alias("doc_id"), df[text_col].cast("string").alias("text"))
+    return _row_components(docs, shingle, percent, coordinates, match).select(
+        "doc_id", "n_shingles", "component_id", "kept"
+    )
+
+
+def _row_components(docs: DataFrame, shingle: int, percent: int, coordinates: int, match: int) -> DataFrame:
+    """The result of ``similar_components`` for (doc_id, text), with the hash of each row's text."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
     signed = materialize(
-        docs.mapInArrow(
+        docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
             _signer(shingle, coordinates),
-            f"doc_id {kind}, n_shingles long, set_a long, set_b long, signature array<long>",
+            f"doc_id {kind}, text_hash long, n_shingles long, set_a long, set_b long, signature array<long>",
         )
     )
     key = ["n_shingles", "set_a", "set_b"]
@@ -300,13 +351,20 @@ def similar_components(
     rarest = materialize(rarest)
     mixed = (
         rarest.groupBy("value", "slot")
-        .agg(*[f(c).alias(n + c) for c in ("root", "hub") for n, f in (("lo_", F.min), ("hi_", F.max))])
+        .agg(
+            F.count(F.lit(1)).alias("members"),
+            *[f(c).alias(n + c) for c in ("root", "hub") for n, f in (("lo_", F.min), ("hi_", F.max))],
+        )
         .where("lo_root < hi_root and lo_hub < hi_hub")
-        .select("value", "slot")
+        .select("value", "slot", "members")
     )
-    open_posts = materialize(rarest.join(mixed, ["value", "slot"], "left_semi"))
-    one = open_posts.select("value", "slot", *[F.col(c).alias(f"{c}_a") for c in ("doc_id", "n_shingles", "root", "hub")])
-    two = open_posts.select("value", "slot", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "n_shingles", "root", "hub")])
+    mixed = materialize(mixed)
+    signatures = classes.select(F.col("rep").alias("doc_id"), "signature")
+    open_posts = materialize(rarest.join(mixed.drop("members"), ["value", "slot"], "left_semi").join(signatures, "doc_id"))
+    short = open_posts.join(mixed.where(F.col("members") <= SHORT_LIST), ["value", "slot"], "left_semi")
+    names = ("doc_id", "n_shingles", "root", "hub", "signature")
+    one, two = (short.select("value", "slot", *[F.col(c).alias(f"{c}_{x}") for c in names]) for x in "ab")
+    collisions = F.expr("size(filter(zip_with(signature_a, signature_b, (x, y) -> x = y), x -> x))")
     near = (
         one.join(two, ["value", "slot"])
         .where(
@@ -315,42 +373,47 @@ def similar_components(
             & (F.col("hub_a") != F.col("hub_b"))
             & (100 * F.col("n_shingles_a") >= percent * F.col("n_shingles_b"))
             & (100 * F.col("n_shingles_b") >= percent * F.col("n_shingles_a"))
+            & (collisions >= match)
         )
         .select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
-        .distinct()
     )
-    signatures = classes.select(F.col("rep"), "signature")
-    counted = (
-        near.join(signatures.toDF("a", "sig_a"), "a")
-        .join(signatures.toDF("b", "sig_b"), "b")
-        .where(
-            F.expr(f"size(filter(zip_with(sig_a, sig_b, (x, y) -> x = y), x -> x)) >= {match}")
-        )
-        .select("a", "b")
-        .distinct()
+    counted = components(near.union(_long_list_pairs(open_posts, mixed, percent, match)))
+    members = materialize(counted.select(F.col("root").alias("hub"), F.explode(F.array("node", "root")).alias("doc_id")).distinct())
+    last_groups = members.join(roots, "doc_id", "left").select(
+        "hub", "doc_id", F.coalesce("root", "doc_id").alias("root"), F.lit(True).alias("apart")
     )
-    counted = materialize(counted)
-    more = _confirmed(counted, _sets(counted.select(F.explode(F.array("a", "b")).alias("doc_id")), docs, shingle), percent)
+    more = _group_links(last_groups, _sets(members.select("doc_id"), docs, shingle), percent, 2)
     closed = components(linked.union(grouped).union(more))
     by_class = (
         classes.select(*key, "rep")
         .join(closed.withColumnRenamed("node", "rep"), "rep", "left")
         .select(*key, F.coalesce("root", "rep").alias("component"))
     )
-    result = signed.select("doc_id", *key).join(by_class, key, "left")
+    result = signed.select("doc_id", "text_hash", *key).join(by_class, key, "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     return result.select(
         "doc_id",
+        "text_hash",
         "n_shingles",
         component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
     )
 
 
-def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def near_dedup(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = 5,
+    percent: int = 80,
+    coordinates: int = COORDINATES,
+    match: int = MATCH,
+) -> DataFrame:
     """``df`` with one document of each component (the smallest id), in all its columns."""
-    gone = similar_components(df, id_col, text_col, **options).where("not kept").select(
-        F.col("doc_id").alias("__gone")
+    text = df[text_col].cast("string")
+    docs = df.select(df[id_col].alias("doc_id"), text.alias("text"))
+    gone = _row_components(docs, shingle, percent, coordinates, match).where("not kept").select(
+        F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__text")
     )
-    return df.join(gone, df[id_col] == gone["__gone"], "left_anti")
+    return df.join(gone, (df[id_col] == gone["__gone"]) & (F.xxhash64(text) == gone["__text"]), "left_anti")
