@@ -1,5 +1,6 @@
 """Small exact cases of every area."""
 
+import copy
 import json
 import random
 import wave
@@ -377,6 +378,126 @@ def test_bad_timelines_are_rejected(spark):
     assert all(got.values()), got
 
 
+FILE_REF = {"path": "x.json", "sha256": "a" * 64}
+SOURCE = {"path": "a.wav", "sha256": "0" * 64, "sample_rate": 48000, "duration_samples": 480_000}
+GOOD = {
+    "timeline": {
+        "schema_version": "0.1", "source": SOURCE,
+        "analysis": [{"tool": "t", "version": "1", "parameters": {"n": 1, "deep": {"list": [1, 2.5, None, True]}}}],
+        "signals": {"mix.rms": {"start_sample": 0, "hop_samples": 1000, "values": [0.5, 1, 0.25], "unit": "n"}},
+        "events": [{"name": "beat", "source": "mix", "sample": 5}, {"name": "beat", "source": "mix", "sample": 900, "confidence": 1}],
+        "sections": [
+            {"start_sample": 0, "end_sample": 240_000, "id": "intro", "origin": "manual", "label": None},
+            {"start_sample": 240_000, "end_sample": 480_000, "id": "rest", "origin": "automatic", "confidence": 0.5},
+        ],
+    },
+    "structure": {
+        "schema_version": "0.1", "source": SOURCE, "timeline": FILE_REF, "cache_key": "b" * 64,
+        "analyzer": {"tool": "t", "version": "1", "parameters": {}}, "beat_samples": [100, 200, 300, 400],
+        "boundaries": [{"id": "b1", "sample": 100, "confidence": 0.5, "sources": ["novelty", "g1"]},
+                       {"id": "b2", "sample": 300, "confidence": 0.5, "sources": ["g1"]}],
+        "repeated_groups": [{"id": "g1", "confidence": 0.9, "spans": [
+            {"id": "s1", "group_id": "g1", "confidence": 0.9, "start_sample": 0, "end_sample": 100, "start_anchor_index": 0, "end_anchor_index": 1},
+            {"id": "s2", "group_id": "g1", "confidence": 0.9, "start_sample": 200, "end_sample": 300, "start_anchor_index": 2, "end_anchor_index": 3},
+        ]}],
+    },
+    "structure-selection": {
+        "schema_version": "0.1", "reviewed": True, "structure": FILE_REF, "timeline": FILE_REF, "existing_sections_policy": "replace",
+        "sections": [{"start_sample": 0, "end_sample": 100, "id": "a"}, {"start_sample": 100, "end_sample": 300, "id": "b"}],
+    },
+    "plan": {
+        "schema_version": "0.1", "timeline_path": "t.json", "assets_path": "a.json", "mode": "abstract", "seed": 7,
+        "layers": [{"id": "orb", "kind": "orb", "category": "abstract", "opacity": 0.5, "parameters": {"radius": 0.3, "color": "#ffffff"}},
+                   {"id": "words", "kind": "captions", "category": "text"}],
+        "routes": [{"source": "mix.rms", "target_layer": "orb", "target_parameter": "radius", "transform": {"kind": "linear"}}],
+        "sections": [{"section_id": "intro", "layers": [{"layer_id": "orb", "enabled": False}]}],
+    },
+    "resolved-plan": {
+        "schema_version": "0.1", "source_plan": FILE_REF, "timeline_path": "t", "timeline_sha256": "a" * 64, "assets_path": "a",
+        "assets_sha256": "a" * 64, "checked_assets_path": "c", "checked_assets_sha256": "a" * 64, "mode": "abstract", "seed": 1,
+        "duration_samples": 200, "routes": [],
+        "spans": [{"start_sample": 0, "end_sample": 100, "layers": [{"id": "orb", "kind": "orb", "category": "abstract"}]},
+                  {"start_sample": 100, "end_sample": 200, "section_id": "x", "section_origin": "manual", "transition_samples": 50,
+                   "layers": [{"id": "orb", "kind": "orb", "category": "abstract"}]}],
+    },
+}
+MUTATIONS = [
+    ("timeline", lambda d: d.update(schema_version="9.0"), "wrong_version"),
+    ("timeline", lambda d: d.update(unknown_field=1), "unknown:unknown_field"),
+    ("timeline", lambda d: d["source"].update(sample_rate=True), "invalid_value"),
+    ("timeline", lambda d: d["source"].update(duration_samples=0), "invalid_source"),
+    ("timeline", lambda d: d["source"].update(sha256="not-a-hash"), "invalid_source"),
+    ("timeline", lambda d: d["source"].update(path=7), "invalid_value"),
+    ("timeline", lambda d: d["source"].update(path={"a": 1}), "invalid_value"),
+    ("timeline", lambda d: d["events"][0].update(sample=480_000), "event_outside_track"),
+    ("timeline", lambda d: d["events"][0].update(sample=1000), "events_unordered"),
+    ("timeline", lambda d: d["events"][0].update(sample=1.5), "invalid_value"),
+    ("timeline", lambda d: d["events"][1].update(confidence=1.5), "invalid_event"),
+    ("timeline", lambda d: d["signals"]["mix.rms"].update(hop_samples=480_000), "signal_outside_track"),
+    ("timeline", lambda d: d["signals"]["mix.rms"].update(values=[float("nan")]), "invalid_value"),
+    ("timeline", lambda d: d["signals"]["mix.rms"].update(values=[None]), "invalid_value"),
+    ("timeline", lambda d: d["analysis"][0]["parameters"].update(n=float("inf")), "invalid_value"),
+    ("timeline", lambda d: d["sections"][1].update(start_sample=239_999), "sections_overlap"),
+    ("timeline", lambda d: d["sections"][1].update(end_sample=480_001), "section_outside_track"),
+    ("timeline", lambda d: d["sections"][1].update(id="intro"), "duplicate_section"),
+    ("timeline", lambda d: d["sections"].reverse(), "sections_overlap"),
+    ("structure", lambda d: d["beat_samples"].append(400), "beats_unordered"),
+    ("structure", lambda d: d["boundaries"][0].update(sources=["verse"]), "unknown_evidence"),
+    ("structure", lambda d: d["repeated_groups"][0]["spans"][0].update(end_sample=99), "span_off_its_anchors"),
+    ("structure", lambda d: d["repeated_groups"][0]["spans"][1].update(end_anchor_index=9), "span_off_its_anchors"),
+    ("structure", lambda d: d["repeated_groups"][0]["spans"][1].update(group_id="g9"), "invalid_group"),
+    ("structure-selection", lambda d: d.update(reviewed=False), "not_reviewed"),
+    ("structure-selection", lambda d: d["sections"][1].update(start_sample=101), "sections_not_contiguous"),
+    ("structure-selection", lambda d: d.update(existing_sections_policy="implicit"), "unknown_policy"),
+    ("plan", lambda d: d.update(mode="mood"), "mode_lacks_category"),
+    ("plan", lambda d: d["layers"].append(dict(d["layers"][0])), "duplicate_layer"),
+    ("plan", lambda d: d["layers"][0].update(opacity=1.1), "invalid_layer"),
+    ("plan", lambda d: d["routes"][0].update(target_layer="absent"), "route_to_unknown_layer"),
+    ("plan", lambda d: d.update(lyrics={"mode": "auto"}), "invalid_lyrics"),
+    ("plan", lambda d: d.update(lyrics={"mode": "off", "path": "l.json"}), "invalid_lyrics"),
+    ("plan", lambda d: d.update(seed=2**53), "invalid_seed"),
+    ("plan", lambda d: d.update(seed=2**63), "invalid_value"),
+    ("plan", lambda d: d.update(output={"width": 3840}), "invalid_output"),
+    ("plan", lambda d: d["sections"][0]["layers"].append({"layer_id": "gone"}), "override_of_unknown_layer"),
+    ("resolved-plan", lambda d: d["spans"][1].update(start_sample=101), "spans_not_contiguous"),
+    ("resolved-plan", lambda d: d.update(duration_samples=300), "track_not_covered"),
+    ("resolved-plan", lambda d: d["spans"][1]["layers"][0].update(id="other"), "layers_differ"),
+    ("resolved-plan", lambda d: d["spans"][1].update(section_origin=None), "invalid_span"),
+    ("resolved-plan", lambda d: d.update(lyrics_sha256="a" * 64), "invalid_lyrics"),
+]
+
+
+@pytest.mark.parametrize("kind", sorted(GOOD))
+def test_each_mutation_of_a_document_is_a_violation(spark, kind):
+    cases = [(0, json.dumps(GOOD[kind]), None)]
+    for i, (_, mutate, code) in enumerate((m for m in MUTATIONS if m[0] == kind), 1):
+        document = copy.deepcopy(GOOD[kind])
+        mutate(document)
+        cases.append((i, json.dumps(document), code))
+    df = table(spark, cases, "i int, text string, code string")
+    for r in ar.check_artifacts(df, kind, validate=True).collect():
+        assert (r.code is None and r.reasons == []) or r.code in r.reasons, (r.i, r.code, r.reasons)
+
+
+def test_documents_are_walked_to_any_depth(spark):
+    text = json.dumps(GOOD["timeline"])
+    cases = {
+        "trailing_text": text + " {}",
+        "duplicate:signals.": text.replace('{"mix.rms"', '{"mix.rms": {"hop_samples": 1, "values": [1], "unit": "n"}, "mix.rms"'),
+        "duplicate:analysis[].parameters{}.": text.replace('{"list"', '{"list": 1, "list"'),
+        "missing:signals{}.unit": text.replace(', "unit": "n"', ""),
+        "invalid_json": text[:-1],
+        "root_not_object": "[" * 3 + "]" * 3,
+    }
+    rows = [*cases.items(), ("deep", '{"a": ' + "[" * 100_000 + "]" * 100_000 + "}"), ("none", None), ("empty", "")]
+    got = {r.name: r for r in ar.check_artifacts(table(spark, rows, "name string, text string"), "timeline").collect()}
+    for code in cases:
+        assert got[code].reasons == [code]
+    assert got["deep"].reasons == got["none"].reasons == ["invalid_json"] and got["empty"].reasons == ["root_not_object"]
+    odd = ar.check_artifacts(table(spark, [(text.replace(": 48000,", ': "48000",'),)], "text string"), "timeline").first()
+    assert [tuple(p) for p in odd.problems] == [("invalid_value", "source.sample_rate", "string")]
+
+
 def test_schema_drift(spark):
     stored = spark.createDataFrame([], "schema_version string, ranges array<struct<id:long>>")
     got = {r.path for r in sc.schema_drift(spark, stored.schema, "preview").collect()}

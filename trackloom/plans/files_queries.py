@@ -61,6 +61,41 @@ def read_artifacts(t):
     )
 
 
+def timeline_docs(t):
+    """Orders as timelines of ``o_custkey + 1000`` samples; seven of eight break one rule each."""
+    key, long = F.col("o_orderkey") % 8, F.col("o_custkey") + 1000
+    text = lambda c: c.cast("string")
+    pick = lambda k, odd, plain: F.when(key == k, odd).otherwise(plain)
+    first = pick(2, text(long), pick(3, F.lit("7"), F.lit("5")))
+    parts = [
+        F.lit('{"schema_version": "0.1", "analysis": [], "source": {"path": "a.wav", "sha256": "'),
+        F.sha2(text(F.col("o_orderkey")), 256), F.lit('", "sample_rate": '), pick(1, F.lit('"48000"'), F.lit("48000")),
+        F.lit(', "duration_samples": '), text(long),
+        F.lit('}, "signals": {"mix": {"values": [0.5, 1], "unit": "n", "hop_samples": '), pick(7, text(long), F.lit("10")),
+        F.lit('}}, "events": [{"name": "a", "source": "b", "sample": '), first,
+        F.lit('}, {"name": "a", "source": "b", "sample": '), pick(2, text(long), F.lit("6")),
+        F.lit('}], "sections": [{"id": "x", "origin": "manual", "start_sample": 0, "end_sample": 500}, {"id": "'),
+        pick(5, F.lit("x"), F.lit("y")), F.lit('", "origin": "automatic", "start_sample": '),
+        pick(4, F.lit("499"), F.lit("500")), F.lit(', "end_sample": '), text(long), F.lit("}]}"),
+        pick(6, F.lit(" []"), F.lit("")),
+    ]
+    return t.orders.select("o_orderkey", F.concat(*parts).alias("text"))
+
+
+@query(
+    "validate_documents",
+    """SELECT o_orderkey, CASE o_orderkey % 8 WHEN 1 THEN 'invalid_value' WHEN 2 THEN 'event_outside_track'
+              WHEN 3 THEN 'events_unordered' WHEN 4 THEN 'sections_overlap' WHEN 5 THEN 'duplicate_section'
+              WHEN 6 THEN 'trailing_text' WHEN 7 THEN 'signal_outside_track' ELSE '' END AS reasons,
+              CASE WHEN o_orderkey % 8 = 1 THEN 'source.sample_rate' END AS path
+       FROM orders""",
+)
+def validate_documents(t):
+    checked = ar.check_artifacts(timeline_docs(t), "timeline", validate=True)
+    wrong = F.get(F.filter("problems", lambda p: p["code"] == "invalid_value"), F.lit(0))
+    return checked.select("o_orderkey", F.array_join("reasons", ",").alias("reasons"), wrong["path"].alias("path"))
+
+
 @query(
     "field_drift",
     """SELECT 'extra' AS field, FALSE AS in_schema, count(*) AS documents FROM orders WHERE o_orderkey % 7 = 0""",

@@ -4,92 +4,51 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from trackloom.functions.blocks import int_div
 from trackloom.sources.schemas import VERSION, schema
+from trackloom.sources.strict import problems
+from trackloom.sources.validation import violations
 
 
-def _tag(kind: str, path: str, names: Column) -> Column:
-    return F.transform(names, lambda n: F.concat(F.lit(f"{kind}:{path}"), n))
+def check_artifacts(documents: DataFrame, kind: str, validate: bool = False) -> DataFrame:
+    """Add ``artifact`` (parsed), ``problems`` and ``reasons`` (empty when the document is accepted).
 
-
-def _problems(text: Column, struct: T.StructType, path: str = "") -> Column:
-    """Unknown, missing and repeated keys of a JSON object and of the objects inside it."""
-    keys = F.coalesce(F.json_object_keys(text), F.array().cast("array<string>"))
-    names = F.array(*[F.lit(f.name) for f in struct.fields])
-    needed = F.array(*[F.lit(f.name) for f in struct.fields if not f.nullable]).cast(
-        "array<string>"
-    )
-    found = [
-        _tag("unknown", path, F.array_except(keys, names)),
-        _tag("missing", path, F.array_except(needed, keys)),
-        F.when(
-            F.size(keys) != F.size(F.array_distinct(keys)), F.array(F.lit(f"duplicate:{path}"))
-        ).otherwise(F.array().cast("array<string>")),
-    ]
-    for field in struct.fields:
-        child = F.get_json_object(text, f"$.{field.name}")
-        kind, inner = field.dataType, f"{path}{field.name}"
-        if isinstance(kind, T.StructType):
-            found.append(
-                F.when(child.isNotNull(), _problems(child, kind, f"{inner}.")).otherwise(
-                    F.array().cast("array<string>")
-                )
-            )
-        elif isinstance(kind, (T.ArrayType, T.MapType)):
-            item = kind.elementType if isinstance(kind, T.ArrayType) else kind.valueType
-            if isinstance(item, T.StructType):
-                shape = "array<string>" if isinstance(kind, T.ArrayType) else "map<string,string>"
-                items = F.from_json(child, shape)
-                items = items if isinstance(kind, T.ArrayType) else F.map_values(items)
-                nested = F.flatten(F.transform(items, _item_problems(item, f"{inner}[].")))
-                found.append(F.coalesce(nested, F.array().cast("array<string>")))
-    return F.concat(*found)
-
-
-def _item_problems(struct: T.StructType, path: str):
-    return lambda text: _problems(text, struct, path)
-
-
-def check_artifacts(documents: DataFrame, kind: str) -> DataFrame:
-    """Add ``artifact`` (parsed) and ``reasons`` (empty when the document is accepted)."""
+    Every value is tested against its declared JSON type, at any depth; repeated keys, numbers
+    that are not finite and text after the document are found too. ``problems`` has the code,
+    path and JSON type of each; ``reasons`` the codes, with the path where keys are concerned.
+    With ``validate`` a document that is well formed is also tested against the rules of its kind.
+    """
     shape = schema(kind)
-    parsed = F.from_json(
-        "text",
-        T.StructType([*shape.fields, T.StructField("_corrupt", T.StringType())]),
-        {"columnNameOfCorruptRecord": "_corrupt", "allowNonNumericNumbers": "false"},
+    reason = lambda p: F.when(
+        p["code"].isin("unknown", "missing", "duplicate"), F.concat(p["code"], F.lit(":"), p["path"])
+    ).otherwise(p["code"])
+    checked = documents.withColumn("problems", problems(F.col("text"), shape)).withColumn(
+        "artifact", F.from_json("text", shape)
     )
-    root = F.regexp_replace("text", r"^\s+", "").startswith("{")
-    corrupt = F.col("_parsed").isNull() | F.col("_parsed._corrupt").isNotNull()
-    one = lambda code: F.array(F.lit(code))
     none = F.array().cast("array<string>")
-    version = F.col("_parsed.schema_version")
-    reasons = F.when(~root, one("root_not_object")).otherwise(
-        F.concat(
-            F.when(corrupt, one("invalid_value")).otherwise(none),
-            F.when(
-                ~corrupt & ~version.eqNullSafe(F.lit(VERSION)), one("wrong_version")
-            ).otherwise(none),
-            _problems(F.col("text"), shape),
-        )
-    )
-    return (
-        documents.withColumn("_parsed", parsed)
-        .withColumn("reasons", F.array_sort(F.array_distinct(reasons)))
-        .withColumn("artifact", F.struct(*[F.col(f"_parsed.{n}").alias(n) for n in shape.names]))
-        .drop("_parsed")
+    version = F.when(
+        ~F.exists("problems", lambda p: p["code"].isin("invalid_json", "root_not_object"))
+        & F.col("artifact.schema_version").isNotNull()
+        & (F.col("artifact.schema_version") != VERSION),
+        F.array(F.lit("wrong_version")),
+    ).otherwise(none)
+    rules = F.when(F.size("problems") == 0, violations("artifact", kind, shape)).otherwise(none) if validate else none
+    return checked.withColumn(
+        "reasons", F.array_sort(F.array_distinct(F.concat(F.transform("problems", reason), version, rules)))
     )
 
 
-def read_artifacts(spark: SparkSession, path: str, kind: str) -> tuple[DataFrame, DataFrame]:
+def read_artifacts(
+    spark: SparkSession, path: str, kind: str, validate: bool = True
+) -> tuple[DataFrame, DataFrame]:
     """(good, rejects) of all JSON files under a folder; one file is one document."""
     documents = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")
     )
-    checked = check_artifacts(documents, kind)
+    checked = check_artifacts(documents, kind, validate)
     good = checked.where(F.size("reasons") == 0).select("path", "artifact.*")
     return good, checked.where(F.size("reasons") > 0).select("path", "text", "reasons")
 
