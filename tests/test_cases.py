@@ -498,6 +498,34 @@ def test_documents_are_walked_to_any_depth(spark):
     assert [tuple(p) for p in odd.problems] == [("invalid_value", "source.sample_rate", "string")]
 
 
+def test_ranges_out_of_list_order(spark):
+    df = table(spark, [(1, 0, 0, 10), (1, 1, 20, 30), (1, 2, 10, 20), (2, 0, 0, 5), (2, 1, 5, 9)],
+               "track_id long, place long, start_sample long, end_sample long")
+    assert ru.ordered_ranges(df, KEY, 100).count() == 0
+    assert [tuple(r) for r in ru.ordered_ranges(df, KEY, 1, "place").collect()] == [("overlapping_range", 1, 10, "30")]
+
+
+def test_every_hop_has_a_frame(spark):
+    samples = table(spark, [(1, 0, 2.0), (1, 40, 4.0)], "track_id long, sample long, value double")
+    lengths = table(spark, [(1, 55), (2, 20)], "track_id long, duration_samples long")
+    got = {(r.track_id, r.idx): r.value for r in sg.hop_rms(samples, KEY, 10, 20, lengths=lengths).collect()}
+    assert set(got) == {(1, i) for i in range(6)} | {(2, 0), (2, 1)}
+    assert {k: x for k, x in got.items() if x} == {(1, 0): (4 / 20) ** 0.5, (1, 3): (16 / 20) ** 0.5, (1, 4): (16 / 20) ** 0.5}
+
+
+def test_drift_inside_documents(spark):
+    good = GOOD["timeline"]
+    odd = copy.deepcopy(good)
+    odd["events"][0]["sample"] = "5"
+    odd["signals"]["mix.rms"]["gain"] = {"db": [1, None]}
+    docs = table(spark, [(json.dumps(d),) for d in (good, odd, odd)] + [("[]",), (None,)], "text string")
+    got = {(r.path, r.found, r.current_type): r.documents for r in sc.nested_drift(docs, "timeline").collect()}
+    assert got == {
+        ("events[].sample", "string", "bigint"): 2, ("signals{}.gain.db[]", "integer", None): 2,
+        ("signals{}.gain.db[]", "null", None): 2,
+    }
+
+
 def test_schema_drift(spark):
     stored = spark.createDataFrame([], "schema_version string, ranges array<struct<id:long>>")
     got = {r.path for r in sc.schema_drift(spark, stored.schema, "preview").collect()}

@@ -27,17 +27,19 @@ def unique_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return violations(counts, "unique_key", keys, F.col("_n") > 1, F.col("_n"))
 
 
-def _with_before(df: DataFrame, keys: Sequence[str], block: int) -> DataFrame:
-    return neighbour(
-        df, keys, ["start_sample", "end_sample"], int_div("start_sample", block), ["end_sample"],
-        "_before", -1,
-    )
+def _with_before(df: DataFrame, keys: Sequence[str], block: int, index: str | None = None) -> DataFrame:
+    order = ["start_sample", "end_sample"] if index is None else [index]
+    return neighbour(df, keys, order, int_div(order[0], block), ["end_sample"], "_before", -1)
+
 
+def ordered_ranges(df: DataFrame, keys: Sequence[str], block: int, index: str | None = None) -> DataFrame:
+    """Ranges of a parent must not overlap.
 
-def ordered_ranges(df: DataFrame, keys: Sequence[str], block: int) -> DataFrame:
-    """Ranges of a parent must not overlap."""
+    With ``index``, the place of a range in its list, each range must also lie behind the
+    one before it in the list, so ranges out of order are violations too.
+    """
     return violations(
-        _with_before(df, keys, block), "overlapping_range", [*keys, "start_sample"],
+        _with_before(df, keys, block, index), "overlapping_range", [*keys, "start_sample"],
         F.col("_before.end_sample") > F.col("start_sample"), F.col("_before.end_sample"),
     )
 

@@ -49,26 +49,34 @@ def frame_hops(
 
 
 def hop_rms(
-    samples: DataFrame, keys: Sequence[str], hop: int, frame: int, position: str = "sample"
+    samples: DataFrame,
+    keys: Sequence[str],
+    hop: int,
+    frame: int,
+    position: str = "sample",
+    lengths: DataFrame | None = None,
 ) -> DataFrame:
-    """RMS of each frame of ``frame`` samples, one frame per hop, zero-padded tail.
+    """RMS of each frame of ``frame`` samples, zero-padded tail.
 
     A sample adds its square to each frame that holds it, so one aggregation with
-    map-side combine does the framing; no window and no second shuffle.
+    map-side combine does the framing; no window and no second shuffle. With ``lengths``
+    (one ``duration_samples`` per key) there is one frame per hop, those without samples
+    being 0; without, only frames that hold samples have a row.
     """
     if frame % hop:
         raise ValueError("frame must be a multiple of hop")
     last = int_div(position, hop)
     first = F.greatest(F.lit(0).cast("long"), last - (frame // hop - 1))
-    return (
-        samples.select(
-            *keys,
-            F.explode(F.sequence(first, last)).alias("idx"),
-            (F.col("value") * F.col("value")).alias("_square"),
-        )
-        .groupBy(*keys, "idx")
-        .agg(F.sqrt(F.sum("_square") / frame).alias("value"))
+    squares = samples.select(
+        *keys,
+        F.explode(F.sequence(first, last)).alias("idx"),
+        (F.col("value") * F.col("value")).cast("double").alias("_square"),
     )
+    if lengths is not None:
+        hops = int_div(F.col("duration_samples") + (hop - 1), hop)
+        every = explode_range(lengths.select(*keys, "duration_samples"), F.lit(0), hops, "idx")
+        squares = squares.unionByName(every.select(*keys, "idx", F.lit(0.0).alias("_square")))
+    return squares.groupBy(*keys, "idx").agg(F.sqrt(F.sum("_square") / frame).alias("value"))
 
 
 def finite(value: Column) -> Column:

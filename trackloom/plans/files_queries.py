@@ -104,6 +104,18 @@ def field_drift(t):
     return sc.field_drift(preview_docs(t), "preview")
 
 
+@query(
+    "nested_drift",
+    """SELECT 'extra' AS path, 'integer' AS found, NULL AS current_type, count(*) AS documents
+       FROM orders WHERE o_orderkey % 7 = 0
+       UNION ALL SELECT 'ranges[].colour', 'integer', NULL, count(*) FROM orders WHERE o_orderkey % 7 = 4
+       UNION ALL SELECT 'ranges[].start_sample', 'string', 'bigint', count(*) FROM orders WHERE o_orderkey % 7 = 5
+       UNION ALL SELECT unnest(['ranges[].label', 'ranges[].role']), NULL, 'string', 0""",
+)
+def nested_drift(t):
+    return sc.nested_drift(preview_docs(t), "preview")
+
+
 def pages(t):
     return ar.assemble_timeline(
         v.signals(t), v.events(t), v.sections(t), KEY, v.HOP, v.HOP_BLOCK

@@ -45,6 +45,24 @@ def ordered_ranges(t):
     return ru.ordered_ranges(uncut(t), KEY, EB)
 
 
+@query(
+    "rule_range_list_order",
+    """SELECT 'overlapping_range' AS rule, o_custkey, start_sample, CAST(before AS VARCHAR) AS detail
+       FROM (SELECT o_custkey, s AS start_sample,
+                    lag(s + o_orderkey % 50 + 1) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before
+             FROM (SELECT o_custkey, o_orderkey, CAST(datediff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS s
+                   FROM orders))
+       WHERE before > start_sample""",
+)
+def range_list_order(t):
+    """Orders of a customer as a list of ranges of days: those out of order overlap the one before."""
+    start = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    ranges = t.orders.select(
+        "o_custkey", "o_orderkey", start.alias("start_sample"), (start + F.col("o_orderkey") % 50 + 1).alias("end_sample")
+    )
+    return ru.ordered_ranges(ranges, ["o_custkey"], 4096, "o_orderkey")
+
+
 @query(
     "rule_contiguous_ranges",
     f"""WITH {v.EV}, {v.SEC}

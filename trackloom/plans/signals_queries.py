@@ -47,6 +47,22 @@ def hop_rms(t):
     return _round(sg.hop_rms(samples, KEY, 4, 8), "value")
 
 
+@query(
+    "hop_rms_frames",
+    f"""WITH {v.EV}, {v.SIG}, s AS (
+          SELECT track_id, idx * 11 // 4 AS h, sum(value * value) AS sq FROM sig GROUP BY 1, 2),
+        g AS (SELECT DISTINCT track_id, unnest(range(({v.HOPS} * 11 + 3) // 4)) AS idx FROM sig)
+        SELECT g.track_id, g.idx, round(sqrt((coalesce(a.sq, 0) + coalesce(b.sq, 0)) / 8), 6) AS value
+        FROM g LEFT JOIN s a ON a.track_id = g.track_id AND a.h = g.idx
+               LEFT JOIN s b ON b.track_id = g.track_id AND b.h = g.idx + 1""",
+)
+def hop_rms_frames(t):
+    """Samples farther apart than a frame: the frames between them are there, as zeros."""
+    samples = v.signals(t).select("track_id", (F.col("idx") * 11).alias("sample"), "value")
+    lengths = v.tracks(t).select("track_id", v.long(v.HOPS * 11).alias("duration_samples"))
+    return _round(sg.hop_rms(samples, KEY, 4, 8, lengths=lengths), "value")
+
+
 @query(
     "normalize_signals",
     f"""WITH {v.EV}, {v.BANDS}, m AS (

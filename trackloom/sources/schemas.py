@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trackloom.sources.strict import fields_of
+
 VERSION = "0.1"
 
 # Field names and types of the stored documents.
@@ -200,3 +202,34 @@ def field_drift(documents: DataFrame, kind: str) -> DataFrame:
         .withColumn("documents", F.coalesce("documents", F.lit(0).cast("long")))
         .where("not in_schema or documents = 0")
     )
+
+
+# JSON types that a stored value of each declared type may have.
+JSON_TYPES = {"string": ("string",), "bigint": ("integer",), "double": ("integer", "number"), "boolean": ("boolean",)}
+
+
+def nested_drift(documents: DataFrame, kind: str) -> DataFrame:
+    """path, found, current_type, documents: leaves of stored JSON text, at any depth, that the schema does not have so.
+
+    Every document gives its distinct (path, JSON type) pairs; these are counted with a
+    map-side combine, so what is moved grows with the different paths and not with the
+    documents. A null fits every type; values of free maps are one leaf. Paths of the schema
+    that no document has come with ``found`` null and 0 documents.
+    """
+    shape = schema(kind)
+    leaves = flat_fields(shape)
+    free = {p for p, t in leaves if p.endswith("{}") and t == "string"}
+    want = documents.sparkSession.createDataFrame(
+        [(p, t, list(("free",) if p in free else JSON_TYPES[t])) for p, t in leaves],
+        "path string, current_type string, allowed array<string>",
+    )
+    seen = (
+        documents.select(F.explode(fields_of(F.col("text"), shape)).alias("f"))
+        .groupBy("f.path", "f.found")
+        .agg(F.count("*").alias("documents"))
+    )
+    return (
+        seen.join(want, "path", "full")
+        .where("allowed is null or found is null or (found <> 'null' and not array_contains(allowed, found))")
+        .select("path", "found", "current_type", F.coalesce("documents", F.lit(0)).cast("long").alias("documents"))
+    )
