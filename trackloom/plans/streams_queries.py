@@ -46,6 +46,23 @@ def hop_rms_stream(t):
     )
 
 
+@query(
+    "hop_rms_flushed",
+    f"""SELECT user_id, CAST((epoch_us(ts) // {v.HOP} - k) * {v.HOP} AS BIGINT) AS window_start,
+               round(sqrt(avg(round(value * 100, 0) * round(value * 100, 0))), 6) AS rms
+        FROM events, (SELECT unnest([0, 1]) AS k) GROUP BY 1, 2""",
+)
+def hop_rms_flushed(t):
+    """All windows of the table: closed ones from the stream, open ones from its state."""
+    stream = hops.hop_rms_stream(
+        event_stream(t), "user_id", "ts", "value", "12 hours", "6 hours", "1 hour"
+    )
+    return hops.hop_rms_to_end(stream, folder(t, "rms"), "user_id").select(
+        "user_id", F.unix_micros("window_start").alias("window_start"),
+        F.round("rms", 6).alias("rms"),
+    )
+
+
 @query(
     "smooth_stream",
     f"""WITH RECURSIVE e AS (

@@ -29,6 +29,29 @@ def hop_rms_stream(
     )
 
 
+def open_windows(spark: SparkSession, folder: str, key: str) -> DataFrame:
+    """RMS of the windows that a run of :func:`hop_rms_stream` into ``folder`` has left open in its state.
+
+    Read from the checkpoint by Spark's state reader, so the stream itself is not touched
+    and goes on from there when more events come.
+    """
+    state = spark.read.format("statestore").load(f"{folder}/checkpoint")
+    window = F.col("key.window")
+    return state.select(
+        F.col(f"key.{key}").alias(key), window["start"].alias("window_start"), window["end"].alias("window_end"),
+        F.sqrt(F.col("value.sum") / F.col("value.count")).alias("rms"),
+    )
+
+
+def hop_rms_to_end(stream: DataFrame, folder: str, key: str) -> DataFrame:
+    """All windows of a bounded stream: those closed by the watermark and those still open at its end.
+
+    ``stream`` is a :func:`hop_rms_stream`. Equal to the batch result where no row came
+    later than the watermark allows.
+    """
+    return run_available(stream, folder).unionByName(open_windows(stream.sparkSession, folder, key))
+
+
 def smooth_stream(
     events: DataFrame, key: str, order: str, value: str, delta_seconds: float,
     attack_seconds: float, release_seconds: float,
