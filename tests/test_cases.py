@@ -543,6 +543,37 @@ def test_stream_and_its_open_windows_equal_the_batch(spark, tmp_path):
         assert found(so_far) == found(streams.hop_rms_stream(here, *args))
 
 
+def test_reference_points_must_be_points(spark):
+    """A repeated line, a negative start or no start: no figures, and the reason."""
+    lines = table(spark, [(k, i, 1000 * i) for k in range(4) for i in range(12)], "track_id long, line long, start_sample long")
+    refs = [(k, i, 1000 * i + 10) for k in range(4) for i in range(12)]
+    refs += [(1, 3, 5)]
+    refs = [(k, i, -1 if (k, i) == (2, 4) else None if (k, i) == (3, 4) else s) for k, i, s in refs]
+    out = ly.evaluate(lines, table(spark, refs, "track_id long, line long, reference_sample long"), KEY)
+    got = {r.track_id: (r.reason, r.passed, r.median_absolute_error_samples) for r in out.collect()}
+    bad = ("invalid_reference_points", False, None)
+    assert got == {0: (None, True, 10), 1: bad, 2: bad, 3: bad}
+
+
+def test_each_signal_has_its_own_clock(spark):
+    signals = table(spark, [(k, i, float(i * i)) for k in (1, 2) for i in range(4)], "track_id long, idx long, value double")
+    clocks = table(spark, [(1, 0, 10), (2, 100, 20)], "track_id long, start_sample long, hop_samples long")
+    points = table(spark, [(k, s) for k in (1, 2) for s in (0, 15, 110, 150, 900)], "track_id long, sample long")
+    got = {(r.track_id, r.sample): r.level for r in sg.sample_signal(signals, points, KEY, 10, 2, clocks=clocks).collect()}
+    assert [got[1, s] for s in (0, 15, 110, 150, 900)] == [0.0, 2.5, 9.0, 9.0, 9.0]
+    assert [got[2, s] for s in (0, 15, 110, 150, 900)] == [0.0, 0.0, 0.5, 6.5, 9.0]
+    steps = {(r.track_id, r.sample): r.novelty for r in sg.diff_novelty(signals, KEY, 10, 2, clocks=clocks).collect()}
+    assert steps == {(1, 10): 1.0, (1, 20): 3.0, (1, 30): 5.0, (2, 120): 1.0, (2, 140): 3.0, (2, 160): 5.0}
+
+
+def test_frame_counts_are_compared(spark):
+    stamps = table(spark, [(k, i * 3003) for k in (1, 2) for i in range(3)], "track_id long, timestamp long")
+    probes = table(spark, [(1, 3), (2, 4), (3, 1)], "track_id long, frame_count long").selectExpr(
+        "*", "30000L fps_num", "1001L fps_den", "30000L avg_fps_num", "1001L avg_fps_den", "1L tb_num", "90000L tb_den")
+    out = ru.constant_rate(stamps, probes, KEY, 10_000).collect()
+    assert sorted((r.rule, r.track_id, r.detail) for r in out) == [("frame_count", 2, "3"), ("frame_count", 3, "0")]
+
+
 def test_schema_drift(spark):
     stored = spark.createDataFrame([], "schema_version string, ranges array<struct<id:long>>")
     got = {r.path for r in sc.schema_drift(spark, stored.schema, "preview").collect()}

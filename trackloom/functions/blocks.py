@@ -257,7 +257,7 @@ def blocked_fold(
     entry_type: str,
     run: Callable,
     run_fields: str,
-    limits: DataFrame | None = None,
+    limits: Callable[[DataFrame], DataFrame] | None = None,
     fan: int = FAN,
 ) -> DataFrame:
     """Run a sequential automaton over blocks that are packed as one row each.
@@ -269,7 +269,7 @@ def blocked_fold(
     ``fan`` blocks or groups of blocks at most, however long the track is.
 
     * ``effects(batch)``: one tuple for each row of a pandas batch of ``packed``
-      (with the columns of ``limits``, which has one row per key);
+      (with the columns of ``limits(packed)``, which has one row per key);
     * ``compose(left, right)``: the fields of two neighbours taken together;
     * ``step(state, before, link)``: (state on entry, state afterwards), where ``before``
       is the last block ahead of the link; state and ``before`` are None at the start;
@@ -340,7 +340,7 @@ def blocked_fold(
 
     packed = materialize(packed)
     count = (packed.agg(F.max("_block")).first()[0] or 0) + 1
-    source = packed if limits is None else salted_join(packed, limits, keys, "left")
+    source = packed if limits is None else salted_join(packed, limits(packed), keys, "left")
     levels = [materialize(source.mapInPandas(leaves, link_ddl))]
     while count > fan:
         levels.append(materialize(groups(levels[-1], fan).mapInPandas(merged, link_ddl)))

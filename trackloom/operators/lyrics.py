@@ -434,23 +434,31 @@ def evaluate(
     """Absolute start errors against reference points, with the fixed pass gates.
 
     ``lines``: keys, line, start_sample (null when unmatched);
-    ``references``: keys, line, reference_sample.
+    ``references``: keys, line, reference_sample. A track whose reference points repeat a
+    line, or start before 0 or nowhere, is not evaluated and says so.
     """
     keys = list(keys)
-    rows = references.join(lines.select(*keys, "line", "start_sample"), [*keys, "line"], "left")
+    points = references.groupBy(*keys, "line").agg(
+        F.count("*").alias("_points"), F.min("reference_sample").alias("reference_sample"),
+        F.max(F.coalesce(F.col("reference_sample") < 0, F.lit(True)) | F.col("line").isNull()).alias("_bad"),
+    )
+    rows = points.join(lines.select(*keys, "line", "start_sample"), [*keys, "line"], "left")
     errors = rows.where("start_sample is not null").select(
         *keys, F.abs(F.col("start_sample") - F.col("reference_sample")).alias("_error")
     )
     counts = rows.groupBy(*keys).agg(
-        F.count("*").alias("reference_points"),
-        F.count_if(F.col("start_sample").isNull()).alias("unmatched_reference_points"),
+        F.sum("_points").alias("reference_points"),
+        F.coalesce(F.sum(F.when(F.col("start_sample").isNull(), F.col("_points"))), F.lit(0)).alias(
+            "unmatched_reference_points"
+        ),
+        F.max((F.col("_points") > 1) | F.col("_bad")).alias("_invalid"),
     )
     out = counts.join(rank_values(errors, keys, "_error", block), keys, "left")
     passed = (
         (F.col("unmatched_reference_points") == 0)
         & (F.col("median") <= GATE_MEDIAN) & (F.col("p90") <= GATE_P90)
     )
-    reason = F.when(
+    reason = F.when(F.col("_invalid"), "invalid_reference_points").when(
         F.col("reference_points") < MIN_REFERENCES, "too_few_reference_points"
     ).when(F.col("count").isNull(), "no_matched_reference_point")
     return out.select(
@@ -459,9 +467,9 @@ def evaluate(
             "matched_reference_points"
         ),
         "unmatched_reference_points",
-        F.col("median").alias("median_absolute_error_samples"),
-        F.col("p90").alias("p90_absolute_error_samples"),
-        F.coalesce(passed, F.lit(False)).alias("passed"),
+        F.when(~F.col("_invalid"), F.col("median")).alias("median_absolute_error_samples"),
+        F.when(~F.col("_invalid"), F.col("p90")).alias("p90_absolute_error_samples"),
+        F.coalesce(passed & ~F.col("_invalid"), F.lit(False)).alias("passed"),
         reason.alias("reason"),
     )
 

@@ -509,7 +509,7 @@ def smooth(
             F.col("_items.frame").alias("_frames"), F.col("_items.target").alias("_targets"),
         )
     )
-    limits = packed.groupBy(*keys).agg(
+    limits = lambda blocks: blocks.groupBy(*keys).agg(
         F.min(F.array_min("_targets")).alias("_lo"), F.max(F.array_max("_targets")).alias("_hi")
     )
     return blocked_fold(
@@ -539,15 +539,12 @@ def route_values(
     seconds = lambda name: F.coalesce(F.col("params")[name], F.lit(0.0)).alias(name)
     smoothed = smooth(
         rows.where("transform = 'smooth'").select(
-            *keys, "route_idx", "frame", "target",
+            *keys, "route_idx", *names, "frame", "target",
             seconds("attack_seconds"), seconds("release_seconds"),
         ),
-        [*keys, "route_idx"], delta_seconds, block,
+        [*keys, "route_idx", *names], delta_seconds, block,
     )
-    labelled = salted_join(
-        smoothed, routes.select(*keys, "route_idx", *names), [*keys, "route_idx"]
-    )
-    return plain.unionByName(labelled)
+    return plain.unionByName(smoothed)
 
 
 def dedupe_routes(values: DataFrame, keys: Sequence[str]) -> DataFrame:

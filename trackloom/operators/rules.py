@@ -222,7 +222,8 @@ def constant_rate(
     """Declared rate equals the average rate, and each frame is within one tick of i / fps.
 
     All in whole numbers: |t * tb_num * num - i * den * tb_den| <= tb_num * num.
-    ``stamps``: keys, timestamp. ``probes``: keys, fps_*, avg_fps_*, tb_num, tb_den.
+    ``stamps``: keys, timestamp. ``probes``: keys, fps_*, avg_fps_*, tb_num, tb_den and,
+    where it is to be compared with the number of timestamps, frame_count.
     """
     keys = list(keys)
     declared = violations(
@@ -242,7 +243,13 @@ def constant_rate(
     drift = violations(
         rows, "frame_off_grid", keys, off > wide("tb_num") * wide("fps_num"), F.col("_i")
     )
-    return declared.unionByName(drift)
+    out = declared.unionByName(drift)
+    if "frame_count" in probes.columns:
+        counts = stamps.groupBy(*keys).agg(F.count("*").alias("_stamps"))
+        both = probes.select(*keys, "frame_count").join(counts, keys, "left")
+        number = F.coalesce("_stamps", F.lit(0))
+        out = out.unionByName(violations(both, "frame_count", keys, number != F.col("frame_count"), number))
+    return out
 
 
 def same_identity_set(

@@ -333,42 +333,69 @@ def sample_signal(
     start: int = 0,
     at: str = "sample",
     name: str = "level",
+    clocks: DataFrame | None = None,
 ) -> DataFrame:
     """Linear value of a signal at each point, held at both ends.
 
     On a regular hop the as-of partner is computed, so this is an equi-join on
-    ``(keys, idx)``. ``signals`` holds dense ``idx`` from 0.
+    ``(keys, idx)``. ``signals`` holds dense ``idx`` from 0. ``clocks`` gives each key a
+    ``start_sample`` and ``hop_samples`` of its own in place of ``start`` and ``hop``.
     """
     rows = with_halo(signals.select(*keys, "idx", "value"), "idx", block, after=1)
     w = halo_window(keys, "idx")
     pairs = home_rows(rows.withColumn("_next", F.lead("value").over(w))).withColumnsRenamed(
         {"idx": "_left", "value": "_value"}
     )
-    last = signals.groupBy(*keys).agg(F.max("idx").alias("_last"))
-    place = F.greatest(F.lit(0.0), (F.col(at) - start) / F.lit(float(hop)))
+    last = _with_clock(signals.groupBy(*keys).agg(F.max("idx").alias("_last")), keys, start, hop, clocks)
+    place = F.greatest(F.lit(0.0), (F.col(at) - F.col("_start")) / F.col("_hop").cast("double"))
     looked = (
-        salted_join(points.withColumn("_place", place), last, keys)
+        salted_join(points, last, keys)
+        .withColumn("_place", place)
         .withColumn("_left", F.least(F.floor("_place").cast("long"), F.col("_last")))
         .join(pairs, [*keys, "_left"], "left")
     )
     value = F.col("_value") + F.when(
         F.col("_next").isNull(), 0.0
     ).otherwise((F.col("_next") - F.col("_value")) * (F.col("_place") - F.col("_left")))
-    return looked.withColumn(name, value).drop("_place", "_last", "_left", "_value", "_next")
+    return looked.withColumn(name, value).drop(
+        "_place", "_last", "_left", "_value", "_next", "_start", "_hop"
+    )
+
+
+def _with_clock(
+    per_key: DataFrame, keys: Sequence[str], start: int, hop: int, clocks: DataFrame | None
+) -> DataFrame:
+    """Add ``_start`` and ``_hop`` to one row per key: those of ``clocks``, or the same for all."""
+    if clocks is None:
+        return per_key.withColumns({"_start": F.lit(start).cast("long"), "_hop": F.lit(hop).cast("long")})
+    own = clocks.select(*keys, F.col("start_sample").alias("_start"), F.col("hop_samples").alias("_hop"))
+    return per_key.join(own, list(keys))
 
 
-def diff_novelty(signals: DataFrame, keys: Sequence[str], hop: int, block: int) -> DataFrame:
-    """|first difference| of a signal, with mean + one population deviation as threshold."""
+def diff_novelty(
+    signals: DataFrame,
+    keys: Sequence[str],
+    hop: int,
+    block: int,
+    start: int = 0,
+    clocks: DataFrame | None = None,
+) -> DataFrame:
+    """|first difference| of a signal, with mean + one population deviation as threshold.
+
+    ``clocks`` gives each key a ``start_sample`` and ``hop_samples`` of its own.
+    """
     rows = with_halo(signals, "idx", block, before=1)
     step = F.abs(F.col("value") - F.lag("value").over(halo_window(keys, "idx")))
     steps = home_rows(rows.withColumn("novelty", step)).where("novelty is not null").select(
-        *keys, "idx", (F.col("idx") * hop).alias("sample"), "novelty"
+        *keys, "idx", "novelty"
     )
     stats = steps.groupBy(*keys).agg(
         (F.avg("novelty") + F.stddev_pop("novelty")).alias("threshold"),
         F.max("novelty").alias("peak"),
     )
-    return salted_join(steps, stats, keys)
+    return salted_join(steps, _with_clock(stats, keys, start, hop, clocks), keys).select(
+        *keys, "idx", (F.col("_start") + F.col("idx") * F.col("_hop")).alias("sample"), "novelty", "threshold", "peak"
+    )
 
 
 def length_plan(lengths: DataFrame) -> DataFrame:

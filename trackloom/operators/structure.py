@@ -577,17 +577,36 @@ def selection_policy(
     return refused if policy == "require-empty" else refused.where(F.lit(False))
 
 
+def incomplete_selections(choices: DataFrame, tracks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Tracks whose selected sections do not reach from 0 to the end of the track, with the reason."""
+    edges = choices.groupBy(*keys).agg(
+        F.min("start_sample").alias("_first"), F.max("end_sample").alias("_last")
+    )
+    rows = edges.join(tracks.select(*keys, "duration_samples"), list(keys))
+    return rows.where("_first != 0 or _last != duration_samples").select(
+        *keys, F.lit("structure_selection_incomplete").alias("reason")
+    )
+
+
 def auto_sections(
-    signals: DataFrame, tracks: DataFrame, keys: Sequence[str], hop: int, gap: int, block: int
+    signals: DataFrame,
+    tracks: DataFrame,
+    keys: Sequence[str],
+    hop: int,
+    gap: int,
+    block: int,
+    clocks: DataFrame | None = None,
 ) -> DataFrame:
     """At most 7 sections at the strongest changes that keep ``gap`` from each other and the ends.
 
+    With ``clocks`` (start_sample and hop_samples of each key) ``hop`` is the smallest hop of all.
+
     A pick blocks at most 2m-1 hops (m = ceil(gap / hop)), so the picks are among
     the first 5(2m-1)+1 candidates and only those reach one task.
     """
     keys = list(keys)
     lengths = tracks.select(*keys, "duration_samples")
-    steps = diff_novelty(signals, keys, hop, block)
+    steps = diff_novelty(signals, keys, hop, block, clocks=clocks)
     picks = MAX_AUTO_BOUNDARIES - 2
     keep = (picks - 1) * (2 * math.ceil(gap / hop) - 1) + 1
     rank = Window.partitionBy(*keys).orderBy(F.desc("_n"), F.desc("sample"))

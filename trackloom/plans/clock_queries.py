@@ -205,14 +205,13 @@ def seconds_to_range(t):
     "pulse_frames",
     f"""WITH {v.EV}, {v.TR}, p AS (
           SELECT DISTINCT track_id, (sample + {PER_FRAME - 1}) // {PER_FRAME} AS frame
-          FROM ev WHERE name = 'purchase' AND value > 6000)
+          FROM ev WHERE name = 'purchase')
         SELECT track_id, frame, NULL AS reason FROM p
         UNION ALL
         SELECT track_id, NULL, 'missing_pulse_event' FROM tr
         WHERE track_id NOT IN (SELECT track_id FROM p)""",
 )
 def pulse_frames(t):
-    strong = v.events(t).where("value > 6000")
     return clock.pulse_frames(
-        strong, "purchase", v.RATE, v.FPS_NUM, v.FPS_DEN, v.tracks(t)
+        v.events(t), "purchase", v.RATE, v.FPS_NUM, v.FPS_DEN, v.tracks(t)
     )

@@ -315,6 +315,26 @@ def constant_rate(t):
     return ru.constant_rate(stamps, probes, KEY, 3003 * 4)
 
 
+@query(
+    "rule_frame_count",
+    """SELECT 'frame_count' AS rule, conv_id AS track_id, CAST(count(*) AS VARCHAR) AS detail
+       FROM conversations WHERE conv_id % 11 = 0 GROUP BY 2""",
+)
+def frame_count(t):
+    """Probes of every eleventh conversation declare one frame more than there are timestamps."""
+    conv = F.col("conv_id")
+    stamps = t.conversations.select(conv.alias("track_id"), (F.col("turn") * 3003).alias("timestamp"))
+    probes = t.conversations.groupBy(conv.alias("track_id")).agg(
+        (F.count("*") + F.when(F.col("track_id") % 11 == 0, 1).otherwise(0)).alias("frame_count")
+    ).withColumns(
+        {
+            "fps_num": F.lit(30_000), "fps_den": F.lit(1_001), "avg_fps_num": F.lit(30_000),
+            "avg_fps_den": F.lit(1_001), "tb_num": F.lit(1), "tb_den": F.lit(90_000),
+        }
+    )
+    return ru.constant_rate(stamps, probes, KEY, 3003 * 4)
+
+
 @query(
     "rule_same_identity_set",
     """WITH s AS (SELECT o_custkey, o_orderkey, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag)

@@ -240,6 +240,49 @@ def diff_novelty(t):
     return _round(out, "novelty", "threshold").select("track_id", "sample", "novelty", "threshold")
 
 
+def own_clocks(t):
+    """Starts and hops that differ by track."""
+    k = F.col("track_id")
+    return v.tracks(t).select(
+        k, (k % 5 * v.HOP + 7).alias("start_sample"), (F.lit(v.HOP).cast("long") * (1 + k % 2)).alias("hop_samples")
+    )
+
+
+CLOCKS = f"""ck AS (
+  SELECT DISTINCT track_id, track_id % 5 * {v.HOP} + 7 AS st, {v.HOP} * (1 + track_id % 2) AS hop FROM sig)"""
+
+
+@query(
+    "sample_signal_clocks",
+    f"""WITH {v.EV}, {v.SIG}, {CLOCKS}, m AS (SELECT track_id, max(idx) AS last FROM sig GROUP BY 1), e AS (
+          SELECT event_id, ev.track_id, greatest(0.0, (sample - st)::DOUBLE / hop::DOUBLE) AS place, last
+          FROM ev JOIN ck USING (track_id) JOIN m USING (track_id))
+        SELECT event_id, round(a.value + coalesce((b.value - a.value) * (place - a.idx), 0), 6) AS level
+        FROM e JOIN sig a ON a.track_id = e.track_id AND a.idx = least(floor(place)::BIGINT, last)
+        LEFT JOIN sig b ON b.track_id = e.track_id AND b.idx = least(floor(place)::BIGINT, last) + 1""",
+)
+def sample_signal_clocks(t):
+    out = sg.sample_signal(
+        t.shared("signals", v.signals), v.events(t), KEY, v.HOP, B, clocks=own_clocks(t)
+    )
+    return _round(out, "level").select("event_id", "level")
+
+
+@query(
+    "diff_novelty_clocks",
+    f"""WITH {v.EV}, {v.SIG}, {CLOCKS}, d AS (
+          SELECT track_id, idx, abs(value - lag(value) OVER (PARTITION BY track_id ORDER BY idx)) AS novelty
+          FROM sig), s AS (
+          SELECT track_id, avg(novelty) + stddev_pop(novelty) AS threshold FROM d GROUP BY 1)
+        SELECT d.track_id, st + idx * hop AS sample, round(novelty, 6) AS novelty
+        FROM d JOIN s ON d.track_id = s.track_id JOIN ck ON ck.track_id = d.track_id
+        WHERE novelty >= threshold""",
+)
+def diff_novelty_clocks(t):
+    out = sg.diff_novelty(v.signals(t), KEY, v.HOP, B, clocks=own_clocks(t)).where("novelty >= threshold")
+    return _round(out, "novelty").select("track_id", "sample", "novelty")
+
+
 LENGTHS = f"""lens AS (
   SELECT track_id, natural_samples, target_samples, target_samples - natural_samples AS delta_samples
   FROM (SELECT track_id, max(sample) + 1 AS natural_samples,

@@ -349,13 +349,24 @@ def apply_selection(t):
     "selection_policy",
     f"""WITH {v.EV}
         SELECT DISTINCT track_id FROM ev WHERE name = 'purchase'
-          AND track_id IN (SELECT track_id FROM ev WHERE name = 'signup' AND value > 6000)""",
+          AND track_id IN (SELECT track_id FROM ev WHERE name = 'signup')""",
 )
 def selection_policy(t):
-    existing = v.events(t).where("name = 'signup' and value > 6000")
+    existing = v.events(t).where("name = 'signup'")
     return st.selection_policy(v.beats(t), existing, KEY, "require-empty")
 
 
+@query(
+    "selection_complete",
+    f"""WITH {v.EV}, {v.SEC}, {v.TR}
+        SELECT track_id, 'structure_selection_incomplete' AS reason
+        FROM (SELECT track_id, min(start_sample) AS a, max(end_sample) AS b FROM sec GROUP BY 1)
+        JOIN tr USING (track_id) WHERE a <> 0 OR b <> {v.DURATION}""",
+)
+def selection_complete(t):
+    return st.incomplete_selections(v.sections(t), v.tracks(t), KEY)
+
+
 @query(
     "auto_sections",
     f"""WITH {v.EV}, {v.SIG}, d AS (
