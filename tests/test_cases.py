@@ -21,6 +21,7 @@ from trackloom.operators import tiles
 from trackloom.sources import artifacts as ar
 from trackloom.sources import files as fl
 from trackloom.sources import schemas as sc
+from trackloom.sources.tables import materialize
 from trackloom.streaming import hops as streams
 
 KEY = ["track_id"]
@@ -336,6 +337,19 @@ def test_stale_depth(spark):
     assert got == {"a": 0, "b": 1, "c": 1}
 
 
+def test_stale_holds_no_level_on_the_driver(spark, monkeypatch):
+    plans = []
+
+    def written(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialize(df)
+
+    monkeypatch.setattr(ln, "materialize", written)
+    edges = table(spark, [("b", "a"), ("c", "b")], "from_id string, to_id string")
+    assert ln.stale(edges, table(spark, [("a",)], "id string")).count() == 3
+    assert len(plans) == 4 and not any("BroadcastHashJoin" in p for p in plans)
+
+
 def test_reel_is_range_major(spark):
     rows = [(1, v, r, 30) for v in range(2) for r in range(2)]
     df = table(spark, rows, "track_id long, variant_idx long, range_idx long, frames long")

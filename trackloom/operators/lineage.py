@@ -104,7 +104,8 @@ def stale(edges: DataFrame, changed: DataFrame) -> DataFrame:
         front = level.select(F.col("id").alias("to_id"))
         reached = salted_join(edges, front, ["to_id"]).select(F.col("from_id").alias("id"))
         level = materialize(
-            reached.distinct().join(seen.select("id"), "id", "left_anti").withColumn(
+            # Ids compress well: a table under the broadcast limit may hold millions.
+            reached.distinct().join(seen.select("id").hint("merge"), "id", "left_anti").withColumn(
                 "depth", F.lit(depth)
             )
         )
