@@ -147,6 +147,29 @@ def test_similarity_equals_matrix(spark):
     assert got == {(i, j) for i in range(40) for j in range(i + 1, 40) if full[i, j] >= 0.9}
 
 
+def test_tiles_travel_in_groups(spark, monkeypatch):
+    """A tile is sent once to each group that it meets; groups of all sizes give the full matrix."""
+    tables = []
+
+    def written(df):
+        tables.append(materialize(df))
+        return tables[-1]
+
+    monkeypatch.setattr(st, "materialize", written)
+    monkeypatch.setattr(st, "TASK_CELLS", 48, raising=False)
+    data = np.random.default_rng(6).random((200, 5))
+    data /= np.linalg.norm(data, axis=1, keepdims=True)
+    rows = [(t, i, v.tolist(), 1.0) for t in (1, 2) for i, v in enumerate(data)]
+    df = spark.createDataFrame(rows, "track_id long, cell long, feature array<double>, energy double")
+    got = [(r.track_id, r.i, r.j) for r in st.self_similarity(df, KEY, 0.3, tile=6).collect()]
+    full = data @ data.T
+    assert sorted(got) == [(t, i, j) for t in (1, 2) for i in range(200) for j in range(i + 1, 200) if full[i, j] >= 0.3]
+    pairs = next(t for t in tables if "_group_a" in t.columns)
+    task = ["track_id", "_group_a", "_group_b"]
+    sent = pairs.select(*task, F.explode(F.array("_tile_a", "_tile_b")).alias("_tile")).distinct().count()
+    assert pairs.select(*task).distinct().count() > 20 and sent * 2 < pairs.count()
+
+
 def test_pivots_rule_out_most_tiles(spark):
     """Clusters scattered over the track, one of them a third of its cells: few tiles meet, no entry is lost."""
     rng = np.random.default_rng(8)
