@@ -256,6 +256,16 @@ def page(i, body):
     return (i, f"http://h.example/{i}", f"<html><body><nav><a>menu {i}</a></nav><p>Terms &amp; more</p>{body}<footer>f</footer></body></html>")
 
 
+def test_every_layout_of_a_host_votes():
+    """Twenty layouts on one host: the fixed line of each is template, however late the layout comes."""
+    page = lambda k, i: (
+        f'<div class="a{k}"><div class="b{k}"><p class="c{k}">Fixed line {k}</p></div><p class="d{k}">Story {k} {i}</p></div>'
+    )
+    pages = [page(k, i) for i in range(6) for k in range(20)]
+    got = html_extract.extract_block(html_extract.Wrapper(), pages)
+    assert got == [f"Story {k} {i}" for i in range(6) for k in range(20)]
+
+
 def test_html(spark):
     plain = [page(i, f"<div><p>text {i}<br>more&nbsp;&lt; {i * 7}</p><script>x('</p>')</script><p>second {i}</div>") for i in range(8)]
     odd = [(100, None, None), (101, "x", "<p>a</p>" * 300), (None, "y", "<article><h1>T</h1><p><b>A<br><p>B</article><aside>no</aside>")]

@@ -17,6 +17,7 @@ host. Repeated pages count once as evidence. Null ids are allowed.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -25,7 +26,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 128
-SEEDS = 8
 SAME_LAYOUT = 0.5
 CONSTANT = 0.9
 EVIDENCE = 4
@@ -247,28 +247,46 @@ def align(x: Node, y: Node) -> list[tuple[Node, Node]]:
     return out
 
 
+def _labels(root: Node) -> Counter:
+    """How many nodes of the tree have each label."""
+    out, todo = Counter(), [root]
+    while todo:
+        node = todo.pop()
+        out[node.label] += 1
+        todo.extend(node.kids)
+    return out
+
+
 class Wrapper:
-    """Seed pages of a host with the votes on their text slots."""
+    """A seed page of every layout of a host, with the votes on their text slots."""
 
     def __init__(self):
-        self.seeds: list[tuple[Node, dict[int, list[int]]]] = []
+        self.seeds: list[tuple[Node, Counter, dict[int, list[int]]]] = []
         self.seen: set[int] = set()
 
-    def vote(self, page: Node, known: bool) -> tuple[dict[int, list[int]] | None, list[tuple[Node, Node]]]:
-        """Align with the fitting seed; without one the page becomes a seed."""
-        for seed, votes in self.seeds:
-            if 2 * score(seed, page) >= SAME_LAYOUT * (seed.size + page.size):
+    def vote(self, page: Node, known: bool) -> tuple[dict[int, list[int]], list[tuple[Node, Node]]]:
+        """Align with the first seed that fits; without one the page becomes a seed.
+
+        Only nodes of one label are matched, so the labels that two trees share bound
+        their score from above: seeds of other layouts are passed over without matching.
+        """
+        labels = _labels(page)
+        for seed, own, votes in self.seeds:
+            least = SAME_LAYOUT * (seed.size + page.size) / 2
+            if (
+                min(seed.size, page.size) >= least
+                and sum(min(n, own[k]) for k, n in labels.items()) >= least
+                and score(seed, page) >= least
+            ):
                 pairs = align(seed, page)
                 if not known:
                     for a, b in pairs:
                         slot = votes.setdefault(a.number, [0, 0])
                         slot[a.text != b.text] += 1
                 return votes, pairs
-        if len(self.seeds) < SEEDS:
-            votes: dict[int, list[int]] = {}
-            self.seeds.append((page, votes))
-            return votes, [(leaf, leaf) for leaf in _leaves(page)]
-        return None, []
+        votes: dict[int, list[int]] = {}
+        self.seeds.append((page, labels, votes))
+        return votes, [(leaf, leaf) for leaf in _leaves(page)]
 
 
 def _leaves(root: Node) -> list[Node]:
