@@ -373,6 +373,15 @@ def test_stale_holds_no_level_on_the_driver(spark, monkeypatch):
     assert len(plans) == 4 and not any("BroadcastHashJoin" in p for p in plans)
 
 
+def test_variants_are_compared_without_copies(spark):
+    clips = table(spark, [(1, r, v, 30 + (v == 2)) for r in range(3) for v in range(3)],
+                  "track_id long, range_idx long, variant_idx long, frames long")
+    found = cp.compare_variants(clips, KEY, ["frames"])
+    assert sorted((r.range_idx, r.variant_idx, r.field) for r in found.collect()) == [(r, 2, "frames") for r in range(3)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" not in plan and "Generate explode(sequence" not in plan
+
+
 def test_reel_is_range_major(spark):
     rows = [(1, v, r, 30) for v in range(2) for r in range(2)]
     df = table(spark, rows, "track_id long, variant_idx long, range_idx long, frames long")

@@ -37,7 +37,8 @@ def compare_variants(
     wrong = F.array(
         *[F.when(~F.col(f).eqNullSafe(F.col(f"_first.{f}")), F.lit(f)) for f in fields]
     )
-    return salted_join(clips, first, group).select(
+    # A range has one row per variant: nothing to salt, and the copies would outweigh the clips.
+    return clips.join(first.hint("merge"), group).select(
         *group, "variant_idx", F.explode(F.filter(wrong, lambda c: c.isNotNull())).alias("field")
     )
 
