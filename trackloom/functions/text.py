@@ -17,6 +17,12 @@ LINE_BREAK = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
 WHITE = (
     r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
+#: The characters of ``WHITE`` themselves.
+WHITE_CHARS = "".join(
+    chr(c)
+    for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029,
+              0x202F, 0x205F, 0x3000)
+)
 STAGE_HEADING = rf"^[{WHITE}]*(?:#{{1,6}}[{WHITE}]+.+|\[[^\]\r\n]+\])[{WHITE}]*$"
 BRACKET_HEADING = rf"^[{WHITE}]*\[[^\]\r\n]+\][{WHITE}]*$"
 CAPTION_TOKEN = rf"[{WHITE}]+|[A-Za-z0-9]+(?:['’_-][A-Za-z0-9]+)*(?:[.,;:!?]+)?|."
@@ -25,11 +31,12 @@ MAX_LINE = 240
 
 def strip(text: Column) -> Column:
     """Trim white space, then byte order marks, at both ends."""
-    return F.regexp_replace(trim(text), "^﻿+|﻿+$", "")
+    return F.btrim(trim(text), F.lit("\ufeff"))
 
 
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{WHITE}]+|[{WHITE}]+$", "")
+    """Trim white space of any script at both ends; only the ends are read, no pattern runs over the text."""
+    return F.btrim(text, F.lit(WHITE_CHARS))
 
 
 def lines(text: Column) -> Column:

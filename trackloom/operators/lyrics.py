@@ -186,26 +186,37 @@ def lrc_cues(corpus: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def _parsed_srt(corpus: DataFrame, keys: list[str]) -> DataFrame:
     """keys, _cues, _reason, _skipped: a document is parsed in its row, without a shuffle."""
-    text = F.regexp_replace(
-        F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n", "\n"), "^[﻿\n ]+|[﻿\n ]+$", ""
-    )
+    text = F.btrim(F.replace(F.coalesce("text", F.lit("")), F.lit("\r\n"), F.lit("\n")), F.lit("\ufeff\n "))
     bodies = F.transform(
         F.split(text, rf"\n[{tx.WHITE}]*\n"),
-        lambda x: F.regexp_replace(x, rf"^[{tx.WHITE}]*\d+[{tx.WHITE}]*?(?:\n|$)", ""),
+        lambda x: F.split(F.regexp_replace(x, rf"^[{tx.WHITE}]*\d+[{tx.WHITE}]*?(?:\n|$)", ""), "\n", 2),
     )
 
-    def block(body, i):
-        timing = tx.trim(F.substring_index(body, "\n", 1))
-        lyric = tx.trim(F.regexp_replace(F.regexp_replace(body, r"^[^\n]*\n?", ""), r"[ \t]*\n[ \t]*", "\n"))
-        sample = lambda n: F.when(
-            timing.rlike(SRT_TIMING),
-            clock.srt_samples_wide(*[F.regexp_extract(timing, SRT_TIMING, n + k) for k in range(4)]),
+    # One step after the other, each over the structs of the step before: an expression that is
+    # named twice in a lambda is computed twice.
+    def parts(body):
+        rest = F.coalesce(F.get(body, F.lit(1)), F.lit(""))
+        lyric = F.when(rest.contains("\n"), F.regexp_replace(rest, r"[ \t]*\n[ \t]*", "\n")).otherwise(rest)
+        return F.struct(
+            (F.size(body) > 1).alias("whole"), tx.trim(F.get(body, F.lit(0))).alias("timing"), tx.trim(lyric).alias("text")
         )
+
+    def clocks(b):
+        digits = F.split(F.regexp_replace(b["timing"], SRT_TIMING, "$1:$2:$3:$4:$5:$6:$7:$8"), ":")
         return F.struct(
-            body.contains("\n").alias("whole"), sample(1).alias("start"), sample(5).alias("end"),
-            lyric.alias("text"), tx.is_bracket_heading(lyric).alias("heading"),
+            b["whole"].alias("whole"), F.when(b["timing"].rlike(SRT_TIMING), digits).alias("digits"),
+            b["text"].alias("text"), tx.is_bracket_heading(b["text"]).alias("heading"),
         )
 
+    def samples(b):
+        sample = lambda n: clock.srt_samples_wide(*[F.get(b["digits"], F.lit(n + k)) for k in range(4)])
+        return F.struct(
+            b["whole"].alias("whole"), sample(0).alias("start"), sample(4).alias("end"), b["text"].alias("text"),
+            b["heading"].alias("heading"),
+        )
+
+    blocks = F.transform(F.transform(F.transform(bodies, parts), clocks), samples)
+
     def why(b, i):
         before = F.get("_blocks", F.when(i > 0, i - 1))["end"]
         return (
@@ -218,7 +229,7 @@ def _parsed_srt(corpus: DataFrame, keys: list[str]) -> DataFrame:
             .when(~b["heading"] & (F.length(b["text"]) > tx.MAX_LINE), "lyric_text_too_long")
         )
 
-    rows = corpus.select(*keys, "duration_samples", F.transform(bodies, block).alias("_blocks")).select(
+    rows = corpus.select(*keys, "duration_samples", blocks.alias("_blocks")).select(
         *keys,
         F.get(F.filter(F.transform("_blocks", why), lambda x: x.isNotNull()), F.lit(0)).alias("_why"),
         F.filter("_blocks", lambda b: ~b["heading"]).alias("_cues"),
