@@ -20,8 +20,10 @@ from trackloom.functions.blocks import (
     owner_interval,
     running_sum,
     salted_join,
+    tasks_for,
 )
 from trackloom.operators.tiles import TILE, align_blocks, known_blocks, observed_blocks
+from trackloom.sources.tables import materialize
 
 # Limits of the alignment and patterns of the import formats.
 MIN_COVERAGE = 0.45
@@ -420,8 +422,12 @@ def rank_values(
     Values are counted first; ranks then come from a running sum over value
     blocks, so a group of any size never meets in one task.
     """
-    keys = list(keys)
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    return _rank_counts(counts, list(keys), value, block)
+
+
+def _rank_counts(counts: DataFrame, keys: list[str], value: str, block: int) -> DataFrame:
+    """``rank_values`` of values that come with their number ``_n``."""
     ranked = running_sum(counts, keys, [value], int_div(value, block), F.col("_n"), "_upto")
     totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     n = F.col("_total")
@@ -446,25 +452,33 @@ def evaluate(
 
     ``lines``: keys, line, start_sample (null when unmatched);
     ``references``: keys, line, reference_sample. A track whose reference points repeat a
-    line, or start before 0 or nowhere, is not evaluated and says so.
+    line, or start before 0 or nowhere, is not evaluated and says so. Both inputs are counted
+    first: give stored tables, whose counts are in their files.
     """
     keys = list(keys)
-    points = references.groupBy(*keys, "line").agg(
+    # Sides of many rows get as many tasks as their rows need, so that none holds more as they grow.
+    tasks = tasks_for(max(references.count(), lines.count()), references.sparkSession)
+    points = references.repartition(tasks, *keys, "line").groupBy(*keys, "line").agg(
         F.count("*").alias("_points"), F.min("reference_sample").alias("reference_sample"),
         F.max(F.coalesce(F.col("reference_sample") < 0, F.lit(True)) | F.col("line").isNull()).alias("_bad"),
     )
-    rows = points.join(lines.select(*keys, "line", "start_sample"), [*keys, "line"], "left")
-    errors = rows.where("start_sample is not null").select(
-        *keys, F.abs(F.col("start_sample") - F.col("reference_sample")).alias("_error")
+    starts = lines.select(*keys, "line", "start_sample").repartition(tasks, *keys, "line")
+    rows = points.join(starts.hint("merge"), [*keys, "line"], "left")
+    # All that follows reads the points counted by their error; it is null without a start or a reference.
+    lost = F.col("start_sample").isNull()
+    counted = materialize(
+        rows.groupBy(*keys, F.abs(F.col("start_sample") - F.col("reference_sample")).alias("_error")).agg(
+            F.count("*").alias("_n"), F.sum("_points").alias("_points"),
+            F.coalesce(F.sum(F.when(lost, F.col("_points"))), F.lit(0)).alias("_lost"),
+            F.max((F.col("_points") > 1) | F.col("_bad")).alias("_invalid"),
+        )
     )
-    counts = rows.groupBy(*keys).agg(
-        F.sum("_points").alias("reference_points"),
-        F.coalesce(F.sum(F.when(F.col("start_sample").isNull(), F.col("_points"))), F.lit(0)).alias(
-            "unmatched_reference_points"
-        ),
-        F.max((F.col("_points") > 1) | F.col("_bad")).alias("_invalid"),
+    counts = counted.groupBy(*keys).agg(
+        F.sum("_points").alias("reference_points"), F.sum("_lost").alias("unmatched_reference_points"),
+        F.max("_invalid").alias("_invalid"),
     )
-    out = counts.join(rank_values(errors, keys, "_error", block), keys, "left")
+    errors = counted.where("_error is not null").select(*keys, "_error", "_n")
+    out = counts.join(_rank_counts(errors, keys, "_error", block), keys, "left")
     passed = (
         (F.col("unmatched_reference_points") == 0)
         & (F.col("median") <= GATE_MEDIAN) & (F.col("p90") <= GATE_P90)
