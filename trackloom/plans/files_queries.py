@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trackloom.functions.blocks import spread
 from trackloom.plans import views as v
 from trackloom.plans.registry import query
 from trackloom.sources import artifacts as ar
@@ -218,8 +219,9 @@ def pcm_blocks(t):
     """Each embedding as a WAV file, read back in blocks of 24 samples."""
     encode = F.pandas_udf(_encode, T.BinaryType())
     path = folder(t, "audio")
+    # A file for each row is much work for few bytes, so the rows are dealt out first.
     fl.write_rows_as_files(
-        t.embeddings.select(
+        spread(t.embeddings.select("vec_id", "embedding"), "vec_id").select(
             F.concat(F.col("vec_id").cast("string"), F.lit(".wav")).alias("name"),
             encode("embedding").alias("content"),
         ),

@@ -22,6 +22,10 @@ SCHEMA = (
 )
 BLOCK = 65_536
 SPLIT_BYTES = 64 << 20
+# Opening a file costs more than reading a short one: a task has so many ranges at most.
+SPLIT_RANGES = 1024
+# Rows go to Spark together, up to so many rows or samples.
+BATCH_ROWS, BATCH_SAMPLES = 4096, 1 << 19
 # Fixed values of the format: PCM as such, and in the extensible form.
 PLAIN, EXTENSIBLE = 1, 0xFFFE
 
@@ -73,11 +77,30 @@ class Ranges(InputPartition):
         super().__init__(None)
 
 
-def _row(path: str, facts: tuple, index, samples, reason) -> pa.RecordBatch:
-    values = (path, *facts, index, samples, reason)
-    kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.string())
-    names = [part.split()[0] for part in SCHEMA.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names)
+KINDS = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.string())
+NAMES = [part.split()[0] for part in SCHEMA.split(", ")]
+
+
+def _row(path: str, facts: tuple, index, samples, reason) -> tuple:
+    return (path, *facts, index, samples, reason)
+
+
+def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """The rows by column: a batch has up to BATCH_ROWS rows and closes with BATCH_SAMPLES samples."""
+
+    def closed() -> pa.RecordBatch:
+        columns = zip(*held, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, KINDS, strict=True)], NAMES)
+
+    held, samples = [], 0
+    for row in rows:
+        held.append(row)
+        samples += 0 if row[-2] is None else len(row[-2])
+        if len(held) >= BATCH_ROWS or samples >= BATCH_SAMPLES:
+            yield closed()
+            held, samples = [], 0
+    if held:
+        yield closed()
 
 
 class PcmReader(DataSourceReader):
@@ -101,7 +124,7 @@ class PcmReader(DataSourceReader):
                 continue
             for lo in range(0, max(info.size, 1), self.split_bytes):
                 hi = min(info.size, lo + self.split_bytes)
-                if group and held + hi - lo > self.split_bytes:
+                if group and (held + hi - lo > self.split_bytes or len(group) >= SPLIT_RANGES):
                     out.append(Ranges(group))
                     group, held = [], 0
                 group.append((info.path, info.size, lo, hi))
@@ -109,12 +132,15 @@ class PcmReader(DataSourceReader):
         return [*out, Ranges(group)] if group else out
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        return _batches(self._rows(partition))
+
+    def _rows(self, partition: Ranges) -> Iterator[tuple]:
         system, _ = self._system()
         for path, size, lo, hi in partition.parts:
             with system.open_input_file(path) as file:
                 yield from self._blocks(file, path, size, lo, hi)
 
-    def _blocks(self, file, path: str, size: int, lo: int, hi: int) -> Iterator[pa.RecordBatch]:
+    def _blocks(self, file, path: str, size: int, lo: int, hi: int) -> Iterator[tuple]:
         try:
             rate, channels, width, start, length = wav_head(file, size)
         except _BadWav as problem:
