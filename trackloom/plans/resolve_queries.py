@@ -540,10 +540,19 @@ def routes(t):
     )
 
 
-def levels(t):
+def level_blocks(t):
+    """The activity on every frame, in blocks."""
     loud = sg.normalize(t.shared("signals", v.signals), KEY).select("track_id", "idx", "value")
-    at = sg.sample_signal(loud, frames(t), KEY, v.HOP, v.HOP_BLOCK, name="level")
-    return at.withColumn("source", F.lit("activity"))
+    blocks = sg.sample_grid(
+        loud, v.tracks(t), KEY, v.HOP, v.HOP_BLOCK, FRAME_BLOCK, v.RATE, v.FPS_NUM, v.FPS_DEN
+    )
+    return blocks.withColumn("source", F.lit("activity"))
+
+
+def levels(t):
+    return level_blocks(t).select("track_id", "source", "first_frame", F.posexplode("levels").alias("at", "level")).select(
+        "track_id", "source", (F.col("first_frame") + F.col("at")).alias("frame"), "level"
+    )
 
 
 LEVELS = f"""loud AS (
@@ -568,7 +577,7 @@ SMOOTH = """sm AS (
 
 
 def routed(t):
-    return rs.route_values(t.shared("levels", levels), routes(t), KEY, DELTA, FRAME_BLOCK)
+    return rs.route_blocks(level_blocks(t), routes(t), KEY, DELTA)
 
 
 @query(
@@ -596,7 +605,7 @@ def route_target(t):
 )
 def smooth_route(t):
     """All routes of all tracks, the smoothed ones among them."""
-    return routed(t).select("track_id", "route_idx", "frame", F.round("value", 6).alias("value"))
+    return rs.route_rows(routed(t), KEY).select("track_id", "route_idx", "frame", F.round("value", 6).alias("value"))
 
 
 @query(
@@ -608,7 +617,8 @@ def smooth_route(t):
         UNION ALL SELECT track_id, frame, 'ribbon', 'width', round(value, 6) FROM sm""",
 )
 def dedupe_routes(t):
-    return rs.dedupe_routes(routed(t), KEY).withColumn("value", F.round("value", 6))
+    rows = rs.route_rows(rs.dedupe_blocks(routed(t)), KEY)
+    return rows.select("track_id", "frame", "target_layer", "target_parameter", F.round("value", 6).alias("value"))
 
 
 def layered_spans(t):
@@ -670,7 +680,8 @@ def layered_spans(t):
                round((0.5 + b * 0.125) + ((part - b) * 0.125) * q, 6), 1.0, part <> 3 FROM f""",
 )
 def frame_params(t):
-    out = rs.frame_params(frames(t), t.shared("layered", layered_spans), routed(t), KEY, EB)
+    values = rs.route_rows(routed(t), KEY)
+    out = rs.frame_params(frames(t), t.shared("layered", layered_spans), values, KEY, EB)
     return out.withColumns({"value": F.round("value", 6), "opacity": F.round("opacity", 6)})
 
 
