@@ -8,7 +8,7 @@ from trackloom.functions.blocks import int_div
 from trackloom.operators import resolve as rs
 from trackloom.operators import signals as sg
 from trackloom.plans import views as v
-from trackloom.plans.clock_queries import GRID, frames
+from trackloom.plans.clock_queries import GRID
 from trackloom.plans.registry import query
 
 KEY = ["track_id"]
@@ -680,8 +680,9 @@ def layered_spans(t):
                round((0.5 + b * 0.125) + ((part - b) * 0.125) * q, 6), 1.0, part <> 3 FROM f""",
 )
 def frame_params(t):
-    values = rs.route_rows(routed(t), KEY)
-    out = rs.frame_params(frames(t), t.shared("layered", layered_spans), values, KEY, EB)
+    out = rs.grid_params(
+        t.shared("layered", layered_spans), v.tracks(t), routed(t), KEY, EB, FRAME_BLOCK, v.RATE, v.FPS_NUM, v.FPS_DEN
+    )
     return out.withColumns({"value": F.round("value", 6), "opacity": F.round("opacity", 6)})
 
 
